@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str | float | int
+LARGEST = 1.7976931348623157e308
 
 
 def col_of(value: ColumnLike) -> Column:
@@ -36,10 +37,10 @@ def clamp(value: ColumnLike, low: ColumnLike = 0.0, high: ColumnLike = 1.0) -> C
 
 def finite(value: ColumnLike, default: ColumnLike | None = None) -> Column:
     """The value as a finite double; missing, unparseable, NaN and infinite values become `default`."""
-    number = F.try_cast(col_of(value), "double") if hasattr(F, "try_cast") else col_of(value).try_cast("double")
-    good = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
+    number = col_of(value).try_cast("double")
     fallback = F.lit(None).cast("double") if default is None else col_of(default)
-    return F.when(good, number).otherwise(fallback)
+    # NaN sorts above every number in Spark, so one comparison rules out NaN, infinities and NULL.
+    return F.when(F.abs(number) <= F.lit(LARGEST), number).otherwise(fallback)
 
 
 def flag(condition: Column) -> Column:
