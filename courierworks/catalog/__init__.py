@@ -1,6 +1,6 @@
 """The catalogue of reports; importing it registers all of them."""
 
-from courierworks.catalog import fleet_reports, mart_reports, offer_reports, track_reports  # noqa: F401
+from courierworks.catalog import context_reports, fleet_reports, mart_reports, offer_reports, track_reports  # noqa: F401
 from courierworks.catalog.registry import CHECKS, REPORTS
 
 __all__ = ["CHECKS", "REPORTS"]
