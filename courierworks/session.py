@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "courierworks", master: str | None = None, **conf: object) -> SparkSession:
@@ -35,20 +37,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df, eager: bool = True):
-    """Cut lineage in the shared checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: `spark.checkpoint.dir`, or a temporary one in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = os.path.join(tempfile.gettempdir(), f"courierworks-{os.getpid()}")
+    return folder
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only where it is unset, as in
-    local tests, a folder under the system temporary directory is used.
-    """
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small table in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            import tempfile
-
-            folder = os.path.join(tempfile.gettempdir(), "courierworks-checkpoints")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=eager)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write a table that several passes read to the shared folder, and read it back.
+
+    Unlike a cache it survives lost executors, and later passes read only the columns they need.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
