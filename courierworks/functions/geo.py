@@ -35,7 +35,7 @@ def project_point(lat: ColumnLike, lon: ColumnLike, bearing: ColumnLike, km: Col
     arc = col_of(km) / EARTH_RADIUS_KM
     phi2 = F.asin(F.sin(phi) * F.cos(arc) + F.cos(phi) * F.sin(arc) * F.cos(theta))
     lam2 = lam + F.atan2(F.sin(theta) * F.sin(arc) * F.cos(phi), F.cos(arc) - F.sin(phi) * F.sin(phi2))
-    return F.degrees(phi2), F.degrees(lam2)
+    return F.degrees(phi2), F.pmod(F.degrees(lam2) + 540.0, F.lit(360.0)) - 180.0
 
 
 def grid_axis(value: ColumnLike, resolution: float, digits: int | None = None) -> Column:
