@@ -25,7 +25,10 @@ def parse_time(text: Column) -> Column:
 def parse_positions(raw: DataFrame, value: str = "value") -> DataFrame:
     """JSON position messages as columns; all other columns stay, `broken` marks text that is no JSON object."""
     body = F.col(value).cast("string")
-    parsed = raw.withColumn("__m", F.from_json(body, _WIRE, {"columnNameOfCorruptRecord": "__broken"}))
+    # Exploding a one-element array keeps the parse in one place: as a plain column Catalyst would copy
+    # it into every expression and filter that reads one of its fields.
+    message = F.from_json(body, _WIRE, {"columnNameOfCorruptRecord": "__broken"})
+    parsed = raw.select("*", F.explode(F.array(message)).alias("__m"))
     m = lambda name: F.col(f"__m.{name}")
     some = lambda *names: F.coalesce(*[F.nullif(m(n), F.lit("")) for n in names])
     number = lambda name, default: finite(F.coalesce(m(name), F.lit(default))) if default is not None else finite(m(name))
