@@ -91,6 +91,16 @@ def latest_event_time(v: Views):
     return v.spark.range(1).select(F.unix_micros(F.lit(newest)).alias("newest_us"))
 
 
+@report("lake_views", """SELECT 'copilot_events' AS name, count(*) AS n FROM (SELECT offer_id FROM offers UNION ALL SELECT event_id FROM context_signals)
+UNION ALL SELECT 'gps_events', count(*) FROM positions""")
+def lake_views(v: Views):
+    positions, events = _folder(v, "positions"), _folder(v, "events")
+    lake.write_position_lake(v.positions, positions)
+    lake.write_event_lake(normalize_events(offers=v.offers, context=v.context_signals), events)
+    lake.register_views(v.spark, positions, events)
+    return v.spark.sql("SELECT 'gps_events' AS name, count(*) AS n FROM gps_events UNION ALL SELECT 'copilot_events', count(*) FROM copilot_events")
+
+
 @report("compaction", "SELECT count(*) AS rows_before, count(*) AS rows_after, true AS row_count_ok, true AS fewer_files FROM context_signals")
 def compaction(v: Views):
     source, target = _folder(v, "small-files"), _folder(v, "compacted")

@@ -124,12 +124,16 @@ def score_components() -> dict[str, Column]:
     }
 
 
+def add_components(featured: DataFrame) -> DataFrame:
+    """The five score components as columns `component_<name>`, computed once for all that reads them."""
+    return featured.withColumns({f"component_{name}": value for name, value in score_components().items()})
+
+
 def weighted_offer_score(weights: dict[str, float] | None = None) -> Column:
+    """Score of a row with component columns."""
     shares = normalised(weights, SCORE_WEIGHTS)
-    total = F.lit(0.0)
-    for name, component in score_components().items():
-        total = total + component * F.lit(shares[name])
-    return clamp(0.06 + 0.88 * total, 0.01, 0.99)
+    total = " + ".join(f"component_{name} * {share!r}D" for name, share in shares.items())
+    return F.expr(f"greatest(least(0.06D + 0.88D * ({total}), 0.99D), 0.01D)")
 
 
 def either(*cases: tuple[Column, str]) -> Column:
@@ -180,10 +184,19 @@ def objective_components(score: Column) -> dict[str, Column]:
     }
 
 
-def objective_score(score: Column, weights: dict[str, float] | None = None) -> Column:
-    shares = normalised(weights, OBJECTIVE_WEIGHTS)
+def add_axes(scored: DataFrame) -> DataFrame:
+    """The gain, time, fuel and risk axes of a row with `accept_score`, as columns `axis_<name>`."""
+    score = F.col("accept_score")
     parts = objective_components(score)
-    return clamp(sum((parts[k] * F.lit(shares[k]) for k in OBJECTIVE_WEIGHTS), F.lit(0.0)))
+    return scored.withColumns({"axis_gain": parts["w_gain"], "axis_time": parts["w_time"], "axis_fuel": parts["w_fuel"],
+                               "axis_risk": risk_component(score)})
+
+
+def objective_score(weights: dict[str, float] | None = None) -> Column:
+    """Weighted gain, time and fuel of a row with axes."""
+    shares = normalised(weights, OBJECTIVE_WEIGHTS)
+    total = " + ".join(f"axis_{key[2:]} * {share!r}D" for key, share in shares.items())
+    return F.expr(f"greatest(least({total}, 1.0D), 0.0D)")
 
 
 def risk_component(score: Column) -> Column:
@@ -197,10 +210,9 @@ def risk_component(score: Column) -> Column:
     return clamp(1.0 - penalty)
 
 
-def score_breakdown(score: Column, weights: dict[str, float] | None = None) -> Column:
-    """Struct with the gain, time, fuel and risk dimensions and their weighted total."""
-    parts = objective_components(score)
-    values = {"gain": parts["w_gain"], "time": parts["w_time"], "fuel": parts["w_fuel"], "risk": risk_component(score)}
+def score_breakdown(weights: dict[str, float] | None = None) -> Column:
+    """Struct with the gain, time, fuel and risk dimensions of a row with axes, and their weighted total."""
+    values = {axis: F.col(f"axis_{axis}") for axis in EXPLAIN_WEIGHTS}
     shares = normalised(weights, EXPLAIN_WEIGHTS)
     labels = {"gain": "Gain quality", "time": "Time efficiency", "fuel": "Fuel efficiency", "risk": "Risk resilience"}
     dims, total = [], F.lit(0.0)
@@ -232,24 +244,20 @@ def reason_codes(breakdown: Column, score: Column, threshold: Column | None = No
     return words(codes, "PROFILE_BALANCED")
 
 
-def recommendation_score(score: Column, weights: dict[str, float] | None = None) -> Column:
-    return round_half_up(objective_score(score, weights), 4)
-
-
 def recommendation_action(recommended: Column) -> Column:
     return F.when(recommended >= 0.68, "accept").when(recommended >= 0.45, "consider").otherwise("skip")
 
 
-def recommendation_signals(score: Column) -> Column:
-    c, parts = F.col, objective_components(score)
+def recommendation_signals() -> Column:
+    c = F.col
     return words([
         either((c("target_gap_eur_h") >= 2, "above_target_hourly_goal"),
                (c("target_gap_eur_h") < -2, "below_target_hourly_goal")),
         either((c("pressure_ratio") >= 1.3, "zone_high_demand_pressure"),
                (c("pressure_ratio") < 0.95, "zone_low_demand_pressure")),
         either((c("distance_to_pickup_km") > 3, "pickup_far"), (c("distance_to_pickup_km") <= 1, "pickup_near")),
-        either((parts["w_time"] <= 0.35, "time_efficiency_low")),
-        either((parts["w_fuel"] <= 0.35, "fuel_efficiency_low")),
+        either((c("axis_time") <= 0.35, "time_efficiency_low")),
+        either((c("axis_fuel") <= 0.35, "fuel_efficiency_low")),
     ])
 
 
@@ -272,7 +280,8 @@ def cost_breakdown() -> Column:
 def explanation_details(score: Column, threshold: Column | None = None, route_source: Column | None = None,
                         route_minutes: Column | None = None) -> Column:
     """Array of {code, label, impact, value, unit, source} rows that explain an offer's score."""
-    c, parts = F.col, score_components()
+    c = F.col
+    parts = {name: c(f"component_{name}") for name in ("net_hourly", "fuel_efficiency")}
     good = lambda v, hi, lo: F.when(v >= hi, "positive").when(v <= lo, "negative").otherwise("neutral")
     bad = lambda v, hi, lo: F.when(v >= hi, "negative").when(v >= lo, "neutral").otherwise("positive")
     up = lambda v, hi, lo: F.when(v >= hi, "positive").when(v >= lo, "neutral").otherwise("negative")

@@ -110,6 +110,11 @@ def is_small(df: DataFrame, max_rows: int = 50_000) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Hash of a whole row. Unlike a running number it is the same when a lost task runs again."""
+    return F.xxhash64(*[f.name for f in df.schema.fields if not f.dataType.simpleString().startswith("map")])
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", max_rows: int = 50_000,
                  salts: int = 16) -> DataFrame:
     """Equi-join whose right side is broadcast only when its size was checked.
@@ -119,7 +124,7 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
     """
     if is_small(right, max_rows):
         return left.join(F.broadcast(right), on, how)
-    spread = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    spread = left.withColumn("__salt", F.pmod(row_hash(left), F.lit(salts)).cast("int"))
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, "__salt"], how).drop("__salt")
 

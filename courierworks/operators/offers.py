@@ -41,27 +41,23 @@ def score_offers(offers: DataFrame, profiles: DataFrame | None = None, fuel_pric
         rows = rows.withColumn("target_hourly_net_eur", target)
     if fuel_price_usd_gallon is not None and "fuel_price_usd_gallon" not in rows.columns:
         rows = rows.withColumn("fuel_price_usd_gallon", F.lit(float(fuel_price_usd_gallon)))
-    featured = scoring.add_features(rows)
+    featured = scoring.add_components(scoring.add_features(rows))
     heuristic = scoring.weighted_offer_score()
-    score = heuristic
-    used = F.lit("heuristic")
+    score, used = heuristic, F.lit("heuristic")
     if model_score is not None:
         good = model_score.isNotNull() & ~F.isnan(model_score)
         score = F.when(good, F.least(F.greatest(model_score, F.lit(0.01)), F.lit(0.99))).otherwise(heuristic)
         used = F.when(good, "ml").otherwise("heuristic")
-    scored = featured.withColumns({"accept_score": score, "model_used": used}).withColumn(
-        "decision_threshold", scoring.accept_threshold(risk))
+    scored = featured.withColumns({"accept_score": score, "model_used": used, "decision_threshold": scoring.accept_threshold(risk)})
+    scored = scoring.add_axes(scored)
     s, t = F.col("accept_score"), F.col("decision_threshold")
     scored = scored.withColumns({
-        "decision": F.when(s >= t, "accept").otherwise("reject"),
-        "eur_per_hour_net": F.col("estimated_net_eur_h"),
-        "objective_score": round_half_up(scoring.objective_score(s, objective_weights), 4),
-        "recommendation_score": scoring.recommendation_score(s, objective_weights),
-        "reasons": scoring.heuristic_reasons(), "signals": scoring.recommendation_signals(s),
-        "breakdown": scoring.score_breakdown(s),
-    })
+        "decision": F.when(s >= t, "accept").otherwise("reject"), "eur_per_hour_net": F.col("estimated_net_eur_h"),
+        "objective_score": round_half_up(scoring.objective_score(objective_weights), 4),
+        "reasons": scoring.heuristic_reasons(), "signals": scoring.recommendation_signals(), "breakdown": scoring.score_breakdown()})
     scored = scored.withColumns({
-        "recommendation_action": scoring.recommendation_action(F.col("recommendation_score")),
+        "recommendation_score": F.col("objective_score"),
+        "recommendation_action": scoring.recommendation_action(F.col("objective_score")),
         "reason_codes": scoring.reason_codes(F.col("breakdown"), s, t)})
     if details:
         scored = scored.withColumns({"details": scoring.explanation_details(s, t), "costs": scoring.cost_breakdown()})

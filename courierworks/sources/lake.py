@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courierworks.functions.num import round_half_up
-from courierworks.operators.keyed import join_checked
+from courierworks.operators.keyed import join_checked, row_hash
 from courierworks.sources.schemas import EVENT_LAKE, HOUR_PARTS, POSITION_LAKE, POSITION_LAKE_COLUMNS
 
 ROWS_PER_FILE = 2_000_000
@@ -27,7 +27,7 @@ def _spread(df: DataFrame, parts: list[str], rows_per_file: int = ROWS_PER_FILE)
                                                F.ceil(F.col("count") / rows_per_file).alias("__n"))
     keyed = df.withColumns({f"__k_{p}": F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts})
     joined = join_checked(keyed, pieces, [f"__k_{p}" for p in parts], "left")
-    piece = F.pmod(F.monotonically_increasing_id(), F.greatest(F.col("__n"), F.lit(1)))
+    piece = F.pmod(row_hash(df), F.greatest(F.col("__n"), F.lit(1)))
     return joined.withColumn("__piece", piece).repartition(*parts, "__piece").drop("__piece", "__n", *[f"__k_{p}" for p in parts])
 
 

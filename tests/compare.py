@@ -46,6 +46,10 @@ def compare(name: str, spark, con, folder: str) -> str | None:
     columns, rows = rows_of(df.columns, df.collect())
     if name not in CHECKS:
         return None if rows else "no rows"
+    kinds = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
+    types = {row[0]: row[1] for row in con.execute("DESCRIBE " + CHECKS[name]).fetchall()}
+    odd = [(f.name, f.dataType.simpleString(), types.get(f.name)) for f in df.schema.fields
+           if kinds.get(f.dataType.simpleString()) != types.get(f.name)]
     result = con.execute(CHECKS[name])
     want_columns, want = rows_of([d[0] for d in result.description], result.fetchall())
     if columns != want_columns:
@@ -55,8 +59,7 @@ def compare(name: str, spark, con, folder: str) -> str | None:
     if rows != want:
         a, b = list(set(rows) - set(want)), list(set(want) - set(rows))
         return f"{len(a)} of {len(rows)} rows differ, {columns}: {sorted(a, key=str)[:2]} expected {sorted(b, key=str)[:2]}"
-    types = [(c, type(x), type(y)) for c, x, y in zip(columns, rows[0], want[0]) if x is not None and y is not None and type(x) is not type(y)] if rows else []
-    return f"types {types}" if types else None
+    return f"types {odd}" if odd else None
 
 
 def main(argv: list[str]) -> int:
