@@ -9,8 +9,8 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": 4, "spark.ui.enabled": "false", "spark.driver.memory": "3g"})
+    session = build_session("tests", "local[8]", **{
+        "spark.sql.shuffle.partitions": 2, "spark.ui.enabled": "false", "spark.driver.memory": "3g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
