@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from courierworks.catalog.registry import haversine, r, report
 from courierworks.functions import context as fx
 from courierworks.functions import zones as fz
-from courierworks.functions.geo import bearing_deg, grid_zone_id, haversine_km, project_point
+from courierworks.functions.geo import bearing_deg, grid_zone_id, project_point
 from courierworks.functions.num import finite, round_half_up
 from courierworks.functions.status import metadata_map, metadata_tag
 from courierworks.operators import context, fleet

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courierworks.catalog.context_reports import OPPORTUNITY_SQL, opportunity
-from courierworks.catalog.offer_reports import AROUND_SQL, LATEST, PROFILES_SQL, around, clamp, scored
+from courierworks.catalog.offer_reports import AROUND_SQL, LATEST, PROFILES_SQL, around, clamp
 from courierworks.catalog.registry import haversine, r, report
 from courierworks.functions import zones as fz
 from courierworks.functions.num import round_half_up
-from courierworks.operators import context, fleet, missions, offers, profiles
+from courierworks.operators import fleet, missions, profiles
 from courierworks.plans import dispatch
 from courierworks.sources.adapters import Views
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from courierworks.catalog.fleet_reports import BUCKET, CANONICAL, REF_SQL, STATUS_SQL
+from courierworks.catalog.fleet_reports import BUCKET, CANONICAL, STATUS_SQL
 from courierworks.catalog.registry import haversine, r, report
 from courierworks.functions.num import round_half_up
 from courierworks.functions.status import with_route, route_source

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courierworks.functions.geo import KM_PER_DEGREE, cell_centre, cell_index, haversine_km
+from courierworks.functions.geo import cell_centre, cell_index, haversine_km
 from courierworks.functions.num import clamp, flag, ratio, round_half_up
 from courierworks.functions.status import canonical_status, status_bucket
 from courierworks.operators.keyed import latest_by, time_bucket, top_per_key, with_previous
