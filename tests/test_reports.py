@@ -23,5 +23,5 @@ def test_entry_points(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
-    assert set(entry.oracle_sql()) == set(CHECKS) and set(entry.queries()) == set(REPORTS)
-    assert set(CHECKS) <= set(REPORTS)
+    assert set(entry.oracle_sql()) >= set(CHECKS) and set(entry.queries()) >= set(REPORTS)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
