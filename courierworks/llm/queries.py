@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courierworks.llm import quality, vectors
+from courierworks.llm import fingerprints, html, licenses, quality, tokens, vectors
 from courierworks.llm.common import documents, table
 from courierworks.session import prepare
 
@@ -19,6 +19,30 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as directly addressable codes and read back."""
+    return tokens.write_and_read(documents(spark, sf_dir))
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every document and of its edited text, with their likeness."""
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License wording in every document."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
+@query
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels outside the held-out third."""
