@@ -95,19 +95,22 @@ def fingerprint_documents(docs: DataFrame, every: int = 50) -> DataFrame:
     The edited text has its last quarter (floor(n_chars / 4) code points) replaced by the beginning of the next document's text. Columns:
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_docs (for ids divisible by `every`: other
     documents within the Hamming radius; else null). Null texts count as empty; a text without words has fingerprint zero; repeated equal rows
-    give one row; of several texts of one id, the one whose needed part is smallest is the next text; rows without an id take the smallest id
-    as their next; an empty table gives none; other columns are ignored.
+    give one row; of several texts of one id, the one whose needed part is smallest is the next text; rows without an id have no
+    next document (their last quarter goes, near_next is null); an empty table gives none; other columns are ignored.
     """
     parts = max(8, docs.sparkSession.sparkContext.defaultParallelism)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     following = successors(texts.select("doc_id"), parts)
     sized = texts.select("doc_id", F.floor(F.char_length("text") / 4).cast("int").alias("need"))
     wanted = sized.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("need").alias("need")).join(following, "doc_id").select(F.col("doc_id").alias("asker"), "next_id", "need")
-    prefixes = (texts.join(wanted, F.col("doc_id") == F.col("next_id"))
+    # Both joins read the texts with an id, dealt out by id: one exchange serves both.
+    placed = texts.where("doc_id IS NOT NULL")
+    prefixes = (placed.join(wanted, F.col("doc_id") == F.col("next_id"))
                 .select("asker", "next_id", F.struct(F.expr("substring(text, 1, need)").alias("prefix"), F.xxhash64("text").alias("hash")).alias("part"))
                 .groupBy("asker").agg(F.min("next_id").alias("next_id"), F.min("part").alias("part")))
-    edited = (texts.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
-              .join(prefixes, F.col("doc_id") == F.col("asker"), "left")
+    together = placed.join(prefixes, F.col("doc_id") == F.col("asker"), "left").select("doc_id", "text", "next_id", "part")
+    together = together.unionByName(texts.where("doc_id IS NULL"), allowMissingColumns=True)
+    edited = (together.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
               .withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cut)"), F.coalesce(F.expr("substring(part.prefix, 1, cut)"), F.lit(""))))
               .select("doc_id", "n_chars", F.xxhash64("text").alias("hash"), F.sha2("edited", 256).alias("edited_sha256"), "next_id", F.col("part.hash").alias("next_hash"),
                       F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body")))).alias("version"))

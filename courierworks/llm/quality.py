@@ -170,6 +170,20 @@ def fit(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS)
     return model
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """The rows of `docs` that the classifier accepts, with all their columns; texts are scored where they are read, nothing is shuffled."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model = fit(stage(named.mapInArrow(measured, "doc_id long, stats binary")), labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), max_rows)
+    column = docs.columns.index("text")
+
+    def run(batches):
+        for batch in slices(batches, column):
+            stats = np.array([statistics(x.encode() if x else b"") for x in batch.column(column).to_pylist()]).reshape(-1, WIDTH)
+            yield batch.filter(pa.array(model.score(stats) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher is better) and predicted (1 from 0.5) of every document.
 

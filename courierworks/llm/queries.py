@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courierworks.llm import fingerprints, html, licenses, quality, tokens, vectors
+from courierworks.llm import dedup, fingerprints, html, jaccard, licenses, packing, pieces, quality, tokens, vectors
 from courierworks.llm.common import documents, table
 from courierworks.session import prepare
 
@@ -19,12 +19,30 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding gives the text back."""
+    return pieces.encode(documents(spark, sf_dir))
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a repeated string of 100 bytes, and a digest of the rest."""
+    return dedup.dedup_documents(documents(spark, sf_dir))
+
+
 @query
 def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as directly addressable codes and read back."""
     return tokens.write_and_read(documents(spark, sf_dir))
 
 
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length bucket and batch of every document."""
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every document and of its edited text, with their likeness."""
@@ -37,6 +55,12 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+@query
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of every document by the Jaccard similarity of its word shingles."""
+    return jaccard.join_documents(documents(spark, sf_dir))
+
+
 @query
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
