@@ -1,8 +1,8 @@
 """Jaccard join of word-shingle sets by chosen paths.
 
 Each set samples about 1 / similarity of its shingles in each of several independent runs; sets that choose the same shingle in the same run
-share a bucket. Buckets that are too large are split again on further sampled shingles. Inside a small bucket sketches are compared all against
-all, and the sets that may be similar are tied together. Tied groups are then verified on their whole shingle sets, in blocks of a
+share a bucket. Inside a small bucket sketches are compared all against all, and the sets that may be similar are tied together. A large bucket
+is tied to its first member as far as the sketches allow; if that leaves it mixed, it is split again on further sampled shingles. Tied groups are then verified on their whole shingle sets, in blocks of a
 bounded number of documents, so that every pair of a group meets in exactly one task. A pair of the wanted similarity shares no bucket with
 probability at most exp(-runs); ten runs give a recall over 0.9999.
 """
@@ -20,11 +20,12 @@ from courierworks.llm.shingles import mix, word_shingles
 
 SHINGLE = 5
 RUNS = 10
-LEVELS = 3  # further splits of a large bucket
+LEVELS = 2  # further splits of a large bucket
 DEEP = 4.0  # factor on the sample of a further split: a similar pair is parted there with probability exp(-DEEP) at most
 SMALL = 192  # sets in a bucket that are compared all against all
 BINS = 128  # of a sketch
 SLACK = 0.2  # a sketch may underrate a pair by this much: more than five standard deviations
+LOOSE = 0.3  # the same for ties to one member of a large bucket
 BLOCK = 96  # documents of a group that are verified together
 BLOCK_SHINGLES = 1_000_000
 
@@ -135,22 +136,57 @@ def tied(buckets: DataFrame, similarity: float) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").where("a <> b")
 
 
+def pivoted(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b: ties of the members of large buckets (least, id) to the least member, where the sketches are far from unlike."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch", "pivot"))
+            equal, some = ((x == y) & (x > 0)).sum(1), ((x > 0) | (y > 0)).sum(1)
+            near = pa.array(equal >= (similarity - LOOSE) * some)
+            yield pa.RecordBatch.from_arrays([batch.column("least").filter(near), batch.column("id").filter(near)], ["a", "b"])
+
+    pairs = rows.where("id <> least").select("least", "id").distinct()
+    pivots = sets.select(F.col("id").alias("least"), F.col("sketch").alias("pivot"))
+    return pairs.join(sets.select("id", "sketch"), "id").join(pivots, "least").mapInArrow(run, "a long, b long")
+
+
+def in_blocks(rows: DataFrame, small: int) -> DataFrame:
+    """key, id: buckets (key, id, members) cut into blocks; every two blocks of a bucket, and each block, become one key."""
+    cut = rows.withColumn("blocks", F.ceil(F.col("members") * 2 / small).cast("int"))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "id")
+
+
 def candidates(sets: DataFrame, similarity: float, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
-    """a, b: ties of all buckets. `sets` has id, n, sketch, keys and the samples of further splits, one row per distinct set."""
+    """a, b: ties of all buckets. `sets` has id, n, sketch, keys and the samples of further splits, one row per distinct set.
+
+    Members of a large bucket are first tied to its least member where their sketches allow it; a bucket whose members are all tied
+    together by then needs no further look, as verification compares all members of a tied group. The others are split again, and what is
+    still large and mixed after the last split is compared in blocks.
+    """
     rows = sets.select("id", F.explode("keys").alias("key"))
     edges = None
     for level in range(levels + 1):
         counted = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("least")).where("members > 1")
         shared = stage(rows.join(counted, "key"))
-        fits = shared.where(F.col("members") <= small).select("key", "id").join(sets.select("id", "n", "sketch"), "id")
-        found = tied(fits, similarity)
+        found = tied(shared.where(F.col("members") <= small).select("key", "id").join(sets.select("id", "n", "sketch"), "id"), similarity)
         edges = found if edges is None else edges.unionByName(found)
         large = shared.where(F.col("members") > small)
         if large.isEmpty():
             return edges
-        if level == levels:  # dense to the end: one tie to the smallest member each; the whole sets decide
-            return edges.unionByName(large.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")))
-        rows = large.select("key", "id").join(sets.select("id", f"deep{level}"), "id").select("id", "key", F.explode(f"deep{level}").alias("token")).select("id", F.xxhash64("key", "token").alias("key"))
+        edges = stage(edges.unionByName(pivoted(large, sets, similarity)).distinct())
+        roots = connected(edges).select(F.col("node").alias("id"), "root")
+        placed = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        open_ = stage(large.join(mixed, "key"))
+        if level == levels:
+            rest = in_blocks(open_, small).join(sets.select("id", "n", "sketch"), "id")
+            return edges.unionByName(tied(rest, similarity))
+        rows = open_.select("key", "id").join(sets.select("id", f"deep{level}"), "id").select("id", "key", F.explode(f"deep{level}").alias("token")).select("id", F.xxhash64("key", "token").alias("key"))
     return edges
 
 
