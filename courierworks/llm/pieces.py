@@ -4,6 +4,9 @@ A text is cut before every run of word marks; no piece crosses such a cut, so wo
 Words of one length advance together: at every end position the hashes of all substrings up to the longest piece are probed in the sorted
 keys of the pieces of that length, and the best sum of scores and its piece are kept for each word. Characters that no piece holds become
 their UTF-8 bytes. Decoding joins the pieces' bytes and turns word marks back into spaces.
+
+The result is the cut with the highest sum of the model's piece scores, as a unigram model defines it. A model file of another kind (byte-pair
+merges) is read as a lexicon with scores: the cut then is still the best one by score, but not the one its merges would make.
 """
 
 from __future__ import annotations
@@ -95,9 +98,7 @@ class Pieces:
         codes = np.zeros((rows, width), np.uint64)
         codes[np.arange(width)[None, :] < sizes[:, None]] = flat
         prefix = self._prefixes(codes)
-        powers = np.ones(self.longest + 1, np.uint64)
-        for length in range(1, self.longest + 1):
-            powers[length] = powers[length - 1] * BASE
+        powers = np.array([pow(int(BASE), length, 1 << 64) for length in range(self.longest + 1)], np.uint64)
         best = np.full((rows, width + 1), -np.inf)
         best[:, 0] = 0.0
         piece = np.full((rows, width + 1), UNKNOWN)

@@ -93,6 +93,8 @@ def unigram():
     with open(pieces.model_path(), "rb") as file:
         model.ParseFromString(file.read())
     model.trainer_spec.model_type = 1
+    for piece in model.pieces:  # scores of -1e9 swamp the library's 32-bit sums
+        piece.score = max(piece.score, -1e5)
     out = sentencepiece.SentencePieceProcessor()
     out.LoadFromSerializedProto(model.SerializeToString())
     return out
