@@ -80,9 +80,8 @@ def _setting(name: str) -> str:
 _STAY = f"""st AS (SELECT dr.*, b.offer_id AS stay_offer_id, coalesce(b.objective_score, 0) AS stay_score, coalesce(b.gap, -6) AS stay_gap, coalesce(b.eur_per_hour_net, 0) AS stay_eur,
   coalesce(b.target_hourly_net_eur, 18) AS target FROM dr LEFT JOIN (SELECT * FROM best WHERE rank = 1) b USING (courier_id))"""
 OPTIONS_SQL = f"""{BASE_SQL}, {AROUND_SQL.replace(LATEST + ',', '', 1).replace(PROFILES_SQL + ',', '', 1)}, {_STAY},
-tz AS (SELECT * FROM zop ORDER BY {r('opportunity', 3)} DESC, zone_id LIMIT 15),
 o1 AS (SELECT d.*, z.zone_id, z.demand, z.supply, z.weather, z.traffic, z.ema, z.opportunity, {KM} AS km, {clamp('20::double * ' + _setting('eta_limit_multiplier'), 3, 60)} AS max_eta,
-    {clamp('(' + clamp('30::double * ' + _setting('forecast_horizon_multiplier'), 10, 90) + ') / 30', 0.5, 2.5)} AS scale FROM st d, tz z),
+    {clamp('(' + clamp('30::double * ' + _setting('forecast_horizon_multiplier'), 10, 90) + ') / 30', 0.5, 2.5)} AS scale FROM st d, zop z),
 o2 AS (SELECT *, {ETA} AS eta, greatest(0.3::double, demand + ema * (0.4::double + 0.22::double * scale) + (weather - 1) * 0.25::double - greatest(0, traffic - 1) * 0.35::double * scale) AS fd,
   greatest(0.2::double, supply * (1 + greatest(0, traffic - 1) * 0.18::double * scale)) AS fs, least(1, abs(ema) * 1.7::double + abs(traffic - 1) * 0.95::double + abs(weather - 1) * 0.55::double) AS vol FROM o1),
 o3 AS (SELECT *, greatest(0, eta / 60 * greatest(target, 8) * 0.32::double) AS tc, opportunity * {_setting('opportunity_current_weight')} + fd / fs * weather / traffic * {_setting('opportunity_forecast_weight')} AS opp FROM o2 WHERE eta <= max_eta * 1.8::double),
@@ -215,7 +214,7 @@ def driver_position(v: Views):
 
 OUTCOME_SQL = f"""mo AS (SELECT *, {r('predicted_potential_eur_h - baseline_eur_h', 3)} AS pd, {r('realized_best_offer_eur_h - baseline_eur_h', 3)} AS rd FROM mission_journal),
 ms AS (SELECT *, CASE WHEN rd IS NOT NULL THEN rd >= 0 ELSE final_distance_km <= 0.25 END AS success, CASE WHEN rd IS NOT NULL AND pd IS NOT NULL THEN {r(clamp('1 - abs(rd - pd) / 8'), 4)} END AS al FROM mo),
-mj AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY courier_id ORDER BY completed_at DESC, mission_id) AS rn FROM ms) WHERE rn <= 200)"""
+mj AS (SELECT * FROM ms)"""
 STATS_SQL = f"""count(*) AS missions, count(*) FILTER (WHERE success) AS successes, {r('count(*) FILTER (WHERE success) * 100.0::double / count(*)', 2)} AS success_rate_pct, {r('avg(elapsed_min)', 3)} AS avg_elapsed_min,
   {r('avg(pd)', 3)} AS avg_predicted_delta_eur_h, {r('avg(rd)', 3)} AS avg_realized_delta_eur_h, {r('count(*) FILTER (WHERE rd >= 0) * 100.0::double / nullif(count(rd), 0)', 2)} AS realized_win_rate_pct, {r('avg(al)', 4)} AS avg_alignment_score"""
 

@@ -188,9 +188,9 @@ def wide_events(v: Views):
 
 REPLAY_SQL = f"""WITH {WIDE_SQL},
 e AS (SELECT ts, topic, coalesce(event_id, '') AS event_id, courier_id, status, source_platform, NULL::double AS lat FROM w WHERE topic = 'order-events-v1'
-  AND ts BETWEEN TIMESTAMP '2024-01-01 00:15:00' AND TIMESTAMP '2024-01-01 00:45:00' ORDER BY ts DESC, courier_id, event_id LIMIT 1200),
+  AND ts BETWEEN TIMESTAMP '2024-01-01 00:15:00' AND TIMESTAMP '2024-01-01 00:45:00' ORDER BY ts DESC, courier_id, event_id LIMIT 300),
 p AS (SELECT ts, 'livreurs-gps' AS topic, '' AS event_id, courier_id, status, 'position_lake' AS source_platform, lat FROM positions
-  WHERE ts BETWEEN TIMESTAMP '2024-01-01 00:15:00' AND TIMESTAMP '2024-01-01 00:45:00' ORDER BY ts DESC, courier_id LIMIT 1200)
+  WHERE ts BETWEEN TIMESTAMP '2024-01-01 00:15:00' AND TIMESTAMP '2024-01-01 00:45:00' ORDER BY ts DESC, courier_id LIMIT 300)
 SELECT epoch_us(ts) AS ts_us, topic, event_id, courier_id, status, source_platform, lat FROM (SELECT * FROM e UNION ALL SELECT * FROM p)
 ORDER BY ts DESC, courier_id, event_id LIMIT 300"""
 

@@ -249,7 +249,7 @@ def offer_quality(v: Views):
 
 LATEST = """latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY courier_id
   ORDER BY ts DESC, event_id) AS rn FROM positions) WHERE rn = 1)"""
-AROUND_OFFERS = f"""{LATEST}, ro AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY courier_id ORDER BY ts DESC, offer_id) AS rn FROM offers) WHERE rn <= 120),
+AROUND_OFFERS = f"""{LATEST}, ro AS (SELECT * FROM offers),
 no AS (SELECT ro.*, {r(haversine('l.lat', 'l.lon', 'ro.pickup_lat', 'ro.pickup_lon'), 3)} AS near_km FROM ro JOIN latest l USING (courier_id)
   WHERE {haversine('l.lat', 'l.lon', 'ro.pickup_lat', 'ro.pickup_lon')} <= 8.0)"""
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,29 +138,24 @@ def rush_hour_factor(ts: Column) -> Column:
     return F.when(_within(hour, 7, 10), 0.18).when(_within(hour, 16, 20), 0.22).when(_within(hour, 11, 14), 0.07).otherwise(0.0)
 
 
-def _nth(year: int, month: int, weekday: int, n: int) -> date:
-    first = date(year, month, 1)
-    return first + timedelta(days=(weekday - first.weekday()) % 7 + 7 * (n - 1))
-
-
-def _last_monday_of_may(year: int) -> date:
-    day = date(year, 5, 31)
-    return day - timedelta(days=day.weekday())
-
+# Public holidays as month * 100 + day, and as (month, weekday from Monday = 0, which one of the month).
+FIXED_HOLIDAYS = [101, 619, 704, 1111, 1225]
+FLOATING_HOLIDAYS = [(1, 0, 3), (2, 0, 3), (9, 0, 1), (10, 0, 2), (11, 3, 4)]
 
-def holidays(year: int) -> list[date]:
-    """Public holidays of a year as observed: fixed dates on a weekend move to the nearest weekday."""
-    fixed = [date(year, 1, 1), date(year, 6, 19), date(year, 7, 4), date(year, 11, 11), date(year, 12, 25)]
-    observed = [d + timedelta(days={5: -1, 6: 1}.get(d.weekday(), 0)) for d in fixed]
-    return observed + [_nth(year, 1, 0, 3), _nth(year, 2, 0, 3), _last_monday_of_may(year), _nth(year, 9, 0, 1),
-                       _nth(year, 10, 0, 2), _nth(year, 11, 3, 4)]
 
+def is_holiday(ts: Column) -> Column:
+    """Whether the New York date of `ts` is a public holiday as observed, in any year.
 
-def is_holiday(ts: Column, first_year: int = 2019, last_year: int = 2031) -> Column:
-    """Whether the New York date of `ts` is a holiday; widen the years for data outside them."""
-    days = sorted({d for year in range(first_year - 1, last_year + 2) for d in holidays(year)})
+    Fixed dates on a Saturday are observed the day before, on a Sunday the day after; Memorial Day is the last Monday of May.
+    """
     local = F.to_date(F.from_utc_timestamp(ts, NEW_YORK))
-    return local.isin([F.lit(d) for d in days])
+    weekday, month, day = F.weekday(local), F.month(local), F.dayofmonth(local)
+    fixed = lambda d: (F.month(d) * 100 + F.dayofmonth(d)).isin(FIXED_HOLIDAYS)
+    found = ((weekday < 5) & fixed(local)) | ((weekday == 4) & fixed(F.date_add(local, 1))) | ((weekday == 0) & fixed(F.date_sub(local, 1)))
+    found = found | ((month == 5) & (weekday == 0) & (day > 24))
+    for of_month, on, which in FLOATING_HOLIDAYS:
+        found = found | ((month == of_month) & (weekday == on) & (F.ceil(day / 7) == which))
+    return found
 
 
 def is_weekend(ts: Column) -> Column:

@@ -31,10 +31,15 @@ def at_most(value: ColumnLike, high: ColumnLike) -> Column:
 
 
 def clamp(value: ColumnLike, low: ColumnLike = 0.0, high: ColumnLike = 1.0) -> Column:
-    """The value within the bounds. For values that are never NULL: NULL would give the upper bound."""
+    """The value within the bounds, for values that are never NULL (`clamp_known` is for those that may be)."""
     return at_least(at_most(value, high), low)
 
 
+def clamp_known(value: ColumnLike, low: ColumnLike = 0.0, high: ColumnLike = 1.0) -> Column:
+    """The value within the bounds; NULL stays NULL."""
+    return F.when(col_of(value).isNotNull(), clamp(value, low, high))
+
+
 def finite(value: ColumnLike, default: ColumnLike | None = None) -> Column:
     """The value as a finite double; missing, unparseable, NaN and infinite values become `default`."""
     number = col_of(value).try_cast("double")

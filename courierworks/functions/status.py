@@ -62,9 +62,8 @@ def metadata_tag(source: ColumnLike) -> Column:
 
 def metadata_map(source: ColumnLike) -> Column:
     """`tag;key=value;…` as a map with lower-case keys; items without `=` or without a key are left out."""
-    items = F.slice(F.split(F.coalesce(col_of(source), F.lit("")), ";"), 2, 10000)
     pairs = F.transform(
-        F.filter(items, lambda item: F.trim(item).rlike(r"^\s*[^=\s][^=]*=")),
+        F.filter(F.split(F.coalesce(col_of(source), F.lit("")), ";"), lambda item, i: (i > 0) & F.trim(item).rlike(r"^\s*[^=\s][^=]*=")),
         lambda item: F.struct(
             F.lower(F.trim(F.split_part(item, F.lit("="), F.lit(1)))).alias("key"),
             F.trim(F.regexp_replace(item, r"^[^=]*=", "")).alias("value"),

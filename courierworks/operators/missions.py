@@ -9,8 +9,6 @@ from courierworks.functions.num import clamp, round_half_up
 from courierworks.functions.zones import strategy_name
 from courierworks.operators.keyed import top_per_key
 
-JOURNAL_LIMIT = 200
-
 
 def mission_outcomes(reports: DataFrame) -> DataFrame:
     """Reports with predicted and realised gain, success and how well the two agree."""
@@ -26,8 +24,10 @@ def mission_outcomes(reports: DataFrame) -> DataFrame:
         "success": success, "alignment_score": F.when(apart.isNotNull(), round_half_up(clamp(1.0 - apart / 8.0), 4))})
 
 
-def journal(outcomes: DataFrame, limit: int = JOURNAL_LIMIT) -> DataFrame:
-    """The newest entries of every driver; the journal keeps no more by definition."""
+def journal(outcomes: DataFrame, limit: int | None = None) -> DataFrame:
+    """The entries of every driver, or only the newest `limit` of each."""
+    if limit is None:
+        return outcomes
     return top_per_key(outcomes, ["courier_id"], [F.desc("completed_at"), F.asc("mission_id")], limit)
 
 

@@ -18,21 +18,17 @@ REPLAY_COLUMNS = {
 }
 
 
-def check_range(start: datetime, end: datetime, courier_id: str | None, max_hours: float = 24,
-                max_hours_without_courier: float = 3) -> None:
+def check_range(start: datetime, end: datetime, courier_id: str | None, max_hours: float | None = None,
+                max_hours_without_courier: float | None = None) -> None:
+    """Refuse a range that ends before it starts or, where bounds are given, one that is longer."""
     if end < start:
         raise ValueError("the end lies before the start")
-    if end - start > timedelta(hours=max_hours):
+    if max_hours is not None and end - start > timedelta(hours=max_hours):
         raise ValueError(f"the range is longer than {max_hours} h")
-    if courier_id is None and end - start > timedelta(hours=max_hours_without_courier):
+    if courier_id is None and max_hours_without_courier is not None and end - start > timedelta(hours=max_hours_without_courier):
         raise ValueError(f"ranges over {max_hours_without_courier} h need a courier")
 
 
-def source_limit(limit: int) -> int:
-    """Rows taken from each source before the union: four times the limit, within 200 and 6000."""
-    return min(6000, max(200, limit * 4))
-
-
 def _aligned(df: DataFrame, fixed: dict[str, str]) -> DataFrame:
     columns = []
     for name, kind in REPLAY_COLUMNS.items():
@@ -56,13 +52,15 @@ def replay(events: DataFrame | None, positions: DataFrame | None) -> DataFrame:
 
 
 def replay_tail(events: DataFrame | None, positions: DataFrame | None, start: datetime, end: datetime,
-                courier_id: str | None = None, limit: int = 300) -> DataFrame:
+                courier_id: str | None = None, limit: int = 300, max_hours: float | None = None,
+                max_hours_without_courier: float | None = None) -> DataFrame:
     """The newest `limit` rows of the range in ascending order.
 
-    Each source is cut to its own newest rows first, so the union is small whatever the lake holds.
+    Each source is cut to its own newest `limit` rows first, so the union is small whatever the lake holds.
     """
-    check_range(start, end, courier_id)
-    limit = min(5000, max(1, int(limit)))
+    check_range(start, end, courier_id, max_hours, max_hours_without_courier)
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
 
     def newest(df: DataFrame | None) -> DataFrame | None:
         if df is None:
@@ -70,7 +68,7 @@ def replay_tail(events: DataFrame | None, positions: DataFrame | None, start: da
         rows = df.where((F.col("ts") >= F.lit(start)) & (F.col("ts") <= F.lit(end)))
         if courier_id is not None:
             rows = rows.where(F.col("courier_id") == courier_id)
-        return rows.orderBy(F.desc("ts"), "courier_id", "event_id").limit(source_limit(limit))
+        return rows.orderBy(F.desc("ts"), "courier_id", "event_id").limit(limit)
 
     tail = replay(newest(events), newest(positions))
     return tail.orderBy(F.desc("ts"), "courier_id", "event_id").limit(limit).orderBy("ts", "courier_id", "event_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courierworks.functions.cost import FUEL_PRICE_USD_GALLON, KM_TO_MILES, VEHICLE_MPG, fuel_cost_plain, net_eur
-from courierworks.functions.num import at_least, clamp, ratio, round_half_up
+from courierworks.functions.num import at_least, clamp, clamp_known, ratio, round_half_up
 
 STRATEGIES = ["copilot", "greedy_eur_h", "random", "always_accept"]
 COPILOT_MIN, GREEDY_MIN_EUR_H, RANDOM_SHARE = 0.55, 12.0, 0.6
@@ -110,7 +110,7 @@ def apply_scenarios(offers: DataFrame, names: list[str] | None = None) -> DataFr
                 continue
             value = F.col(target) * F.col(f"__m.{key}") if kind == "mul" else F.col(target) + F.col(f"__m.{key}")
             if target in BOUNDS:
-                value = clamp(value, *BOUNDS[target])
+                value = clamp_known(value, *BOUNDS[target])
             changes[target] = F.when(F.col(f"__m.has_{key}"), value).otherwise(F.col(target))
     rows = rows.withColumns(changes)
     or_one = lambda name: F.coalesce(F.nullif(F.col(name), F.lit(0.0)), F.lit(1.0))
@@ -118,7 +118,7 @@ def apply_scenarios(offers: DataFrame, names: list[str] | None = None) -> DataFr
     dear = (fare * 0.75 - km * KM_TO_MILES / VEHICLE_MPG * (FUEL_PRICE_USD_GALLON * F.col("__m.fuel_price_mul"))) / (at_least(minutes, 1.0) / 60.0)
     return rows.withColumns({
         "estimated_net_eur_h": F.when(F.col("__m.fuel_price_mul") != 1.0, dear).otherwise(hourly_net(fare, km, minutes)),
-        "pressure_ratio": clamp(F.col("demand_index") / at_least("supply_index", 0.01), 0.0, 5.0)}).drop("__m")
+        "pressure_ratio": F.when(F.col("supply_index").isNotNull(), clamp_known(F.col("demand_index") / at_least("supply_index", 0.01), 0.0, 5.0))}).drop("__m")
 
 
 def compare_scenarios(offers: DataFrame) -> DataFrame:

@@ -15,11 +15,11 @@ from courierworks.functions.cost import FUEL_PRICE_USD_GALLON, fuel_cost_usd
 from courierworks.functions.geo import haversine_km
 from courierworks.functions.num import at_least, clamp, round_half_up
 from courierworks.functions.scoring import words
-from courierworks.operators.keyed import top_per_key
+from courierworks.operators.keyed import join_checked, top_per_key
 from courierworks.operators.spatial import radius_join
 
 REFERENCE_KM = 15.0
-EARTH_KM = 20_040.0  # more than the longest distance on the globe
+REACH_KM = 72.0  # the longest move anyone makes: 1.8 times 60 minutes at the highest speed, 40 km/h
 ZONE_COLUMNS = ["zone_id", "zone_lat", "zone_lon", "demand_index", "supply_index", "weather_factor", "traffic_factor",
                 "demand_trend_ema", "opportunity_score", "event_pressure", "temporal_pressure", "context_fallback_applied",
                 "context_stale_sources"]
@@ -34,29 +34,43 @@ def _zones(zone_state: DataFrame) -> DataFrame:
 
 
 def _with_few(drivers: DataFrame, few: DataFrame) -> DataFrame:
-    """Every driver with every row of `few`, whose size the callers bound by a rank."""
-    return drivers.withColumn("__one", F.lit(1)).join(F.broadcast(few.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    """Every driver with every row of `few`, which is small unless very many zones tie; broadcast only if it was counted to be small."""
+    return join_checked(drivers.withColumn("__one", F.lit(1)), few.withColumn("__one", F.lit(1)), ["__one"], max_rows=2_000).drop("__one")
+
+
+def _first(zones: DataFrame, score: Column, k: int) -> DataFrame:
+    """The `k` best zones by score, ties to the smaller id."""
+    return zones.withColumn("__score", score).orderBy(F.desc("__score"), "zone_id").limit(k).drop("__score")
 
 
 def _first_with_ties(zones: DataFrame, score: Column, k: int) -> DataFrame:
-    """The zones whose score is among the `k` best, ties included. `zones` has one row per zone."""
-    return zones.withColumn("__score", score).withColumn(
-        "__rank", F.rank().over(Window.orderBy(F.desc("__score")))).where(F.col("__rank") <= k).drop("__score", "__rank")
+    """The zones whose score is among the `k` best, ties included."""
+    scored = zones.withColumn("__score", score)
+    return _from_bound(scored, F.col("__score"), _kth(scored, F.col("__score"), k)).drop("__score")
+
+
+def _kth(zones: DataFrame, score: Column, k: int) -> DataFrame:
+    """One row: the `k`-th largest score, or the smallest if there are fewer."""
+    return zones.select(score.alias("__s")).orderBy(F.desc("__s")).limit(k).agg(F.min("__s").alias("__bound"))
 
 
-def driver_zone_pairs(drivers: DataFrame, zones: DataFrame, radius_km: float, far_score: Column | None, k: int) -> DataFrame:
-    """Drivers with the zones within the radius and, given a far score, with the best of all zones beyond it.
+def _from_bound(zones: DataFrame, score: Column, bound: DataFrame, slack: float = 0.0) -> DataFrame:
+    return zones.join(F.broadcast(bound), score >= F.col("__bound") - slack).drop("__bound")  # the bound is one row
+
+
+def driver_zone_pairs(drivers: DataFrame, zones: DataFrame, radius_km: float, far: DataFrame | None = None) -> DataFrame:
+    """Drivers with the zones within the radius and with the zones `far`, wherever they lie.
 
     Columns: those of the drivers (with lat, lon), of the zones, and distance_km.
     """
     located = zones.where("zone_lat IS NOT NULL AND zone_lon IS NOT NULL")
     centres = located.withColumnsRenamed({"zone_lat": "lat", "zone_lon": "lon"})
     near = radius_join(centres, drivers, radius_km).withColumnsRenamed({"centre_lat": "zone_lat", "centre_lon": "zone_lon"})
-    if far_score is None:
+    if far is None:
         return near
-    far = _with_few(drivers, _first_with_ties(located, far_score, k)).withColumn(
+    beyond = _with_few(drivers, far).withColumn(
         "distance_km", haversine_km("lat", "lon", "zone_lat", "zone_lon")).where(F.col("distance_km") > radius_km)
-    return near.unionByName(far)
+    return near.unionByName(beyond)
 
 
 def next_best_zone(drivers: DataFrame, zone_state: DataFrame, k: int = 5, distance_weight: float = 0.0,
@@ -72,15 +86,19 @@ def next_best_zone(drivers: DataFrame, zone_state: DataFrame, k: int = 5, distan
     people = drivers.select(*columns)
     base = at_least(F.col("opportunity_score"), 0.0)
     placed = people.where("lat IS NOT NULL AND lon IS NOT NULL")
+    located = zones.where("zone_lat IS NOT NULL AND zone_lon IS NOT NULL")
     if max_distance_km is not None:
-        pairs = driver_zone_pairs(placed, zones, max_distance_km, None, k)
+        pairs = driver_zone_pairs(placed, zones, max_distance_km)
     elif with_home and distance_weight > 0:
-        pairs = driver_zone_pairs(placed, zones, EARTH_KM, None, k)
+        # A far zone scores between base * (1 - w) and, straight on the way home, base * (1 - 0.4 w): only zones whose upper bound
+        # reaches the k-th lower bound can be among the first k.
+        bound = _kth(located, base * (1.0 - distance_weight), k)
+        pairs = driver_zone_pairs(placed, zones, reference_km, _from_bound(located, base * (1.0 - 0.4 * distance_weight), bound, 0.002))
     else:
-        pairs = driver_zone_pairs(placed, zones, reference_km, round_half_up(base * (1.0 - distance_weight), 3), k)
-    nowhere = _first_with_ties(zones.where("zone_lat IS NULL OR zone_lon IS NULL"), round_half_up(base, 3), k)
+        pairs = driver_zone_pairs(placed, zones, reference_km, _first(located, round_half_up(base * (1.0 - distance_weight), 3), k))
+    nowhere = _first(zones.where("zone_lat IS NULL OR zone_lon IS NULL"), round_half_up(base, 3), k)
     plain = _with_few(placed, nowhere).unionByName(_with_few(
-        people.where("lat IS NULL OR lon IS NULL"), _first_with_ties(zones, round_half_up(base, 3), k)))
+        people.where("lat IS NULL OR lon IS NULL"), _first(zones, round_half_up(base, 3), k)))
     pairs = pairs.unionByName(plain.withColumn("distance_km", F.lit(None).cast("double")))
     km, known = F.col("distance_km"), F.col("distance_km").isNotNull()
     penalty = F.when(known, F.least(km / max(reference_km, 0.5), F.lit(1.0)) * distance_weight).otherwise(F.lit(0.0))
@@ -123,9 +141,10 @@ def shift_plan(drivers: DataFrame, zone_state: DataFrame, horizon_min: int = 60,
                             .otherwise(F.lit(18.0)).alias("target_eur_h")).where("lat IS NOT NULL")
     k = max(3, int(k))
     if max_distance_km is not None:
-        pairs = driver_zone_pairs(people, zones, max_distance_km, None, k)
+        pairs = driver_zone_pairs(people, zones, max_distance_km)
     else:
-        pairs = driver_zone_pairs(people, zones, REFERENCE_KM, round_half_up(score(F.lit(REFERENCE_KM)), 4), k)
+        far = _first_with_ties(zones.where("zone_lat IS NOT NULL AND zone_lon IS NOT NULL"), round_half_up(score(F.lit(REFERENCE_KM)), 4), k)
+        pairs = driver_zone_pairs(people, zones, REFERENCE_KM, far)
     c = F.col
     pairs = pairs.withColumns({"shift_score": score(c("distance_km")), "eta_min": fz.leg_eta_min(c("distance_km"), c("traffic_factor"))})
     cost = fz.reposition_cost(c("distance_km"), c("eta_min"), F.lit(fuel_price), c("vehicle_mpg"), c("target_eur_h"),
@@ -163,21 +182,17 @@ def shift_plan(drivers: DataFrame, zone_state: DataFrame, horizon_min: int = 60,
 
 def reposition_options(drivers: DataFrame, zone_state: DataFrame, zone_k: int = 5, max_eta_min: float = 20.0,
                        horizon_min: float = 30.0, fuel_price: float = FUEL_PRICE_USD_GALLON) -> DataFrame:
-    """The `zone_k` best moves of every driver among the zones of highest opportunity.
+    """The `zone_k` best moves of every driver among all zones within reach.
 
     `drivers` has courier_id, lat, lon, vehicle_mpg, aversion_risque, dispatch_strategy, target_hourly and
-    the figures of staying (stay_gap, stay_eur_h). The number of zones looked at, three times `zone_k` and
-    at most 50, is part of the feature.
+    the figures of staying (stay_gap, stay_eur_h).
     """
-    scan = min(50, max(zone_k * 3, zone_k + 4))
     zones = _zones(zone_state)
-    best = zones.orderBy(F.desc(round_half_up("opportunity_score", 3)), F.asc("zone_id")).limit(scan).where("zone_lat IS NOT NULL")
     c = F.col
     setting = lambda name: fz.strategy_value("dispatch_strategy", name)
-    rows = _with_few(drivers.where("lat IS NOT NULL"), best).withColumns({
+    rows = driver_zone_pairs(drivers.where("lat IS NOT NULL AND lon IS NOT NULL"), zones, REACH_KM).withColumnRenamed("distance_km", "route_distance_km").withColumns({
         "__max_eta": clamp(max_eta_min * setting("eta_limit_multiplier"), 3.0, 60.0),
-        "__horizon": clamp(horizon_min * setting("forecast_horizon_multiplier"), 10.0, 90.0),
-        "route_distance_km": haversine_km("lat", "lon", "zone_lat", "zone_lon")})
+        "__horizon": clamp(horizon_min * setting("forecast_horizon_multiplier"), 10.0, 90.0)})
     rows = rows.withColumn("eta_min", fz.leg_eta_min(c("route_distance_km"), c("traffic_factor"))).where(
         c("eta_min") <= c("__max_eta") * 1.8)
     rows = rows.select("*", *[x.alias(n) for n, x in _forecast(c("__horizon")).items()])

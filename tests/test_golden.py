@@ -128,9 +128,10 @@ def test_zone_without_coordinates_is_kept(spark):
 
 
 def test_holidays(spark):
-    days = ["2021-12-31 17:00:00", "2024-07-04 17:00:00", "2024-07-05 17:00:00", "2024-11-28 17:00:00", "2023-11-10 17:00:00"]
+    days = ["2021-12-31 17:00:00", "2024-07-04 17:00:00", "2024-07-05 17:00:00", "2024-11-28 17:00:00", "2023-11-10 17:00:00",
+            "2035-12-25 17:00:00", "2017-05-29 17:00:00", "2040-01-16 17:00:00", "2040-12-26 17:00:00", "2017-11-11 17:00:00", "1999-12-31 17:00:00"]
     rows = spark.createDataFrame([(d,) for d in days], "t string").withColumn("h", fx.is_holiday(F.col("t").cast("timestamp")))
-    assert [r["h"] for r in rows.collect()] == [True, True, False, True, True]
+    assert [r["h"] for r in rows.collect()] == [True, True, False, True, True, True, True, True, False, False, True]
 
 
 def test_time_weight_and_severity(spark):
@@ -165,7 +166,7 @@ def test_lake_prunes_hours(spark, tmp_path):
     assert read.count() == 3 and len(read.inputFiles()) == 48
     plan = read._sc._jvm.PythonSQLUtils.explainString(read._jdf.queryExecution(), "formatted")
     assert "PartitionFilters" in plan and "1000000" in plan.split("PartitionFilters")[1].split("\n")[0]
-    assert lake.latest_event_time(lake.read_position_lake(spark, str(tmp_path / "lake"))) == datetime(2024, 1, 2, 23)
+    assert lake.latest_event_time(spark, str(tmp_path / "lake")) == datetime(2024, 1, 2, 23)
     (tmp_path / "lake" / "year=2024" / "bad.parquet").write_bytes(b"no parquet")
     scan = lake.quarantine_scan(spark, str(tmp_path / "lake"))
     assert scan.where("problem IS NOT NULL").count() == 1
