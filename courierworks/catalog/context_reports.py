@@ -200,8 +200,8 @@ def signals_parsed(v: Views):
 
 
 QUALITY_SQL = f"""WITH {PARSED_SQL},
-t AS (SELECT ts, count(*) AS zones, min(supply_index) AS a, max(supply_index) AS b, avg(supply_index) AS m, var_pop(supply_index) AS var, avg((traffic_factor > 1.01)::int) AS nz,
-    avg(traffic_factor) AS tm, avg(event_pressure) AS em, max(event_pressure) AS ex, avg((event_pressure > 0.001)::int) AS en FROM ps GROUP BY 1),
+t AS (SELECT ts, count(*) AS zones, min(supply_index) AS a, max(supply_index) AS b, sum(i) / 1000.0::double / count(*) AS m, (sum(i * i) * count(*) - sum(i) * sum(i))::double / (count(*) * count(*))::double / 1000000.0::double AS var, avg((traffic_factor > 1.01)::int) AS nz,
+    sum(cast(round(traffic_factor * 1000) AS bigint)) / 1000.0::double / count(*) AS tm, sum(cast(round(event_pressure * 10000) AS bigint)) / 10000.0::double / count(*) AS em, max(event_pressure) AS ex, avg((event_pressure > 0.001)::int) AS en FROM (SELECT *, cast(round(supply_index * 1000) AS bigint) AS i FROM ps) GROUP BY 1),
 s AS (SELECT *, max({r('m', 4)}) OVER w - min({r('m', 4)}) OVER w AS span, count(*) OVER w AS cycles FROM t WINDOW w AS (ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
 SELECT epoch_us(ts) AS ts_us, zones, {r('a', 3)} AS supply_min, {r('b', 3)} AS supply_max, {r('m', 3)} AS supply_mean, {r('sqrt(var)', 3)} AS supply_std, {r('var', 5)} AS supply_variance,
   {r('span', 5)} AS supply_window_span, cycles, cycles >= 6 AND span <= 0.03 AS supply_flat_alert, {r('nz', 3)} AS traffic_nonzero_rate, {r('tm', 3)} AS traffic_mean,

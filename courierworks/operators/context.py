@@ -208,12 +208,16 @@ def build_context_signals(zones: DataFrame, stations: DataFrame, events: DataFra
 
 def context_quality(signals: DataFrame, window: int = 10, min_ticks: int = 6, epsilon: float = 0.03) -> DataFrame:
     """Quality figures per tick (`ts`) and the alert for a supply that no longer changes."""
-    mean = lambda name: F.avg(name)
+    # The indices have three digits, the pressure four: sums of whole numbers do not depend on the order of the rows.
+    whole = lambda name, scale: F.round(F.col(name) * scale).cast("long")
+    mean = lambda name, scale=1000: F.sum(whole(name, scale)) / F.lit(float(scale)) / F.count(name)
+    square = F.sum(whole("supply_index", 1000) * whole("supply_index", 1000)) * F.count("supply_index") - F.pow(F.sum(whole("supply_index", 1000)), F.lit(2)).cast("long")
+    variance = square / F.pow(F.count("supply_index").cast("double"), F.lit(2.0)) / F.lit(1e6)
     per_tick = signals.groupBy("ts").agg(
         F.count("*").alias("zones"), F.min("supply_index").alias("supply_min"), F.max("supply_index").alias("supply_max"),
-        mean("supply_index").alias("supply_mean"), F.var_pop("supply_index").alias("supply_variance"),
+        mean("supply_index").alias("supply_mean"), variance.alias("supply_variance"),
         F.avg(flag(F.col("traffic_factor") > 1.01)).alias("traffic_nonzero_rate"), mean("traffic_factor").alias("traffic_mean"),
-        mean("event_pressure").alias("event_pressure_mean"), F.max("event_pressure").alias("event_pressure_max"),
+        mean("event_pressure", 10_000).alias("event_pressure_mean"), F.max("event_pressure").alias("event_pressure_max"),
         F.avg(flag(F.col("event_pressure") > 0.001)).alias("event_pressure_nonzero_rate"))
     rows = rolling_span(per_tick.withColumn("__mean4", round_half_up("supply_mean", 4)), "__mean4", "ts", window)
     return rows.select(
@@ -228,20 +232,14 @@ def context_quality(signals: DataFrame, window: int = 10, min_ticks: int = 6, ep
 def rolling_span(ticks: DataFrame, value: str, order: str, n: int = 10) -> DataFrame:
     """Largest minus smallest of the last `n` rows, and how many there were.
 
-    `ticks` is one series of ticks. It is cut into days; a day also sees the last n - 1 rows of the day
-    before, so no task holds more than one day and a few rows.
+    `ticks` is one series of ticks. It is cut into days; a day also sees the last n - 1 rows of each of the n - 1 days with rows before it,
+    which hold the n - 1 rows before its first one, however short those days are. No task holds more than a day and those few rows.
     """
     rows = ticks.withColumn("__day", F.floor(F.unix_micros(order) / F.lit(86_400_000_000)))
-    days = rows.groupBy("__day").count().withColumn("__next", F.lead("__day").over(Window.orderBy("__day")))
-    tail_rank = F.row_number().over(Window.partitionBy("__day").orderBy(F.desc(order)))
-    # A day with fewer rows than the window would need the day before it too; such short days are rare
-    # (a tick every 30 s gives 2880 a day), and then the whole series is small enough for one window.
-    short = days.where(F.col("count") < n - 1).limit(1).isEmpty() is False
-    if short:
-        w = Window.orderBy(order).rowsBetween(-(n - 1), 0)
-        return rows.drop("__day").withColumns({"span": F.max(value).over(w) - F.min(value).over(w), "cycles": F.count("*").over(w)})
-    carried = rows.withColumn("__r", tail_rank).where(F.col("__r") < n).drop("__r").join(days.drop("count"), "__day").where(
-        "__next IS NOT NULL").withColumn("__day", F.col("__next")).drop("__next").withColumn("__carried", F.lit(True))
+    numbered = rows.select("__day").distinct().withColumn("__number", F.row_number().over(Window.orderBy("__day")))  # one row per day
+    tails = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__day").orderBy(F.desc(order)))).where(F.col("__r") < n).drop("__r")
+    ahead = tails.join(numbered, "__day").withColumn("__number", F.explode(F.sequence(F.col("__number") + 1, F.col("__number") + n - 1))).drop("__day")
+    carried = ahead.join(numbered, "__number").drop("__number").withColumn("__carried", F.lit(True))
     both = rows.withColumn("__carried", F.lit(False)).unionByName(carried)
     w = Window.partitionBy("__day").orderBy(order).rowsBetween(-(n - 1), 0)
     spans = both.withColumns({"span": F.max(value).over(w) - F.min(value).over(w), "cycles": F.count("*").over(w)})
@@ -274,14 +272,14 @@ def zone_trend_ema(signals: DataFrame, **fold) -> DataFrame:
     return ordered_fold(rows, "zone_id", "ts", "event_id", ["__demand", "__us"], ["event_id"], zone_trend_step, ZONE_TREND, **fold)
 
 
-def parse_signal(signals: DataFrame) -> DataFrame:
-    """Context signals with their metadata as typed columns."""
+def parse_signal(signals: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Context signals with their metadata as typed columns, and the columns `keep` as they are."""
     meta = F.col("__meta")
     number = lambda key, digits, default=0.0, low=None, high=None: round_half_up(metadata_number(meta, key, default, low, high), digits)
     rows = signals.withColumn("__meta", metadata_map("source"))
     return rows.select(
-        "event_id", "zone_id", "ts", *[round_half_up(c, 3).alias(c) for c in
-                                       ["demand_index", "supply_index", "weather_factor", "traffic_factor"]],
+        "event_id", "zone_id", "ts", *keep, *[round_half_up(c, 3).alias(c) for c in
+                                              ["demand_index", "supply_index", "weather_factor", "traffic_factor"]],
         number("event_pressure", 4, 0.0, 0.0, 2.0).alias("event_pressure"),
         metadata_count(meta, "event_count_nearby", 0, 0, 5000).alias("event_count_nearby"),
         number("weather_precip_mm", 3, 0.0, 0.0, 200.0).alias("weather_precip_mm"),
@@ -300,14 +298,24 @@ def parse_signal(signals: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(metadata_tag("source"), F.lit("")), "source").alias("source"))
 
 
+TREND_COLUMNS = tuple(field.name for field in ZONE_TREND.fields)
+SIGNAL_COLUMNS = ["event_id", "ts", "demand_index", "supply_index", "weather_factor", "traffic_factor", "source"]
+
+
+def _with_trend(signals: DataFrame, **fold) -> DataFrame:
+    """Every signal with its trend columns, carried through the fold, so that nothing is joined back."""
+    rows = signals.withColumns({"__demand": round_half_up("demand_index", 3), "__us": F.unix_micros("ts").cast("double")})
+    return ordered_fold(rows, "zone_id", "ts", "event_id", ["__demand", "__us"], SIGNAL_COLUMNS, zone_trend_step, ZONE_TREND, **fold)
+
+
 def zone_context_history(signals: DataFrame, **fold) -> DataFrame:
     """Every parsed signal with its trend columns."""
-    return parse_signal(signals).join(zone_trend_ema(signals, **fold), ["zone_id", "event_id"])
+    return parse_signal(_with_trend(signals, **fold), TREND_COLUMNS)
 
 
 def zone_context_state(signals: DataFrame, **fold) -> DataFrame:
-    """The newest parsed signal of every zone with its trend columns."""
-    return latest_by(zone_context_history(signals, **fold), ["zone_id"], "ts", "event_id")
+    """The newest signal of every zone, parsed, with its trend columns; only the newest is parsed."""
+    return parse_signal(latest_by(_with_trend(signals, **fold), ["zone_id"], "ts", "event_id"), TREND_COLUMNS)
 
 
 def zone_opportunity(state: DataFrame, zones: DataFrame) -> DataFrame:

@@ -93,8 +93,9 @@ def gps_guardrails(positions: DataFrame, limits: Limits = Limits(), **fold) -> D
 
 
 def checked_positions(positions: DataFrame, limits: Limits = Limits(), **fold) -> DataFrame:
-    """The positions with their verdict columns."""
-    return positions.join(gps_guardrails(positions, limits, **fold), ["courier_id", "event_id"])
+    """The positions with their verdict columns; repeated messages keep their number of rows."""
+    carried = [c for c in positions.columns if c != "courier_id"]
+    return ordered_fold(with_inputs(positions), "courier_id", "ts", "event_id", INPUTS, carried, guard_step(limits), VERDICT, **fold)
 
 
 def live_state(checked: DataFrame) -> DataFrame:

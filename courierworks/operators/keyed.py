@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from courierworks.session import stage
+
 
 def time_bucket(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts)) / F.lit(seconds * 1_000_000)).cast("long")
@@ -129,47 +131,42 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
     return spread.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict, bins: int = 2048) -> DataFrame:
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict, bins: int = 2048, nulls_first: bool = False) -> DataFrame:
     """Exact order statistics per key without gathering a key's values in one task.
 
-    `ranks` maps a result column to a function from the row count (a column) to a zero-based rank.
-    Pass one counts values in equal-width bins, combined before the shuffle, and finds the bins that
-    hold the wanted ranks; pass two reads only those bins, as (value, count) pairs. The result also
-    carries the count in `n`.
+    `ranks` maps a result column to a function from the row count (a column) to a zero-based rank. Equal values are counted first,
+    combined before the shuffle, so a frequent value is one row from then on; the counts are written once and all further passes read
+    them. Equal-width bins find where the wanted ranks lie, and only those bins are ordered. The result also carries the count in `n`.
+    NULL values do not count, or with `nulls_first` count as smaller than all others.
     """
     on = keys or ["__all"]
-    rows = df.where(F.col(value).isNotNull())
-    rows = rows.select(*keys, F.col(value).alias("__v")) if keys else rows.select(
-        F.lit(1).alias("__all"), F.col(value).alias("__v"))
-    edges = rows.groupBy(*on).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("n"))
-    edges = edges.select("*", *[fn(F.col("n")).cast("long").alias(f"__k_{name}") for name, fn in ranks.items()])
+    rows = df.select(*keys, F.col(value).alias("__v")) if keys else df.select(F.lit(1).alias("__all"), F.col(value).alias("__v"))
+    counted = stage(rows.groupBy(*on, "__v").agg(F.count("*").alias("__m")))
+    some = F.col("__v").isNotNull()
+    edges = counted.groupBy(*on).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.coalesce(F.sum(F.when(some, F.col("__m"))), F.lit(0)).alias("__some"),
+                                     F.sum("__m").alias("__whole"))
+    n = F.col("__whole") if nulls_first else F.col("__some")
+    skip = F.col("__whole") - F.col("__some") if nulls_first else F.lit(0)
     wanted = [f"__k_{name}" for name in ranks]
+    edges = edges.where(n > 0).select(*on, "__lo", "__hi", n.alias("n"), *[(fn(n) - skip).cast("long").alias(f"__k_{name}") for name, fn in ranks.items()])
     width = F.col("__hi") - F.col("__lo")
     bin_of = F.when(
         width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / width * F.lit(float(bins))), F.lit(bins - 1))
     ).otherwise(F.lit(0)).cast("int")
-    binned = join_checked(rows, edges, on).withColumn("__bin", bin_of).select(*on, "__bin", "__v", "n", *wanted)
-    constants = ["n", *wanted]
-    counts = binned.groupBy(*on, "__bin").agg(F.count("*").alias("__c"), *[F.first(c).alias(c) for c in constants])
+    binned = join_checked(counted.where(some), edges, on).withColumn("__bin", bin_of).select(*on, "__bin", "__v", "__m", *wanted)
+    counts = binned.groupBy(*on, "__bin").agg(F.sum("__m").alias("__c"), *[F.first(c).alias(c) for c in wanted])
     before = F.sum("__c").over(Window.partitionBy(*on).orderBy("__bin")) - F.col("__c")
     holds = F.lit(False)
     for k in wanted:
         holds = holds | ((F.col(k) >= F.col("__before")) & (F.col(k) < F.col("__before") + F.col("__c")))
     holding = counts.withColumn("__before", before).where(holds).select(*on, "__bin", "__before")
-    pairs = (
-        join_checked(binned, holding, [*on, "__bin"])
-        .groupBy(*on, "__bin", "__v")
-        .agg(F.count("*").alias("__m"), *[F.first(c).alias(c) for c in ["__before", *constants]])
-    )
     inside = Window.partitionBy(*on, "__bin").orderBy("__v")
-    placed = pairs.withColumn("__end", F.col("__before") + F.sum("__m").over(inside)).withColumn(
+    placed = join_checked(binned, holding, [*on, "__bin"]).withColumn("__end", F.col("__before") + F.sum("__m").over(inside)).withColumn(
         "__start", F.col("__end") - F.col("__m"))
     picked = placed.groupBy(*on).agg(
-        F.first("n").alias("n"),
         *[F.max(F.when((F.col(f"__k_{name}") >= F.col("__start")) & (F.col(f"__k_{name}") < F.col("__end")),
-                       F.col("__v"))).alias(name) for name in ranks],
-    )
-    return picked.select(*keys, "n", *ranks)
+                       F.col("__v"))).alias(name) for name in ranks])
+    return edges.select(*on, "n").join(picked, on, "left").select(*keys, "n", *ranks)
 
 
 def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str = "quantile") -> DataFrame:

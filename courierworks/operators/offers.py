@@ -87,21 +87,22 @@ def _ranked_by_window(rows: DataFrame, set_id: str, metric: str) -> DataFrame:
 
 
 def _ranked_spread(rows: DataFrame, set_id: str, metric: str, bins: int = 512) -> DataFrame:
-    """The same for very large sets: rank = rows in better bins of the metric + place inside the bin."""
+    """The same for very large sets: rank = rows in better bins of the metric + place inside the bin. Missing values are a last bin."""
     lead = METRICS.get(metric, METRICS["eur_per_hour_net"])[0]
-    two = top_per_key(rows.select(set_id, "offer_id", *METRICS["objective_score"]) if "objective_score" in rows.columns
-                      else rows, [set_id], _order(metric), 2, rank="__r")
+    slim = rows.select(set_id, "offer_id", *[c for c in METRICS["objective_score"] if c in rows.columns])
+    two = top_per_key(slim, [set_id], _order(metric), 2, rank="__r")
     tops = two.groupBy(set_id).agg(
         F.max(F.when(F.col("__r") == 1, F.col("eur_per_hour_net"))).alias("best_eur_h"),
         F.max(F.when(F.col("__r") == 2, F.col("eur_per_hour_net"))).alias("__second"))
-    worst = top_per_key(rows, [set_id], _order(metric, reverse=True), 1).select(
+    worst = top_per_key(slim, [set_id], _order(metric, reverse=True), 1).select(
         set_id, F.col("eur_per_hour_net").alias("worst_eur_h"))
-    middle = order_statistics(rows, [set_id], "eur_per_hour_net", {"median_eur_h": lambda n: F.floor(n / 2)})
+    middle = order_statistics(rows, [set_id], "eur_per_hour_net", {"median_eur_h": lambda n: F.floor(n / 2)}, nulls_first=True)
     edges = rows.groupBy(set_id).agg(F.min(lead).alias("__lo"), F.max(lead).alias("__hi"))
     stats = tops.join(worst, set_id).join(middle.withColumnRenamed("n", "set_size"), set_id).join(edges, set_id)
     stats = stats.withColumn("second_eur_h", F.coalesce("__second", "best_eur_h")).drop("__second")
     width = F.col("__hi") - F.col("__lo")
-    place = F.when(width > 0, F.floor((F.col("__hi") - F.col(lead)) / width * F.lit(float(bins)))).otherwise(F.lit(0))
+    place = (F.when(F.col(lead).isNull(), F.lit(bins + 1)).when(width > 0, F.floor((F.col("__hi") - F.col(lead)) / width * F.lit(float(bins))))
+             .otherwise(F.lit(0)))
     binned = join_checked(rows, stats, [set_id]).withColumn("__bin", place.cast("int"))
     counts = binned.groupBy(set_id, "__bin").count()
     offsets = counts.withColumn(
@@ -115,14 +116,17 @@ def rank_offers(scored: DataFrame, set_id: str = "set_id", by: str = "eur_per_ho
                 floor: float = REJECT_FLOOR, hot_rows: int = 1_000_000) -> DataFrame:
     """Scored offers with rank, recommendation and distances to the best and median of their set.
 
-    Sets over `hot_rows` offers are ranked in parallel bins instead of one window.
+    Sets over `hot_rows` offers are ranked in parallel bins instead of one window; both ways give the same rows, also for missing
+    scores (last in rank, first in the order of the median) and for offers without a set, which form one set.
     """
-    hot = scored.groupBy(set_id).count().where(F.col("count") > hot_rows).select(set_id)
+    keyed = scored.withColumn("__set", F.coalesce(F.concat(F.lit("="), F.col(set_id).cast("string")), F.lit("")))
+    hot = keyed.groupBy("__set").count().where(F.col("count") > hot_rows).select("__set")
     if hot.isEmpty():
-        ranked = _ranked_by_window(scored, set_id, by)
+        ranked = _ranked_by_window(keyed, "__set", by)
     else:
-        small = _ranked_by_window(join_checked(scored, hot, [set_id], "left_anti"), set_id, by)
-        ranked = small.unionByName(_ranked_spread(join_checked(scored, hot, [set_id], "left_semi"), set_id, by))
+        small = _ranked_by_window(join_checked(keyed, hot, ["__set"], "left_anti"), "__set", by)
+        ranked = small.unionByName(_ranked_spread(join_checked(keyed, hot, ["__set"], "left_semi"), "__set", by))
+    ranked = ranked.drop("__set")
     eur, target = F.col("eur_per_hour_net"), F.coalesce("target_hourly_net_eur", F.lit(0.0))
     top = (F.col("rank") == 1) & (eur >= TOP_PICK_MIN) & (
         (F.col("set_size") <= 1) | (eur - F.col("second_eur_h") >= TOP_PICK_EDGE))
@@ -168,13 +172,13 @@ def driver_offer_list(scored: DataFrame, sort_by: str = "score", n: int = 20, mi
 
 
 def best_offers_around(offers: DataFrame, drivers: DataFrame, profiles: DataFrame, radius_km: float = 4.0, k: int = 5,
-                       scan_limit: int = 120, min_score: float = 0.0, rank_by: str = "recommendation",
+                       scan_limit: int | None = None, min_score: float = 0.0, rank_by: str = "recommendation",
                        fuel_price_usd_gallon: float | None = None) -> DataFrame:
-    """The best `k` of a driver's latest `scan_limit` offers whose pickup lies within the radius.
+    """The best `k` of a driver's offers whose pickup lies within the radius; with `scan_limit` only of the newest so many.
 
-    `drivers` has courier_id, lat, lon. The scan limit is part of the feature: it bounds the work per driver.
+    `drivers` has courier_id, lat, lon.
     """
-    recent = top_per_key(offers, ["courier_id"], [F.desc("ts"), F.asc("offer_id")], scan_limit)
+    recent = offers if scan_limit is None else top_per_key(offers, ["courier_id"], [F.desc("ts"), F.asc("offer_id")], scan_limit)
     at = drivers.select("courier_id", F.col("lat").alias("driver_lat"), F.col("lon").alias("driver_lon"))
     km = haversine_km("driver_lat", "driver_lon", "pickup_lat", "pickup_lon")
     near = recent.join(at, "courier_id").withColumn("__km", km).where(F.col("__km") <= radius_km)

@@ -193,6 +193,8 @@ def stale_or_live(history: DataFrame, live: DataFrame, key: str = "courier_id")
 def reference_time(explicit: Column | None, clock: Column | None, lake: DataFrame, track: DataFrame) -> DataFrame:
     """One row: the explicit time, else the replay clock, else the newest lake time, else the newest track time."""
     given = [c for c in (explicit, clock) if c is not None]
+    if explicit is not None:  # nothing to look for
+        return lake.sparkSession.range(1).select(explicit.alias("ref_ts"))
     newest = lake.agg(F.max("ts").alias("a")).withColumn("__one", F.lit(1)).join(
         track.agg(F.max("ts").alias("b")).withColumn("__one", F.lit(1)), "__one")
     return newest.select(F.coalesce(*given, "a", "b").alias("ref_ts"))

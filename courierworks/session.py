@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -38,15 +38,33 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: `spark.checkpoint.dir`, or a temporary one in local mode only."""
+    """The folder for intermediate tables: `spark.checkpoint.dir`.
+
+    Only a session on one machine may leave it unset; it then gets a folder of its own there, which goes when the session ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = os.path.join(tempfile.gettempdir(), f"courierworks-{os.getpid()}")
+        folder = tempfile.mkdtemp(prefix="courierworks-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        _removed_at_exit(spark, folder)
     return folder
 
 
+def _removed_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system remove `path` when the application ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _removed_at_exit(spark, path)
+    return path
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small table in the shared folder."""
     context = df.sparkSession.sparkContext
@@ -60,6 +78,6 @@ def stage(df: DataFrame) -> DataFrame:
 
     Unlike a cache it survives lost executors, and later passes read only the columns they need.
     """
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

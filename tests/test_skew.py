@@ -70,6 +70,49 @@ def test_ranking_of_large_sets(views):
          offers.rank_offers(scored, "courier_id", hot_rows=5).select("courier_id", *columns))
 
 
+def test_ranking_with_missing_scores_missing_sets_and_ties(spark):
+    rows = [("a", "o1", 10.0), ("a", "o2", None), ("a", "o3", 14.5), ("a", "o4", 10.0), (None, "o5", 3.0), (None, "o6", None), ("b", "o7", None), ("c", "o8", 20.0)]
+    scored = spark.createDataFrame([(s, o, x, x, x, x, 18.0) for s, o, x in rows],
+                                   "set_id string, offer_id string, eur_per_hour_net double, estimated_net_eur double, accept_score double, objective_score double, target_hourly_net_eur double")
+    columns = ["set_id", "offer_id", "rank", "set_size", "recommendation", "best_eur_h", "worst_eur_h", "second_eur_h", "median_eur_h", "delta_vs_median_eur_h"]
+    plain = {r["offer_id"]: tuple(r) for r in offers.rank_offers(scored).select(*columns).collect()}
+    for metric in ("eur_per_hour_net", "objective_score"):
+        one, other = (offers.rank_offers(scored, by=metric, hot_rows=n).select(*columns) for n in (1_000_000, 0))
+        same(one, other)
+    assert plain["o2"][2:4] == (4, 4) and plain["o3"][2] == 1 and plain["o1"][8] == 10.0 and plain["o5"][3] == 2 and plain["o7"][3] == 1
+
+
+def test_order_statistics_with_missing_values(spark):
+    df = spark.createDataFrame([("a", x) for x in (None, None, 5.0, 1.0, 1.0, 3.0)] + [("b", None)], "k string, v double")
+    ranks = {"mid": lambda n: F.floor(n / 2)}
+    assert {r["k"]: (r["n"], r["mid"]) for r in keyed.order_statistics(df, ["k"], "v", ranks).collect()} == {"a": (4, 3.0)}
+    assert {r["k"]: (r["n"], r["mid"]) for r in keyed.order_statistics(df, ["k"], "v", ranks, nulls_first=True).collect()} == {"a": (6, 1.0), "b": (1, None)}
+
+
+def test_repeated_messages_keep_their_rows(views):
+    three = views.positions.unionByName(views.positions).unionByName(views.positions)
+    assert guardrails.checked_positions(three).count() == three.count()
+
+
+def test_rolling_span_over_short_and_missing_days(spark):
+    times = [0, 10, 20, 86_400, 3 * 86_400, 3 * 86_400 + 5, 3 * 86_400 + 6, 9 * 86_400] + [9 * 86_400 + k for k in range(1, 15)]
+    values = [float((7 * i) % 11) for i in range(len(times))]
+    df = spark.createDataFrame(list(zip(times, values)), "s long, v double").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["s"]: (r["span"], r["cycles"]) for r in context.rolling_span(df, "v", "ts", 5).collect()}
+    window = lambda i: values[max(0, i - 4):i + 1]
+    assert got == {t: (max(window(i)) - min(window(i)), len(window(i))) for i, t in enumerate(times)}
+
+
+def test_homeward_moves_meet_few_zones(spark):
+    from courierworks.plans import dispatch
+
+    zones = spark.createDataFrame([(f"z{i:02d}", 40.0 + i, -74.0, 1.0, 1.0, 1.0, 1.0, 1.0 if i % 2 else 0.2) for i in range(20)],
+                                  "zone_id string, lat double, lon double, demand_index double, supply_index double, weather_factor double, traffic_factor double, opportunity_score double")
+    drivers = spark.createDataFrame([("d", 40.0, -74.0, 31.0, 58.0, -74.0)], "courier_id string, lat double, lon double, vehicle_mpg double, home_lat double, home_lon double")
+    got = dispatch.next_best_zone(drivers, zones, 3, distance_weight=0.3, with_home=True).orderBy("rank").collect()
+    assert [r["zone_id"] for r in got] == ["z17", "z19", "z15"] and got[0]["adjusted_opportunity_score"] > got[2]["adjusted_opportunity_score"]
+
+
 def test_nearest_zone_far_away(spark):
     zones = spark.createDataFrame([("a", 40.6, -74.0), ("b", 40.7, -73.9), ("c", -33.9, 151.2)], "zone_id string, lat double, lon double")
     points = spark.createDataFrame([(1, 40.61, -74.0), (2, 10.0, 10.0), (3, -40.0, 179.9), (4, 40.66, -73.94), (5, 89.0, 0.0)], "id int, lat double, lon double")
