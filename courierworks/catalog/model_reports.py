@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courierworks.catalog.offer_reports import clamp
+from courierworks.catalog.offer_reports import clamp, inputs
 from courierworks.catalog.registry import r, report
 from courierworks.functions.num import round_half_up
 from courierworks.functions.status import tidy
@@ -95,18 +95,48 @@ def model_quality_gate(v: Views):
     return training.quality_gate(training.evaluate(rule_scored(v))).select("rows", F.split_part("reason", F.lit(":"), F.lit(1)).alias("reason"))
 
 
-@report("model_calibration")
+@report("model_calibration", f"""WITH {METRICS_SQL}, od AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS k, count(*) OVER () AS n FROM sc),
+ct AS (SELECT p AS q FROM od, range(1, 10) t(i) WHERE k = n * i // 10),
+nb AS (SELECT label, p, (SELECT count(*) FROM ct WHERE q <= sc.p) AS bin FROM sc)
+SELECT bin::int AS bin, {r('avg(p)', 6)} AS mean_score, {r('avg(label)', 6)} AS observed_rate, count(*) AS rows FROM nb GROUP BY 1""")
 def model_calibration(v: Views):
-    return training.calibration_bins(rule_scored(v)).orderBy("bin")
+    return training.calibration_bins(rule_scored(v)).select("bin", round_half_up("mean_score", 6).alias("mean_score"), round_half_up("observed_rate", 6).alias("observed_rate"), "rows")
 
 
-@report("model_scores")
+def usual(p: str) -> Column:
+    """Whether a probability is one."""
+    return (F.col(p) > 0) & (F.col(p) < 1)
+
+
+@report("model_scores", f"""WITH {FRAME_SQL}, od AS (SELECT offer_id, label, row_number() OVER (ORDER BY ts, offer_id) AS k, count(*) OVER () AS n FROM fr)
+SELECT offer_id, label::bigint AS label, true AS usual FROM od WHERE k > greatest(1, least(floor(n * 0.8::double), n - 1))""")
 def model_scores(v: Views):
-    """Probabilities of a model trained on the older offers, for the newer ones."""
-    train, test = training.temporal_split(frame(v))
-    weighted, total = training.with_weights(train)
+    """Probabilities of a model trained on the older offers, for the newer ones, with the regularisation chosen from the grid."""
+    rows = stage(frame(v))
+    model, metrics = training.train_model(rows)
+    if [c["c"] for c in metrics["candidate_metrics"]] != training.C_GRID or metrics["best_logreg_c"] not in training.C_GRID:
+        raise ValueError("the grid was not searched")
+    _, test = training.temporal_split(rows)
+    return training.probabilities(model, test).select("offer_id", F.col("label").cast("long").alias("label"), usual("p").alias("usual"))
+
+
+@report("model_offers", "SELECT offer_id, 'ml' AS model_used, true AS usual FROM offers")
+def model_offers(v: Views):
+    """All offers scored by a trained model instead of the rules."""
+    weighted, total = training.with_weights(frame(v))
     model = training.fit(stage(weighted), 0.75, total)
-    return training.probabilities(model, test).select("offer_id", "label", round_half_up("p", 6).alias("p"))
+    scored = training.score_with_model(inputs(v), model)
+    return scored.select("offer_id", "model_used", F.col("accept_score").between(0.01, 0.99).alias("usual"))
+
+
+@report("train_window", """SELECT offer_id FROM offers WHERE cast(substr(offer_id, 5) AS bigint) % 7 IN (0, 3)""")
+def train_window(v: Views):
+    """Offers inside a month; some lie on its first instant, some on the first instant after it, some before."""
+    number = F.substring("offer_id", 5, 20).cast("long") % 7
+    at = lambda text: F.lit(text).cast("timestamp")
+    moved = v.offers.withColumn("ts", F.when(number == 0, at("2024-03-01 00:00:00")).when(number == 3, at("2024-04-30 23:59:59.999999"))
+                                .when(number == 5, at("2024-05-01 00:00:00")).otherwise(at("2024-02-29 23:59:59.999999")))
+    return training.in_window(moved, training.train_window("2024-03", 2)).select("offer_id")
 
 
 TRIED_SQL = f"""bo AS (SELECT o.*, e.af AS actual_fare, e.ak AS actual_km, e.am AS actual_min, weather_factor - 0.5::double AS supply_index FROM offers o LEFT JOIN (SELECT offer_id, max(actual_fare_eur) AS af, max(actual_distance_km) AS ak,
@@ -130,19 +160,27 @@ def run_backtest(v: Views):
     return backtest.backtest(tried(v))
 
 
-SCENARIO_SQL = f"""so AS (SELECT o.*, weather_factor - 0.5::double AS supply_index, traffic_factor / 5 AS event_pressure, demand_index / 10 AS temporal_pressure FROM offers o),
-sx AS (SELECT s.scenario, o.offer_id, o.courier_id, o.estimated_fare_eur AS fare, o.estimated_distance_km AS km, CASE WHEN s.d IS NULL THEN o.demand_index ELSE {clamp('o.demand_index * s.d')} END AS demand,
-  CASE WHEN s.su IS NULL THEN o.supply_index ELSE {clamp('o.supply_index * s.su')} END AS supply, CASE WHEN s.w IS NULL THEN o.weather_factor ELSE {clamp('o.weather_factor + s.w', 0.5, 2.5)} END AS weather,
-  CASE WHEN s.t IS NULL THEN o.traffic_factor ELSE {clamp('o.traffic_factor * s.t', 0.1, 2.0)} END AS traffic, o.estimated_duration_min * coalesce(s.m, 1) AS minutes, coalesce(s.f, 1) AS fuel,
-  CASE WHEN s.e IS NULL THEN o.event_pressure ELSE {clamp('o.event_pressure + s.e')} END AS event FROM so o,
+def known(x: str, low: float = 0.0, high: float = 1.0) -> str:
+    return f"CASE WHEN ({x}) IS NOT NULL THEN {clamp(x, low, high)} END"
+
+
+SCENARIO_SQL = f"""so AS (SELECT o.* REPLACE (CASE WHEN cast(substr(offer_id, 5) AS bigint) % 19 > 0 THEN demand_index END AS demand_index),
+  CASE WHEN cast(substr(offer_id, 5) AS bigint) % 23 > 0 THEN weather_factor - 0.5::double END AS supply_index, traffic_factor / 5 AS event_pressure FROM offers o),
+sx AS (SELECT s.scenario, o.offer_id, o.courier_id, o.estimated_fare_eur AS fare, o.estimated_distance_km AS km, CASE WHEN s.d IS NULL THEN o.demand_index ELSE {known('o.demand_index * s.d')} END AS demand,
+  CASE WHEN s.su IS NULL THEN o.supply_index ELSE {known('o.supply_index * s.su')} END AS supply, CASE WHEN s.w IS NULL THEN o.weather_factor ELSE {known('o.weather_factor + s.w', 0.5, 2.5)} END AS weather,
+  CASE WHEN s.t IS NULL THEN o.traffic_factor ELSE {known('o.traffic_factor * s.t', 0.1, 2.0)} END AS traffic, o.estimated_duration_min * coalesce(s.m, 1) AS minutes, coalesce(s.f, 1) AS fuel,
+  CASE WHEN s.e IS NULL THEN o.event_pressure ELSE {known('o.event_pressure + s.e')} END AS event FROM so o,
   (VALUES ('baseline', NULL::double, NULL::double, NULL::double, NULL::double, NULL::double, NULL::double, NULL::double), ('heavy_rain', 1.35, NULL, 0.4, 0.75, 1.3, NULL, NULL), ('traffic_jam', NULL, 0.7, NULL, 0.45, 1.8, NULL, NULL),
    ('fuel_spike', NULL, NULL, NULL, NULL, NULL, 1.4, NULL), ('peak_event', 1.5, NULL, NULL, NULL, NULL, NULL, 0.45)) s(scenario, d, su, w, t, m, f, e)),
-sy AS (SELECT *, (fare * 0.75::double - km * 0.621371::double / 31 * (3.65::double * fuel)) / (minutes / 60) AS h, {clamp('demand / greatest(supply, 0.01)', 0, 5)} AS pressure FROM sx)"""
+sy AS (SELECT *, (fare * 0.75::double - km * 0.621371::double / 31 * (3.65::double * fuel)) / (minutes / 60) AS h, CASE WHEN supply IS NOT NULL THEN {known('demand / greatest(supply, 0.01)', 0, 5)} END AS pressure FROM sx)"""
 
 
 def scenario_offers(v: Views) -> DataFrame:
-    return v.offers.withColumns({"supply_index": F.col("weather_factor") - 0.5, "event_pressure": F.col("traffic_factor") / 5.0,
-                                 "temporal_pressure": F.col("demand_index") / 10.0})
+    """Offers with context columns; some lack their demand or their supply."""
+    number = F.substring("offer_id", 5, 20).cast("long")
+    return v.offers.withColumns({
+        "supply_index": F.when(number % 23 > 0, F.col("weather_factor") - 0.5), "event_pressure": F.col("traffic_factor") / 5.0,
+        "temporal_pressure": F.col("demand_index") / 10.0, "demand_index": F.when(number % 19 > 0, F.col("demand_index"))})
 
 
 @report("scenarios", f"""WITH {SCENARIO_SQL} SELECT scenario, offer_id, {r('demand', 6)} AS demand_index, {r('supply', 6)} AS supply_index, {r('weather', 6)} AS weather_factor, {r('traffic', 6)} AS traffic_factor, {r('event', 6)} AS event_pressure,
@@ -152,7 +190,7 @@ def scenarios(v: Views):
     return backtest.apply_scenarios(scenario_offers(v)).select("scenario", "offer_id", *[round_half_up(c, 6).alias(c) for c in names])
 
 
-@report("scenario_comparison", f"""WITH {SCENARIO_SQL}, z AS (SELECT *, {clamp('h / 20 * 0.55::double + least(demand / greatest(supply, 0.01) / 3, 1) * 0.3::double + 0.15::double')} >= 0.55 AS take FROM sy)
+@report("scenario_comparison", f"""WITH {SCENARIO_SQL}, z AS (SELECT *, {clamp('h / 20 * 0.55::double + least(coalesce(demand, 0.5::double) / greatest(coalesce(supply, 0.5::double), 0.01) / 3, 1) * 0.3::double + 0.15::double')} >= 0.55 AS take FROM sy)
 SELECT scenario, 'copilot' AS strategy, count(*) AS total_offers, count(*) FILTER (WHERE take) AS accepted, {r('count(*) FILTER (WHERE take) / count(*)::double', 4)} AS accept_rate,
   {r('sum(fare * 0.75::double - km * 0.621371::double / 31 * 3.65::double) FILTER (WHERE take)', 2)} AS net_eur_total, {r('sum(km) FILTER (WHERE take)', 1)} AS km_total FROM z GROUP BY 1""")
 def scenario_comparison(v: Views):

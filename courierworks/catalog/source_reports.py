@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -12,7 +11,7 @@ from courierworks.catalog.offer_reports import clamp
 from courierworks.catalog.registry import haversine, r, report
 from courierworks.functions.num import round_half_up
 from courierworks.operators import fleet
-from courierworks.session import shared_folder
+from courierworks.session import new_folder
 from courierworks.sources import ingest, lake, trips
 from courierworks.sources.adapters import REF_US, Views, ref_ts
 from courierworks.sources.events import normalize_events
@@ -44,9 +43,12 @@ def dlq_stats(v: Views):
     return ingest.dlq_stats(letters(v))
 
 
-@report("dlq_peek")
+@report("dlq_peek", """SELECT 'livreurs-gps' AS topic, 'malformed_json' AS reason, lower(hex('{"event": ' || event_id)) AS raw_hex FROM positions WHERE event_id % 50 = 0
+ORDER BY raw_hex LIMIT 20""")
 def dlq_peek(v: Views):
-    return ingest.dlq_peek(letters(v), 20)
+    raw = v.positions.where("event_id % 50 = 0").select(F.concat(F.lit('{"event": '), F.col("event_id").cast("string")).alias("value"))
+    _, rejects = ingest.validate_positions(ingest.parse_positions(raw))
+    return ingest.dlq_peek(ingest.dead_letters(rejects, "livreurs-gps", ref_ts()), 20).select("topic", "reason", "raw_hex")
 
 
 @report("ingest_normalized", f"""SELECT event_id, CASE WHEN event_id % 9 = 0 THEN {REF_US} ELSE epoch_us(ts) END AS ts_us, 8.0::double AS accuracy_m, 100.0::double AS battery_pct, 'courier.position.v1' AS event_type FROM positions""")
@@ -62,7 +64,7 @@ def rate_limited(v: Views):
 
 
 def _folder(v: Views, name: str) -> str:
-    return f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
+    return new_folder(v.spark, name)
 
 
 @report("position_lake_window", f"""SELECT courier_id, count(*) AS points, {r('avg(speed_kmh)', 4)} AS avg_speed FROM positions
@@ -87,43 +89,49 @@ def event_lake_topics(v: Views):
 def latest_event_time(v: Views):
     root = _folder(v, "positions")
     lake.write_position_lake(v.positions, root)
-    newest = lake.latest_event_time(lake.read_position_lake(v.spark, root))
+    newest = lake.latest_event_time(v.spark, root)
     return v.spark.range(1).select(F.unix_micros(F.lit(newest)).alias("newest_us"))
 
 
-@report("lake_views", """SELECT 'copilot_events' AS name, count(*) AS n FROM (SELECT offer_id FROM offers UNION ALL SELECT event_id FROM context_signals)
+@report("lake_views", """SELECT 'copilot_events' AS name, count(*) AS n FROM (SELECT offer_id FROM offers UNION ALL SELECT event_id FROM order_events UNION ALL SELECT event_id FROM context_signals)
 UNION ALL SELECT 'gps_events', count(*) FROM positions""")
 def lake_views(v: Views):
     positions, events = _folder(v, "positions"), _folder(v, "events")
     lake.write_position_lake(v.positions, positions)
-    lake.write_event_lake(normalize_events(offers=v.offers, context=v.context_signals), events)
+    lake.write_event_lake(normalize_events(v.offers, v.order_events, v.context_signals), events)
     lake.register_views(v.spark, positions, events)
     return v.spark.sql("SELECT 'gps_events' AS name, count(*) AS n FROM gps_events UNION ALL SELECT 'copilot_events', count(*) FROM copilot_events")
 
 
-@report("compaction", "SELECT count(*) AS rows_before, count(*) AS rows_after, true AS row_count_ok, true AS fewer_files FROM context_signals")
+@report("compaction", """SELECT 5 * hours AS files_before, hours AS files_after, n AS rows_before, n AS rows_after, true AS row_count_ok
+FROM (SELECT count(*) AS n, count(DISTINCT date_trunc('hour', ts)) AS hours FROM positions)""")
 def compaction(v: Views):
     source, target = _folder(v, "small-files"), _folder(v, "compacted")
-    lake.with_hour_parts(v.context_signals).repartition(6).write.partitionBy("year", "month", "day", "hour").parquet(source)
+    lake.with_hour_parts(v.positions).repartition(5).write.partitionBy("year", "month", "day", "hour").parquet(source)
     done = lake.compact_partitions(v.spark, source, target, ["year", "month", "day", "hour"])
-    return done.select("rows_before", "rows_after", "row_count_ok", (F.col("files_after") < F.col("files_before")).alias("fewer_files"))
+    return done.select("files_before", "files_after", "rows_before", "rows_after", "row_count_ok")
 
 
-@report("lake_quarantine", "SELECT count(*) AS rows, 0::bigint AS bad_files FROM stations")
+@report("lake_quarantine", "SELECT count(*) AS rows, 2::bigint AS bad_files FROM stations")
 def lake_quarantine(v: Views):
     root = _folder(v, "stations")
     v.stations.write.parquet(root)
+    for name in ("cut-short.parquet", "no-footer.parquet"):
+        path = v.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = path.getFileSystem(v.spark._jsc.hadoopConfiguration()).create(path)
+        out.writeBytes("PAR1 and then nothing that a reader knows")
+        out.close()
     scan = lake.quarantine_scan(v.spark, root)
     bad = scan.agg(F.count("problem").alias("bad_files")).withColumn("__one", F.lit(1))
     rows = lake.read_valid(v.spark, root, scan).agg(F.count("*").alias("rows")).withColumn("__one", F.lit(1))
     return rows.join(bad, "__one").select("rows", "bad_files")
 
 
-@report("lake_stats", "SELECT true AS some_files, true AS some_bytes WHERE (SELECT count(*) FROM stations) > 0")
+@report("lake_stats", "SELECT 3::bigint AS files, true AS some_bytes FROM (SELECT count(*) AS n FROM stations) WHERE n > 2")
 def lake_stats(v: Views):
     root = _folder(v, "stations")
-    v.stations.write.parquet(root)
-    return lake.lake_stats(v.spark, root).select((F.col("files") > 0).alias("some_files"), (F.col("megabytes") > 0).alias("some_bytes"))
+    v.stations.repartition(3).write.parquet(root)
+    return lake.lake_stats(v.spark, root).select("files", (F.col("megabytes") > 0).alias("some_bytes"))
 
 
 @report("prepared_trips", """SELECT l_orderkey, l_linenumber, dispatching_base_num, epoch_us(request_datetime) AS request_us, PULocationID AS pu, DOLocationID AS dest, trip_miles FROM trips

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,17 +66,33 @@ def read_event_lake(spark: SparkSession, root: str, topics: list[str] | None = N
     return _in_window(rows, start, end)
 
 
-def latest_event_time(lake: DataFrame, newest_hours: int = 8) -> datetime | None:
-    """Newest `ts`, looked for in the newest hours first and in the whole lake only when those have none."""
-    hours = lake.select(*HOUR_PARTS).where("hour IS NOT NULL").distinct().orderBy(*[F.desc(p) for p in HOUR_PARTS]).limit(newest_hours).collect()
+def _newest_hours(spark: SparkSession, root: str, n: int) -> list[str]:
+    """Hour folders of a lake, newest first; only folder names are listed, no file is opened."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found: list[str] = []
+
+    def children(path: str, name: str) -> list[str]:
+        listed = [s.getPath() for s in files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path)) if s.isDirectory()]
+        numbered = [(int(p.getName().split("=")[1]), p.toString()) for p in listed if p.getName().startswith(f"{name}=") and p.getName().split("=")[1].isdigit()]
+        return [path for _, path in sorted(numbered, reverse=True)]
+
+    for year in children(root, "year"):
+        for month in children(year, "month"):
+            for day in children(month, "day"):
+                found += children(day, "hour")
+                if len(found) >= n:
+                    return found[:n]
+    return found
+
+
+def latest_event_time(spark: SparkSession, root: str, newest_hours: int = 8) -> datetime | None:
+    """Newest `ts` of a lake, looked for in the newest hours first and in the whole lake only when those have none."""
+    hours = _newest_hours(spark, root, newest_hours)
     if hours:
-        oldest = hours[-1]
-        start = oldest["year"] * 1000000 + oldest["month"] * 10000 + oldest["day"] * 100 + oldest["hour"]
-        stamp = F.col("year") * 1000000 + F.col("month") * 10000 + F.col("day") * 100 + F.col("hour")
-        found = lake.where(stamp >= start).agg(F.max("ts")).first()[0]
+        found = spark.read.schema(POSITION_LAKE).option("basePath", root).parquet(*hours).agg(F.max("ts")).first()[0]
         if found is not None:
             return found
-    return lake.agg(F.max("ts")).first()[0]
+    return spark.read.schema(POSITION_LAKE).parquet(root).agg(F.max("ts")).first()[0]
 
 
 def data_files(spark: SparkSession, root: str) -> DataFrame:
@@ -92,30 +106,24 @@ def lake_stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def quarantine_scan(spark: SparkSession, root: str) -> DataFrame:
-    """Every data file with whether its footer can be read; the check reads footers only and runs in tasks."""
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        for batch in batches:
-            problems = []
-            for path in batch["path"]:
-                try:
-                    system, name = fs.FileSystem.from_uri(path)
-                    with system.open_input_file(name) as file:
-                        pq.read_metadata(file)
-                    problems.append(None)
-                except Exception as error:
-                    problems.append(type(error).__name__)
-            yield pd.DataFrame({"path": batch["path"], "length": batch["length"], "problem": pd.Series(problems, dtype="object")})
-
-    return data_files(spark, root).mapInPandas(check, "path string, length long, problem string")
+    """Every data file with `problem` where no row of it can be read: broken files, and files without rows, which lose nothing."""
+    # A column that no file has: only footers are read.
+    rows = spark.read.schema("__none int").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root)
+    seen = rows.select(F.col("_metadata.file_path").alias("__path")).distinct()
+    files = data_files(spark, root)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    joined = files.withColumn("__file", plain("path")).join(seen.select(plain("__path").alias("__file"), F.lit(True).alias("__good")), "__file", "left")
+    return joined.select("path", "length", F.when(F.col("__good").isNull(), F.lit("unreadable")).alias("problem"))
 
 
 def read_valid(spark: SparkSession, root: str, scan: DataFrame, schema=None) -> DataFrame:
     """The rows of all files that the scan found readable."""
-    reader = spark.read.option("ignoreCorruptFiles", "true")
-    rows = (reader.schema(schema) if schema is not None else reader).parquet(root).withColumn("__path", F.col("_metadata.file_path"))
+    if schema is None:
+        good = scan.where("problem IS NULL").select("path").orderBy("path").first()
+        if good is None:
+            raise ValueError(f"no readable file under {root}")
+        schema = spark.read.parquet(good["path"]).schema
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(root).withColumn("__path", F.col("_metadata.file_path"))
     bad = scan.where("problem IS NOT NULL").select(F.col("path").alias("__path"))
     return join_checked(rows, bad, ["__path"], "left_anti").drop("__path")
 

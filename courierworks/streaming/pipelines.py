@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from courierworks.plans.enrich import enrich_offers
 from courierworks.sources.ingest import dead_letters, parse_positions, validate_positions
-from courierworks.sources.lake import with_hour_parts
+from courierworks.sources.lake import hours_between, with_hour_parts
 from courierworks.sources.schemas import HOUR_PARTS, POSITION_LAKE_COLUMNS
 
 
@@ -48,19 +50,30 @@ def minute_rate_limit(stream: DataFrame, token: str = "token", per_minute: int =
     return counts.where(F.col("rows") > per_minute).select(token, F.col("window.start").alias("minute"), "rows")
 
 
-def offer_feature_sink(offers: DataFrame, positions_root: str, signals_root: str, out: str, checkpoint: str,
-                       lookback_minutes: int = 360) -> DataStreamWriter:
+def _up_to(rows: DataFrame, newest: datetime, oldest: datetime | None) -> DataFrame:
+    """Rows not after `newest` (and not before `oldest`); comparing `ts` itself and the hour folders lets the scan skip files."""
+    rows = rows.where(F.col("ts") <= F.lit(newest))
+    if oldest is not None:
+        rows = rows.where(F.col("ts") >= F.lit(oldest))
+        if all(p in rows.columns for p in HOUR_PARTS):
+            rows = rows.where(hours_between(oldest, newest))
+    return rows
+
+
+def offer_feature_sink(offers: DataFrame, positions_root: str, signals_root: str, out: str, checkpoint: str, positions_schema, signals_schema,
+                       lookback_minutes: int | None = None, bucket_seconds: int = 3600) -> DataStreamWriter:
     """Features of every arriving offer, from the position lake and the parsed signals up to its time.
 
-    Only the look-back before the batch is read: what is older has expired.
+    With `lookback_minutes` what is older has expired and is not read; without, the rows are those of the batch twin.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         spark = batch.sparkSession
-        span = batch.agg((F.unix_micros(F.min("ts")) - lookback_minutes * 60_000_000).alias("lo"), F.unix_micros(F.max("ts")).alias("hi")).first()
-        recent = lambda df: df.where(F.unix_micros("ts").between(span["lo"], span["hi"]))
-        enriched = enrich_offers(batch, recent(spark.read.parquet(positions_root)), recent(spark.read.parquet(signals_root)))
+        span = batch.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+        if span["hi"] is None:
+            return
+        oldest = None if lookback_minutes is None else span["lo"] - timedelta(minutes=lookback_minutes)
+        known = lambda root, schema: _up_to(spark.read.schema(schema).parquet(root), span["hi"], oldest)
+        enriched = enrich_offers(batch, known(positions_root, positions_schema), known(signals_root, signals_schema), bucket_seconds)
         # Keyed by the batch, so a repeated batch replaces its own rows.
         enriched.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 

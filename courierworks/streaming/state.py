@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from courierworks.functions.num import round_half_up
-from courierworks.operators.context import ZONE_TREND, zone_trend_step
+from courierworks.operators.context import SIGNAL_COLUMNS, TREND_COLUMNS, ZONE_TREND, parse_signal, zone_trend_step
 from courierworks.operators.guardrails import INPUTS, VERDICT, Limits, guard_step, with_inputs
 
 _STATE = "state array<double>"
@@ -67,6 +67,15 @@ def zone_trend_stream(signals: DataFrame, ttl_ms: int | None = None) -> DataFram
     return _stateful_fold(rows, "zone_id", ["__us", "event_id"], ["__demand", "__us"], ["event_id", "ts"], zone_trend_step, ZONE_TREND, ttl_ms)
 
 
+def zone_context_stream(signals: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """The whole zone row per signal of a stream: parsed metadata and trend; see `zone_context_history` for the batch twin.
+
+    The trend state of a zone that stays silent for `ttl_ms` expires.
+    """
+    rows = signals.withColumns({"__demand": round_half_up("demand_index", 3), "__us": F.unix_micros("ts").cast("double")})
+    return parse_signal(_stateful_fold(rows, "zone_id", ["__us", "event_id"], ["__demand", "__us"], SIGNAL_COLUMNS, zone_trend_step, ZONE_TREND, ttl_ms), TREND_COLUMNS)
+
+
 LIVE = "courier_id string, event_id long, ts timestamp, lat double, lon double, status string, live boolean"
 
 

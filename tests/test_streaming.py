@@ -106,10 +106,11 @@ def test_counters(spark, views, folder):
 
 def test_offer_features(spark, views, folder):
     views.positions.write.parquet(f"{folder}/positions")
-    context.parse_signal(views.context_signals).write.parquet(f"{folder}/signals")
+    signals = context.parse_signal(views.context_signals)
+    signals.write.parquet(f"{folder}/signals")
     views.offers.coalesce(1).write.parquet(f"{folder}/offers")
     stream = pipelines.file_stream(spark, f"{folder}/offers", views.offers.schema, 1)
-    pipelines.offer_feature_sink(stream, f"{folder}/positions", f"{folder}/signals", f"{folder}/out", f"{folder}/c").trigger(
+    pipelines.offer_feature_sink(stream, f"{folder}/positions", f"{folder}/signals", f"{folder}/out", f"{folder}/c", views.positions.schema, signals.schema).trigger(
         availableNow=True).start().awaitTermination(300)
     out = spark.read.parquet(f"{folder}/out")
     assert out.count() == views.offers.count()
