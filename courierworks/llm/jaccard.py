@@ -2,7 +2,7 @@
 
 Each set samples about 1 / similarity of its shingles in each of several independent runs; sets that choose the same shingle in the same run
 share a bucket. Inside a small bucket sketches are compared all against all, and the sets that may be similar are tied together. A large bucket
-is tied to its first member as far as the sketches allow; if that leaves it mixed, it is split again on further sampled shingles. Tied groups are then verified on their whole shingle sets, in blocks of a
+is compared with a few of its members as pivots; what they don't settle is split again on further sampled shingles. Tied groups are then verified on their whole shingle sets, in blocks of a
 bounded number of documents, so that every pair of a group meets in exactly one task. A pair of the wanted similarity shares no bucket with
 probability at most exp(-runs); ten runs give a recall over 0.9999.
 """
@@ -25,7 +25,8 @@ DEEP = 4.0  # factor on the sample of a further split: a similar pair is parted
 SMALL = 192  # sets in a bucket that are compared all against all
 BINS = 128  # of a sketch
 SLACK = 0.2  # a sketch may underrate a pair by this much: more than five standard deviations
-LOOSE = 0.3  # the same for ties to one member of a large bucket
+PIVOTS = 3  # members of a large bucket that all others are compared with
+LOOSE, CLOSE = 0.5, 0.1  # tied to a pivot from 0.3, settled from 0.7: 1 - 0.7 + 1 - 0.8 leaves 0.5 to the pivot, well above 0.3
 BLOCK = 96  # documents of a group that are verified together
 BLOCK_SHINGLES = 1_000_000
 
@@ -136,21 +137,28 @@ def tied(buckets: DataFrame, similarity: float) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def pivoted(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: ties of the members of large buckets (least, id) to the least member, where the sketches are far from unlike."""
+def pivoted(large: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(ties a, b; rows of `large` that stay open) from the comparison of large buckets (key, id, pivots) with their pivots.
+
+    A member is tied to a pivot unless its sketch is far off, and settled if it is close: whatever is similar to a settled member is then
+    near enough to the same pivot to be tied to it, so their group is verified as a whole and the member needs no further splits.
+    """
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch", "pivot"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch", "other"))
             equal, some = ((x == y) & (x > 0)).sum(1), ((x > 0) | (y > 0)).sum(1)
-            near = pa.array(equal >= (similarity - LOOSE) * some)
-            yield pa.RecordBatch.from_arrays([batch.column("least").filter(near), batch.column("id").filter(near)], ["a", "b"])
+            out = pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("id"), pa.array(equal >= (similarity - CLOSE) * some)], ["a", "b", "settled"])
+            yield out.filter(pa.array(equal >= (similarity - LOOSE) * some))
 
-    pairs = rows.where("id <> least").select("least", "id").distinct()
-    pivots = sets.select(F.col("id").alias("least"), F.col("sketch").alias("pivot"))
-    return pairs.join(sets.select("id", "sketch"), "id").join(pivots, "least").mapInArrow(run, "a long, b long")
+    met = large.select("key", "id", F.explode(F.array_distinct("pivots")).alias("pivot"))
+    others = sets.select(F.col("id").alias("pivot"), F.col("sketch").alias("other"))
+    marks = stage(met.select("id", "pivot").distinct().join(sets.select("id", "sketch"), "id").join(others, "pivot").mapInArrow(run, "a long, b long, settled boolean"))
+    close = marks.where("settled").select(F.col("a").alias("pivot"), F.col("b").alias("id"))
+    settled = met.join(close, ["id", "pivot"]).select("key", "id").distinct()
+    return marks.where("a <> b").select("a", "b"), large.select("key", "id").join(settled, ["key", "id"], "left_anti")
 
 
 def in_blocks(rows: DataFrame, small: int) -> DataFrame:
@@ -164,29 +172,26 @@ def in_blocks(rows: DataFrame, small: int) -> DataFrame:
 def candidates(sets: DataFrame, similarity: float, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
     """a, b: ties of all buckets. `sets` has id, n, sketch, keys and the samples of further splits, one row per distinct set.
 
-    Members of a large bucket are first tied to its least member where their sketches allow it; a bucket whose members are all tied
-    together by then needs no further look, as verification compares all members of a tied group. The others are split again, and what is
-    still large and mixed after the last split is compared in blocks.
+    Members of a large bucket are compared with a few pivots, which settles those of dense groups; the others are split again, and what is
+    still large after the last split is compared in blocks.
     """
     rows = sets.select("id", F.explode("keys").alias("key"))
     edges = None
     for level in range(levels + 1):
-        counted = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("least")).where("members > 1")
+        pivots = F.array(*[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)])
+        counted = rows.groupBy("key").agg(F.count("*").alias("members"), pivots.alias("pivots")).where("members > 1")
         shared = stage(rows.join(counted, "key"))
         found = tied(shared.where(F.col("members") <= small).select("key", "id").join(sets.select("id", "n", "sketch"), "id"), similarity)
         edges = found if edges is None else edges.unionByName(found)
         large = shared.where(F.col("members") > small)
         if large.isEmpty():
             return edges
-        edges = stage(edges.unionByName(pivoted(large, sets, similarity)).distinct())
-        roots = connected(edges).select(F.col("node").alias("id"), "root")
-        placed = large.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        open_ = stage(large.join(mixed, "key"))
+        ties, left = pivoted(large, sets, similarity)
+        edges, left = edges.unionByName(ties), stage(left)
         if level == levels:
-            rest = in_blocks(open_, small).join(sets.select("id", "n", "sketch"), "id")
-            return edges.unionByName(tied(rest, similarity))
-        rows = open_.select("key", "id").join(sets.select("id", f"deep{level}"), "id").select("id", "key", F.explode(f"deep{level}").alias("token")).select("id", F.xxhash64("key", "token").alias("key"))
+            again = left.join(left.groupBy("key").agg(F.count("*").alias("members")), "key")
+            return edges.unionByName(tied(in_blocks(again, small).join(sets.select("id", "n", "sketch"), "id"), similarity))
+        rows = left.join(sets.select("id", f"deep{level}"), "id").select("id", "key", F.explode(f"deep{level}").alias("token")).select("id", F.xxhash64("key", "token").alias("key"))
     return edges
 
 
