@@ -91,3 +91,47 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+ORACLES["op2_suffix_dedup"] = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents
+), w AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY substr(hx, 2 * i + 1, 200) ORDER BY doc_id, i) AS nth
+  FROM (SELECT doc_id, hx, unnest(range(0, greatest(n - 99, 0))) AS i FROM d)
+), g AS (
+  SELECT doc_id, i, max(i + 100) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w WHERE nth > 1
+), h AS (
+  SELECT doc_id, i, sum(CASE WHEN reach IS NULL OR i > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g
+), s AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM h GROUP BY doc_id, span
+), k AS (
+  SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM s
+  UNION ALL SELECT d.doc_id, n, coalesce(max(z), 0) FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, n
+), t AS (
+  SELECT k.doc_id, string_agg(substr(hx, 2 * p + 1, 2 * (a - p)), '' ORDER BY a, p) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM s GROUP BY doc_id) USING (doc_id)
+"""
+
+ORACLES["op7_jaccard"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS ws FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+), x AS (
+  SELECT doc_id, unnest(sh) AS s FROM g
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM x a JOIN x b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT c.a, c.b, (len(p.sh) = common AND len(q.sh) = common) AS same FROM c JOIN g p ON p.doc_id = c.a JOIN g q ON q.doc_id = c.b
+  WHERE 9 * common >= 4 * (len(p.sh) + len(q.sh))
+), r AS (
+  SELECT doc_id AS node, doc_id AS root FROM g UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node
+), n AS (
+  SELECT l.a, count(*) AS links, count(DISTINCT CASE WHEN NOT same THEN list_sort(g.sh) END) AS texts FROM l JOIN g ON g.doc_id = l.b GROUP BY l.a
+)
+SELECT g.doc_id, min(root) AS class_id, coalesce(any_value(links), 0)::BIGINT AS n_links, coalesce(any_value(texts), 0)::BIGINT AS n_text_links, len(any_value(sh))::BIGINT AS n_shingles
+FROM g JOIN r ON r.node = g.doc_id LEFT JOIN n ON n.a = g.doc_id GROUP BY g.doc_id
+"""
