@@ -26,7 +26,9 @@ SMALL = 192  # sets in a bucket that are compared all against all
 BINS = 128  # of a sketch
 SLACK = 0.2  # a sketch may underrate a pair by this much: more than five standard deviations
 PIVOTS = 3  # members of a large bucket that all others are compared with
-LOOSE, CLOSE = 0.5, 0.1  # tied to a pivot from 0.3, settled from 0.7: 1 - 0.7 + 1 - 0.8 leaves 0.5 to the pivot, well above 0.3
+# At 0.8: settled from 0.6 to a pivot, tied from 0.2. What is 0.8 to a settled member is at least 1 - 0.4 - 0.2 = 0.4 to the pivot, which lies more
+# than four standard deviations of a sketch above 0.2.
+LOOSE, CLOSE = 0.6, 0.2
 BLOCK = 96  # documents of a group that are verified together
 BLOCK_SHINGLES = 1_000_000
 
