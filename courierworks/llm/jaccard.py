@@ -26,6 +26,7 @@ SMALL = 192  # sets in a bucket that are compared all against all
 BINS = 128  # of a sketch
 SLACK = 0.2  # a sketch may underrate a pair by this much: more than five standard deviations
 PIVOTS = 3  # members of a large bucket that all others are compared with
+WIDER = 5  # what is still large after the last split is compared in blocks that are wider than small buckets, so each set is copied less often
 # At 0.8: settled from 0.6 to a pivot, tied from 0.2. What is 0.8 to a settled member is at least 1 - 0.4 - 0.2 = 0.4 to the pivot, which lies more
 # than four standard deviations of a sketch above 0.2.
 LOOSE, CLOSE = 0.6, 0.2
@@ -142,6 +143,7 @@ def tied(buckets: DataFrame, similarity: float) -> DataFrame:
 def pivoted(large: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(ties a, b; rows of `large` that stay open) from the comparison of large buckets (key, id, pivots) with their pivots.
 
+    The pivots of all buckets of a set, a few for each of its sampled shingles, are gathered first: buckets of one group mostly share them.
     A member is tied to a pivot unless its sketch is far off, and settled if it is close: whatever is similar to a settled member is then
     near enough to the same pivot to be tied to it, so their group is verified as a whole and the member needs no further splits.
     """
@@ -155,12 +157,12 @@ def pivoted(large: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataF
             out = pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("id"), pa.array(equal >= (similarity - CLOSE) * some)], ["a", "b", "settled"])
             yield out.filter(pa.array(equal >= (similarity - LOOSE) * some))
 
-    met = large.select("key", "id", F.explode(F.array_distinct("pivots")).alias("pivot"))
+    met = large.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots")).select("id", F.explode("pivots").alias("pivot"))
     others = sets.select(F.col("id").alias("pivot"), F.col("sketch").alias("other"))
-    marks = stage(met.select("id", "pivot").distinct().join(sets.select("id", "sketch"), "id").join(others, "pivot").mapInArrow(run, "a long, b long, settled boolean"))
-    close = marks.where("settled").select(F.col("a").alias("pivot"), F.col("b").alias("id"))
-    settled = met.join(close, ["id", "pivot"]).select("key", "id").distinct()
-    return marks.where("a <> b").select("a", "b"), large.select("key", "id").join(settled, ["key", "id"], "left_anti")
+    marks = stage(met.join(sets.select("id", "sketch"), "id").join(others, "pivot").mapInArrow(run, "a long, b long, settled boolean"))
+    close = marks.where("settled").groupBy(F.col("b").alias("id")).agg(F.collect_list("a").alias("close"))
+    left = large.join(close, "id", "left").where("close IS NULL OR NOT arrays_overlap(pivots, close)").select("key", "id")
+    return marks.where("a <> b").select("a", "b"), left
 
 
 def in_blocks(rows: DataFrame, small: int) -> DataFrame:
@@ -192,7 +194,7 @@ def candidates(sets: DataFrame, similarity: float, levels: int = LEVELS, small:
         edges, left = edges.unionByName(ties), stage(left)
         if level == levels:
             again = left.join(left.groupBy("key").agg(F.count("*").alias("members")), "key")
-            return edges.unionByName(tied(in_blocks(again, small).join(sets.select("id", "n", "sketch"), "id"), similarity))
+            return edges.unionByName(tied(in_blocks(again, WIDER * small).join(sets.select("id", "n", "sketch"), "id"), similarity))
         rows = left.join(sets.select("id", f"deep{level}"), "id").select("id", "key", F.explode(f"deep{level}").alias("token")).select("id", F.xxhash64("key", "token").alias("key"))
     return edges
 
