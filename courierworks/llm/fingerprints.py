@@ -103,12 +103,13 @@ def fingerprint_documents(docs: DataFrame, every: int = 50) -> DataFrame:
     following = successors(texts.select("doc_id"), parts)
     sized = texts.select("doc_id", F.floor(F.char_length("text") / 4).cast("int").alias("need"))
     wanted = sized.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("need").alias("need")).join(following, "doc_id").select(F.col("doc_id").alias("asker"), "next_id", "need")
-    # Both joins read the texts with an id, dealt out by id: one exchange serves both.
-    placed = texts.where("doc_id IS NOT NULL")
-    prefixes = (placed.join(wanted, F.col("doc_id") == F.col("next_id"))
+    # Both joins read the texts with an id, dealt out by id: one exchange serves both. The id needs a name of its own: an alias that keeps the
+    # name goes on one side of the self-join only, and the two exchanges then differ.
+    placed = texts.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("own"), "text")
+    prefixes = (placed.join(wanted, F.col("own") == F.col("next_id"))
                 .select("asker", "next_id", F.struct(F.expr("substring(text, 1, need)").alias("prefix"), F.xxhash64("text").alias("hash")).alias("part"))
                 .groupBy("asker").agg(F.min("next_id").alias("next_id"), F.min("part").alias("part")))
-    together = placed.join(prefixes, F.col("doc_id") == F.col("asker"), "left").select("doc_id", "text", "next_id", "part")
+    together = placed.join(prefixes, F.col("own") == F.col("asker"), "left").select(F.col("own").alias("doc_id"), "text", "next_id", "part")
     together = together.unionByName(texts.where("doc_id IS NULL"), allowMissingColumns=True)
     edited = (together.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
               .withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cut)"), F.coalesce(F.expr("substring(part.prefix, 1, cut)"), F.lit(""))))
