@@ -1,3 +1,5 @@
+import random
+
 from courierworks.llm import jaccard
 from courierworks.llm.components import connected
 from tests.llm.cases import changed, frame, odd_texts, words
@@ -62,3 +64,21 @@ def test_null_ids_empty_tables_and_the_kept_ones(spark):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {None, 3, 9, 10}
     assert jaccard.join_documents(frame(spark, [])).count() == 0
+
+
+def test_pairs_whose_shared_passages_are_all_hot(spark, monkeypatch):
+    """Every shingle of a pair is in about 10 or 100 other documents, so all of its buckets are large and each is split on its own sample."""
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard.candidates, "__defaults__", (jaccard.LEVELS, 6))
+    rng = random.Random(11)
+    passage = {(s, v): words(50, 5000 + 10 * s + v) for s in range(20) for v in range(10)}
+    texts = []
+    for _ in range(600):
+        picks = [rng.randrange(10) for _ in range(20)]
+        near = picks[:18] + [(v + rng.randrange(1, 10)) % 10 for v in picks[18:]]
+        texts += [" ".join(passage[s, v] for s, v in enumerate(p)) for p in (picks, near)]
+    have = [sets(t) for t in texts]
+    assert all(len(have[i] & have[i + 1]) >= 0.8 * len(have[i] | have[i + 1]) for i in range(0, len(texts), 2))
+    got = rows(jaccard.join_documents(frame(spark, texts, clash=False)))
+    lost = [i for i in range(0, len(texts), 2) if got[i][0] != got[i + 1][0] or not got[i][1]]
+    assert lost == []
