@@ -22,6 +22,7 @@ RIDGE = 1e-3
 BINS = 256  # score bins of the calibration
 MAX_TRAINING_ROWS = 2_000_000  # labelled rows used at most; beyond it a hash of the id picks them
 SEED = 20260
+PIECE = 1 << 16  # bytes that are compressed at once
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".", b",", b"!", b"?", b"#", b"$%&*@^~", b"|",
            b"<>{}[]()=+/\\_", b"\"'`", b":;-", bytes(range(128, 256)), bytes(i for i in range(32) if i != 10)]
@@ -31,6 +32,12 @@ for _i, _group in enumerate(_GROUPS):
 WIDTH = len(_GROUPS) + 1 + 17
 
 
+def _packed(raw: bytes) -> int:
+    """Size of the whole text when compressed, without holding the result."""
+    packer, view = zlib.compressobj(1), memoryview(raw)
+    return sum(len(packer.compress(view[at:at + PIECE])) for at in range(0, len(raw), PIECE)) + len(packer.flush())
+
+
 def statistics(raw: bytes) -> np.ndarray:
     """The numbers of one text; all zero for an empty one."""
     out = np.zeros(WIDTH)
@@ -54,7 +61,7 @@ def statistics(raw: bytes) -> np.ndarray:
         np.log1p(n), np.log1p(len(words)), np.log1p(len(lines)), -(share * np.log(share)).sum(), len(seen) / total, max(seen.values(), default=0) / total,
         squared, len(folded) / max(1, len(seen)), len(pairs) / max(1, len(words) - 1), max(pairs.values(), default=0) / max(1, len(words) - 1),
         len(set(lines)) / max(1, len(lines)), max(Counter(lines).values(), default=0) / max(1, len(lines)), sizes.mean(), sizes.std(),
-        min(40.0, float(sizes.max())), sum(w.isupper() for w in seen) / max(1, len(seen)), len(zlib.compress(raw[:1 << 16], 1)) / min(n, 1 << 16),
+        min(40.0, float(sizes.max())), sum(w.isupper() for w in seen) / max(1, len(seen)), _packed(raw) / n,
     ]
     return out
 

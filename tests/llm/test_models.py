@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -44,6 +45,14 @@ def test_isotonic_is_the_closest_rising_fit():
     assert quality.isotonic(np.array([1.0, 3.0, 2.0, 2.0, 5.0, 4.0]), np.array([1.0, 1, 1, 2, 1, 3])).tolist() == [1.0, 2.25, 2.25, 2.25, 4.25, 4.25]
 
 
+def test_compression_sees_the_whole_text():
+    head = words(12_000, 21).encode()
+    assert len(head) > 1 << 16
+    for tail in (b" again" * 20_000, words(20_000, 22).encode(), random.Random(4).randbytes(100_000)):
+        assert abs(quality.statistics(head + tail)[-1] - len(zlib.compress(head + tail, 1)) / len(head + tail)) < 1e-3
+    assert quality.statistics(head[:5000])[-1] == len(zlib.compress(head[:5000], 1)) / 5000
+
+
 def test_held_out_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     marks = {r.doc_id: r.quality for r in labels.collect()}
