@@ -10,11 +10,11 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courierworks.session import stage
+from courierworks.session import checkpoint, stage
 
 SLICE_BYTES = 8 << 20  # text that is handled at once inside a task
 
-__all__ = ["SLICE_BYTES", "documents", "held_out", "map_batches", "partials", "slices", "stage", "table", "text_slices"]
+__all__ = ["SLICE_BYTES", "documents", "held_out", "lookup", "map_batches", "partials", "slices", "stage", "table", "text_slices"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,3 +75,17 @@ def partials(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], np.ndarra
         one = np.frombuffer(row.part, np.float64)
         total = one.copy() if total is None else total + one
     return total
+
+
+def lookup(rows: DataFrame, dim: DataFrame, on: list[str], share: int = 10_000, least: int = 2_000) -> DataFrame:
+    """`rows` (a written table) with the columns of `dim`, which has one row per key; rows whose key is missing there go.
+
+    Keys with more than max(least, rows / share) rows are hot; there are at most `share` of them at any size, so their rows of `dim` are
+    broadcast. All other keys are joined by a shuffle.
+    """
+    bound = max(least, rows.count() // share)
+    hot = checkpoint(rows.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > bound).select(*on))
+    if hot.isEmpty():
+        return rows.join(dim, on)
+    spread = rows.join(F.broadcast(dim.join(F.broadcast(hot), on)), on)
+    return spread.unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(dim, on))

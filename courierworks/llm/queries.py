@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courierworks.llm import dedup, fingerprints, html, jaccard, licenses, packing, pieces, quality, tokens, vectors
+from courierworks.llm import conversations, dedup, fingerprints, html, jaccard, licenses, packing, pieces, quality, tokens, vectors
 from courierworks.llm.common import documents, table
 from courierworks.session import prepare
 
@@ -79,6 +79,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations, with the totals of its subtree."""
+    return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 ORACLES["op10_topk"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -135,3 +141,38 @@ WITH RECURSIVE w AS (
 SELECT g.doc_id, min(root) AS class_id, coalesce(any_value(links), 0)::BIGINT AS n_links, coalesce(any_value(texts), 0)::BIGINT AS n_text_links, len(any_value(sh))::BIGINT AS n_shingles
 FROM g JOIN r ON r.node = g.doc_id LEFT JOIN n ON n.a = g.doc_id GROUP BY g.doc_id
 """
+
+# crc32 bit by bit: the reflected polynomial 0xEDB88320 is 3988292384
+ORACLES["op11_prefix_trie"] = """
+WITH own AS (
+  SELECT conv_id AS c, text, tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tok) - 1 AS i
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS text, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS tok FROM conversations WHERE conv_id IS NOT NULL)
+), ids AS (
+  SELECT c, c - c % 100 AS base, xor(4294967295, list_reduce(list_transform(range(1, length(s) + 1), lambda k: ascii(s[k])::BIGINT),
+    lambda crc, b: list_reduce(range(0, 8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(crc, b)), 4294967295::BIGINT)) % 6 AS h
+  FROM (SELECT DISTINCT c, c::VARCHAR AS s FROM own)
+), heads AS (
+  SELECT ids.c, b.i, b.tok, b.text FROM ids JOIN own b ON b.c = ids.base AND b.i < ids.h
+), taken AS (
+  SELECT ids.c, ids.h, count(heads.c) AS n FROM ids LEFT JOIN heads ON heads.c = ids.c GROUP BY ids.c, ids.h
+), turns AS (
+  SELECT * FROM heads UNION ALL SELECT o.c, o.i - t.h + t.n, o.tok, o.text FROM own o JOIN taken t ON t.c = o.c AND o.i >= t.h
+), lists AS (
+  SELECT ids.c, coalesce(list(t.tok ORDER BY t.i) FILTER (t.c IS NOT NULL), []) AS toks, coalesce(list(length(t.text) ORDER BY t.i) FILTER (t.c IS NOT NULL), []) AS sizes
+  FROM ids LEFT JOIN turns t ON t.c = ids.c GROUP BY ids.c
+), path AS (
+  SELECT c, d, array_to_string(toks[1:d], ',') AS key, array_to_string(toks[1:d - 1], ',') AS up, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size, d = len(toks) AS ended
+  FROM (SELECT c, toks, sizes, unnest(range(0, len(toks) + 1)) AS d FROM lists)
+), node AS (
+  SELECT d, key, any_value(up) AS up, min(c) AS low, count(*) AS n, any_value(size) AS size, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '') AS ends
+  FROM path GROUP BY d, key
+), kids AS (
+  SELECT d - 1 AS d, up AS key, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL
+), full_node AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (d, key)
+), total AS (
+  SELECT path.d, path.key, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n - 1) * u.size) AS saved FROM full_node u JOIN path ON path.c = u.low AND path.d <= u.d GROUP BY ALL
+)
+SELECT f.low AS conv_id, f.d AS depth, p.low AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_node f JOIN total USING (d, key) LEFT JOIN node p ON f.d > 0 AND p.d = f.d - 1 AND p.key = f.up
+"""
