@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courierworks.llm import conversations, dedup, fingerprints, html, jaccard, licenses, packing, pieces, quality, tokens, vectors
+from courierworks.llm import conversations, dedup, filters, fingerprints, html, jaccard, licenses, packing, pieces, quality, tokens, vectors
 from courierworks.llm.common import documents, table
 from courierworks.session import prepare
 
@@ -85,6 +85,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order, per source."""
+    return filters.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 ORACLES["op10_topk"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -176,3 +182,33 @@ WITH own AS (
 SELECT f.low AS conv_id, f.d AS depth, p.low AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
 FROM full_node f JOIN total USING (d, key) LEFT JOIN node p ON f.d > 0 AND p.d = f.d - 1 AND p.key = f.up
 """
+
+ORACLES["op12_filter_audit"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), m AS (
+  SELECT doc_id, part, (len(ws) < 50)::INTEGER + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INTEGER
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INTEGER + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER
+    + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INTEGER AS mask FROM d
+), l AS (
+  SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name
+), o AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.name, b.name, c.name, d.name, e.name])) = 5
+), s AS (
+  SELECT filter_order, step::INTEGER AS step, (1 << (ascii(filter_order[step]) - 65))::INTEGER AS bit,
+    coalesce(list_sum(list_transform(range(1, step), lambda k: (1 << (ascii(filter_order[k]) - 65))::INTEGER)), 0)::INTEGER AS before
+  FROM o, (SELECT unnest(range(1, 6)) AS step)
+)
+SELECT part, filter_order, step,
+  coalesce(sum(n) FILTER (mask & bit = 0 AND mask & before = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & bit <> 0), 0)::BIGINT AS shapley
+FROM c, s GROUP BY part, filter_order, step
+"""
