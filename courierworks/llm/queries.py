@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courierworks.llm import conversations, dedup, filters, fingerprints, html, jaccard, licenses, packing, pieces, quality, tokens, vectors
+from courierworks.llm import conversations, dedup, filters, fingerprints, html, jaccard, licenses, packing, perplexity, pieces, quality, tokens, vectors
 from courierworks.llm.common import documents, table
 from courierworks.session import prepare
 
@@ -91,6 +91,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and whether its repeats and its perplexity keep it."""
+    return perplexity.judge(documents(spark, sf_dir))
+
+
 ORACLES["op10_topk"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
