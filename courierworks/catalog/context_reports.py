@@ -289,7 +289,7 @@ def zone_forecast(v: Views):
 FROM offers o ASOF LEFT JOIN context_signals c ON c.zone_id = o.zone_id AND c.ts <= o.ts""")
 def offers_asof_context(v: Views):
     signals = v.context_signals.select("zone_id", F.col("ts").alias("ctx_ts"), F.col("event_id").alias("signal_id"), "supply_index")
-    joined = asof_left(v.offers, signals, "zone_id", "ts", "ctx_ts", "signal_id", ["signal_id", "supply_index", "ctx_ts"], bucket_seconds=600)
+    joined = asof_left(v.offers, signals, "zone_id", "ts", "ctx_ts", "signal_id", ["signal_id", "supply_index", "ctx_ts"])
     return joined.select("offer_id", "signal_id", "supply_index",
                          ((F.unix_micros("ts") - F.unix_micros("ctx_ts")) / 1e6).alias("context_age_s"))
 
@@ -312,7 +312,7 @@ SELECT offer_id, {r('km', 3)} AS distance_to_pickup_km, {r('eta', 3)} AS eta_to_
 def enrich_offers(v: Views):
     from courierworks.plans.enrich import enrich_offers as enrich
 
-    out = enrich(v.offers, v.positions, context.parse_signal(v.context_signals), bucket_seconds=600)
+    out = enrich(v.offers, v.positions, context.parse_signal(v.context_signals))
     return out.select("offer_id", "distance_to_pickup_km", "eta_to_pickup_min", "fuel_cost_usd", "eur_per_hour_net", "pressure_ratio",
                       "accept_score_heuristic", F.array_join("explanation", ",").alias("explanation"))
 

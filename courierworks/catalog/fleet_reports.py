@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from courierworks.catalog.registry import haversine, r, report
 from courierworks.operators import fleet, spatial
 from courierworks.operators.keyed import first_by
+from courierworks.session import stage
 from courierworks.sources.adapters import REF_TS, Views, ref_ts
 
 REF_SQL = f"TIMESTAMP '{REF_TS}'"
@@ -235,7 +236,7 @@ SELECT courier_id, zone_id, {r('km', 6)} AS zone_km FROM (SELECT *, row_number()
 def nearest_zone(v: Views):
     from courierworks.functions.num import round_half_up
 
-    latest = fleet.latest_positions(v.positions).select("courier_id", "lat", "lon")
+    latest = stage(fleet.latest_positions(v.positions).select("courier_id", "lat", "lon"))
     return spatial.nearest_zone(latest, v.zones, "courier_id").select(
         "courier_id", "zone_id", round_half_up("zone_km", 6).alias("zone_km"))
 

@@ -33,7 +33,7 @@ fr AS (SELECT m.*, thr, CASE WHEN rf = 1 THEN 0 ELSE (coalesce(real, est) >= thr
 def frame(v: Views) -> DataFrame:
     events = v.order_events.withColumn("status", tidy("status"))
     # One minute of context age, so that the test hour has both fresh and stale rows.
-    return training.training_frame(v.offers, events, v.context_signals, window_minutes=1, bucket_seconds=600)
+    return training.training_frame(v.offers, events, v.context_signals, window_minutes=1)
 
 
 @report("order_outcomes", """SELECT offer_id, max((s = 'accepted')::int)::bigint AS accepted_flag, max((s = 'rejected')::int)::bigint AS rejected_flag, max((s = 'dropped_off')::int)::bigint AS dropped_off_flag,

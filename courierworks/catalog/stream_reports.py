@@ -107,6 +107,6 @@ def stream_offer_features(v: Views):
     lake.with_hour_parts(v.positions).write.partitionBy("year", "month", "day", "hour").parquet(positions)
     parsed.write.parquet(signals)
     finished(pipelines.offer_feature_sink(arriving(v, v.offers, "offers"), positions, signals, out, new_folder(v.spark, "features-checkpoint"),
-                                          lake.with_hour_parts(v.positions).schema, parsed.schema, bucket_seconds=600))
+                                          lake.with_hour_parts(v.positions).schema, parsed.schema))
     return v.spark.read.parquet(out).select("offer_id", "distance_to_pickup_km", "eta_to_pickup_min", "fuel_cost_usd", "eur_per_hour_net", "pressure_ratio",
                                             "accept_score_heuristic", F.array_join("explanation", ",").alias("explanation"))

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courierworks.session import stage
+from courierworks.session import checkpoint, stage
+
+SEGMENTS = 256  # windows that the history of a very large key is cut into
 
 
 def time_bucket(ts: str, seconds: int) -> Column:
@@ -63,48 +65,46 @@ def with_previous(df: DataFrame, key: str, ts: str, tie: str, columns: list[str]
 
 
 def asof_left(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, tie: str,
-              columns: list[str], prefix: str = "", bucket_seconds: int = 3600) -> DataFrame:
+              columns: list[str], prefix: str = "", hot_rows: int = 1_000_000) -> DataFrame:
     """Every left row with `columns` of the newest right row of its key at or before its time.
 
-    Both sides are stacked and carried forward with a window inside (key, time bucket); what the
-    window cannot see, the last right row of an earlier bucket, comes from a table with one row per
-    (key, bucket). At equal times right rows sort before left rows.
+    Both sides are stacked and the newest right row is carried forward by one window per key, so each side is read and shuffled once. A
+    key with more than `hot_rows` rows is cut at its own sampled quantiles of time into up to `SEGMENTS` windows of about equal size; what
+    a segment starts with, the last right row of the segments before, is one row each. The keys are counted by a pass over the key column
+    alone. At equal times right rows sort before left rows, and of right rows the largest `tie` is the newest. Rows without key or time
+    match nothing.
     """
     names = left.columns
-    value = F.struct(*[F.col(c) for c in columns])
-    stacked = left.select(
-        F.col(key), F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.lit(None).cast("string").alias("__tie"),
-        F.struct(*names).alias("__left"),
-    ).unionByName(
-        right.select(
-            F.col(key), F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"),
-            F.col(tie).cast("string").alias("__tie"), value.alias("__value"),
-        ),
-        allowMissingColumns=True,
-    ).withColumn("__bucket", time_bucket("__ts", bucket_seconds))
-    carried = (
-        stacked.groupBy(key, "__bucket")
-        .agg(F.max_by("__value", F.when(F.col("__side") == 0, F.struct("__ts", "__tie"))).alias("__end"))
-        .withColumn(
-            "__carry",
-            F.last("__end", ignorenulls=True).over(
-                Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
-        .drop("__end")
-    )
-    inside = Window.partitionBy(key, "__bucket").orderBy("__ts", "__side", "__tie")
-    seen = (
-        stacked.join(carried, [key, "__bucket"], "left")
-        .withColumn("__seen", F.last("__value", ignorenulls=True).over(
-            inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .where(F.col("__side") == 1)
-        .withColumn("__match", F.coalesce("__seen", "__carry"))
-    )
-    return seen.select(
-        *[F.col(f"__left.{n}").alias(n) for n in names],
-        *[F.col(f"__match.{c}").alias(prefix + c) for c in columns],
-    )
+    known = right.where(F.col(key).isNotNull() & F.col(right_ts).isNotNull())
+    counts = left.select(key).unionByName(known.select(key)).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    hot, cuts = counts.where(F.col("__n") > hot_rows).select(key), None
+    if not hot.isEmpty():
+        hot = checkpoint(hot)
+        times = left.select(key, F.unix_micros(left_ts).alias("__at")).unionByName(known.select(key, F.unix_micros(right_ts).alias("__at")))
+        shares = [(i + 1) / SEGMENTS for i in range(SEGMENTS - 1)]
+        cuts = stage(join_checked(times, hot, [key]).groupBy(key).agg(F.percentile_approx("__at", shares, 10 * SEGMENTS).alias("__cuts")))
+
+    def segmented(df: DataFrame) -> DataFrame:
+        lost = F.pmod(F.xxhash64("__ts"), F.lit(SEGMENTS)).cast("int")  # keyless rows are spread
+        if cuts is None:
+            return df.withColumn("__segment", F.when(F.col(key).isNull(), lost).otherwise(F.lit(0)))
+        passed = F.size(F.filter("__cuts", lambda c: c < F.unix_micros("__ts")))
+        return join_checked(df, cuts, [key], "left").withColumn("__segment", F.when(F.col(key).isNull(), lost).otherwise(F.coalesce(
+            F.when(F.col("__cuts").isNotNull(), passed), F.lit(0)))).drop("__cuts")
+
+    ours = left.select(
+        F.col(key), F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.lit(None).cast("string").alias("__tie"), F.struct(*names).alias("__left"))
+    theirs = known.select(
+        F.col(key), F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.col(tie).cast("string").alias("__tie"), F.struct(*columns).alias("__value"))
+    inside = Window.partitionBy(key, "__segment").orderBy("__ts", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = segmented(ours.unionByName(theirs, allowMissingColumns=True)).withColumn("__seen", F.last("__value", ignorenulls=True).over(inside)).where("__side = 1")
+    if cuts is not None:
+        ends = segmented(join_checked(theirs, hot, [key])).groupBy(key, "__segment").agg(F.max_by("__value", F.struct("__ts", "__tie")).alias("__end"))
+        every = cuts.select(key, F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("__segment"))
+        before = Window.partitionBy(key).orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)
+        carried = every.join(ends, [key, "__segment"], "left").withColumn("__carry", F.last("__end", ignorenulls=True).over(before)).drop("__end")
+        seen = join_checked(seen, carried, [key, "__segment"], "left").withColumn("__seen", F.coalesce("__seen", "__carry"))
+    return seen.select(*[F.col(f"__left.{n}").alias(n) for n in names], *[F.col(f"__seen.{c}").alias(prefix + c) for c in columns])
 
 
 def is_small(df: DataFrame, max_rows: int = 50_000) -> bool:

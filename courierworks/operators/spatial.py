@@ -5,11 +5,12 @@ Points are matched to centres by grid cell, so the join is an equi-join and neve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courierworks.functions.geo import KM_PER_DEGREE, haversine_km
 from courierworks.operators.keyed import join_checked, top_per_key
+from courierworks.session import stage
 
 _SAFE_KM_PER_DEGREE = 111.0  # a little under the true value, so that covers are never too small
 
@@ -80,43 +81,101 @@ def nearby(points: DataFrame, centres: DataFrame, key: str, radius_km: float, k:
     return found if statuses is None else found.where(F.col("status").isin(statuses))
 
 
-def nearest_zone(points: DataFrame, zones: DataFrame, key: str) -> DataFrame:
-    """Each point with the nearest zone and its distance, found on ever coarser grids.
+FINEST = 32  # cells a degree on the finest grid of the zone index
+STEP = 2  # bits by which the row and column of a cell shrink from one grid to the next coarser one
+COARSEST = 10  # bits to the coarsest grid: cells of 32 degrees, 12 columns by 6 rows
 
-    On each level a point meets only the zones in its own and the neighbouring cells; the answer is
-    final when the best distance is within what those cells are sure to contain. The last level is
-    the whole globe, so every point is answered. `key` identifies a point; equal distances go to the
-    smaller zone id.
+
+def _grid_cell(row: Column, column: Column, bits: int) -> Column:
+    return F.shiftright(row, bits) * F.lit(360 * FINEST) + F.shiftright(column, bits)
+
+
+def _place(lat: str, lon: str) -> tuple[Column, Column]:
+    """Row and column of a point on the finest grid; poles and the date line belong to the last cells."""
+    row = F.least(F.floor((F.col(lat) + 90.0) * FINEST), F.lit(180 * FINEST - 1)).cast("long")
+    column = F.pmod(F.floor((F.col(lon) + 180.0) * FINEST).cast("long"), F.lit(360 * FINEST))
+    return row, column
+
+
+def _unit(lat: Column, lon: Column) -> list[Column]:
+    y, x = F.radians(lat), F.radians(lon)
+    return [F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)]
+
+
+def _dot(a: list[Column], b: list[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _around(cells: DataFrame, bits: int) -> DataFrame:
+    """Cells with the unit vector of their middle (mx, my, mz) and the sine of the radius of a cap that holds the cell."""
+    width = F.lit(float((1 << bits) / FINEST))
+    south = F.floor(F.col("cell") / (360 * FINEST)) * width - 90.0
+    north = F.least(south + width, F.lit(90.0))
+    west = F.pmod("cell", F.lit(360 * FINEST)) * width - 180.0
+    middle = (south + north) / 2.0
+    # the farthest points of a cell from its middle are its corners
+    reach = F.greatest(haversine_km(middle, west + width / 2.0, south, west), haversine_km(middle, west + width / 2.0, north, west)) / 6371.0
+    return cells.withColumns(dict(zip(("mx", "my", "mz"), _unit(middle, west + width / 2.0)))).withColumn("reach", F.sin(reach) + 1e-9)
+
+
+def _prune(pairs: DataFrame, bits: int) -> DataFrame:
+    """Candidates (cell, zone_id, zone_lat, zone_lon, x, y, z) that some point of their cell may be nearest to.
+
+    A zone goes when the whole cap around the cell lies on the other side of the great circle halfway between it and the zone nearest to
+    the middle of the cell. Zones at equal distance stay.
+    """
+    rows = _around(pairs, bits)
+    zone, middle = [F.col(c) for c in "xyz"], [F.col(f"m{c}") for c in "xyz"]
+    order = F.struct(_dot(zone, middle), -F.col("zone_lat"), -F.col("zone_lon"))
+    rows = rows.withColumn("best", F.max_by(F.struct("x", "y", "z"), order).over(Window.partitionBy("cell")))
+    apart = [F.col(f"best.{c}") - F.col(c) for c in "xyz"]
+    keep = _dot(apart, middle) <= F.sqrt(_dot(apart, apart)) * F.col("reach") + 1e-12
+    return rows.where(keep).select("cell", "zone_id", "zone_lat", "zone_lon", "x", "y", "z")
+
+
+def zone_index(points: DataFrame, zones: DataFrame, max_pairs: int = 4_000_000) -> DataFrame:
+    """cell, candidates: for every cell of the finest grid that holds a point, the zones that can be nearest to a point in it.
+
+    Candidates are passed from coarse cells to the finer ones in them, by equi-joins on the coarse cell, and pruned on every grid. A step
+    goes to the finest grid on which cells times candidates stay under `max_pairs`, so that a city with some hundred zones takes one.
+    """
+    row, column = _place("lat", "lon")
+    cells = stage(points.where("lat IS NOT NULL AND lon IS NOT NULL").select(row.alias("row"), column.alias("column")).distinct())
+    grids = list(range(COARSEST, -1, -STEP))
+    counts = cells.agg(*[F.count_distinct(_grid_cell(F.col("row"), F.col("column"), b)).alias(f"n{b}") for b in grids]).first()
+    first = zones.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy(F.col("lat").alias("zone_lat"), F.col("lon").alias("zone_lon")).agg(
+        F.min("zone_id").alias("zone_id"))  # of zones at one place the smallest id answers
+    first = first.withColumns(dict(zip("xyz", _unit(F.col("zone_lat"), F.col("zone_lon")))))
+    coarse = [r * 360 * FINEST + c for r in range(180 * FINEST >> COARSEST, -1, -1) for c in range((360 * FINEST >> COARSEST) + 1)]
+    there = cells.select(_grid_cell(F.col("row"), F.col("column"), COARSEST).alias("cell")).distinct()  # 72 cells at most
+    candidates = first.withColumn("cell", F.explode(F.array(*map(F.lit, coarse)).cast("array<long>"))).join(F.broadcast(there), "cell")
+    at, most = COARSEST, first.count()
+    if counts["n0"] * most > max_pairs:
+        candidates = stage(_prune(candidates, at))
+    while at > 0:
+        to = next((b for b in range(0, at, STEP) if counts[f"n{b}"] * most <= max_pairs), at - STEP)
+        inside = cells.select(_grid_cell(F.col("row"), F.col("column"), at).alias("outer"), _grid_cell(F.col("row"), F.col("column"), to).alias("cell")).distinct()
+        candidates, at = _prune(inside.join(candidates.withColumnRenamed("cell", "outer"), "outer").drop("outer"), to), to
+        if at > 0:
+            candidates = stage(candidates)
+            most = candidates.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+    return candidates.groupBy("cell").agg(F.collect_list(F.struct("zone_id", "zone_lat", "zone_lon")).alias("candidates"))
+
+
+def nearest_zone(points: DataFrame, zones: DataFrame, key: str, max_pairs: int = 4_000_000, max_candidates: int = 1_000_000) -> DataFrame:
+    """Each point with the nearest zone (zone_id) and its distance (zone_km); equal distances go to the smaller zone id.
+
+    The points meet the index of candidates in one join on their cell and pick among them in the row, so no point is shuffled while the
+    index holds at most `max_candidates` (it is counted), and none is compared with zones that cannot be nearest. Points without coordinates,
+    or without any zone, have NULL. `key` names the points' own key and is not needed for the answer. Reads `points` twice; write them first
+    if they are dear to make.
     """
-    zones = zones.select("zone_id", F.col("lat").alias("zone_lat"), F.col("lon").alias("zone_lon"))
-    pending, answers = points, []
-    sizes = [0.05, 1.0, 400.0]
-    for size_deg in sizes:
-        columns, step = _grid(size_deg)
-        located = _point_cells(pending, size_deg)
-        # Kilometres around a point that the 3 x 3 block of cells surely covers, from the narrower axis.
-        sure_km = F.least(F.lit(size_deg * _SAFE_KM_PER_DEGREE),
-                          F.lit(step * _SAFE_KM_PER_DEGREE) * F.cos(F.radians(F.least(F.abs("lat") + size_deg, F.lit(90.0)))))
-        cells = (
-            zones.withColumn("__row0", F.floor(F.col("zone_lat") / F.lit(size_deg)).cast("long"))
-            .withColumn("__column0", F.floor((F.col("zone_lon") + 180.0) / F.lit(step)).cast("long"))
-            .withColumn("__row", F.explode(F.sequence(F.col("__row0") - 1, F.col("__row0") + 1)))
-            .withColumn("__column", F.explode(F.array_distinct(F.transform(
-                F.sequence(F.col("__column0") - 1, F.col("__column0") + 1), lambda c: F.pmod(c, F.lit(columns))))))
-            .drop("__row0", "__column0")
-        )
-        near = join_checked(located, cells, ["__row", "__column"], how="left")
-        near = near.withColumn("zone_km", haversine_km("lat", "lon", "zone_lat", "zone_lon"))
-        order = [F.asc_nulls_last("zone_km"), F.asc("zone_id")]
-        ranked = top_per_key(near, [key], order, 1).drop("__row", "__column")
-        last = size_deg == sizes[-1]
-        done = F.lit(True) if last else F.coalesce(F.col("zone_km") <= sure_km, F.lit(False))
-        ranked = ranked.withColumn("__done", done)
-        answers.append(ranked.where("__done").drop("__done", "zone_lat", "zone_lon"))
-        if last:
-            break
-        pending = ranked.where("NOT __done").select(*points.columns)
-    result = answers[0]
-    for more in answers[1:]:
-        result = result.unionByName(more)
-    return result
+    index = stage(zone_index(points, zones, max_pairs))
+    held = index.agg(F.sum(F.size("candidates"))).first()[0] or 0
+    row, column = _place("lat", "lon")
+    nowhere = -1 - F.pmod(F.xxhash64(key), F.lit(4096))  # points without a place do not meet in one key
+    located = points.withColumn("__cell", F.coalesce(_grid_cell(row, column, 0), nowhere))
+    index = index.withColumnRenamed("cell", "__cell").withColumnRenamed("candidates", "__zones")
+    joined = located.join(F.broadcast(index), "__cell", "left") if held <= max_candidates else join_checked(located, index, ["__cell"], "left", max_rows=0)
+    best = F.array_min(F.transform("__zones", lambda z: F.struct(haversine_km(F.col("lat"), F.col("lon"), z["zone_lat"], z["zone_lon"]).alias("km"), z["zone_id"].alias("id"))))
+    return joined.withColumn("__best", best).select(*points.columns, F.col("__best.id").alias("zone_id"), F.col("__best.km").alias("zone_km"))

@@ -16,7 +16,8 @@ from courierworks.functions.geo import haversine_km
 from courierworks.functions.num import at_least, clamp, round_half_up
 from courierworks.functions.scoring import words
 from courierworks.operators.keyed import join_checked, top_per_key
-from courierworks.operators.spatial import radius_join
+from courierworks.operators.spatial import nearest_zone, radius_join
+from courierworks.session import stage
 
 REFERENCE_KM = 15.0
 REACH_KM = 72.0  # the longest move anyone makes: 1.8 times 60 minutes at the highest speed, 40 km/h
@@ -356,9 +357,7 @@ def rank_live_drivers(latest: DataFrame, offer_counts: DataFrame, opportunity: D
 
 def driver_opportunity(latest: DataFrame, zone_state: DataFrame, zones: DataFrame) -> DataFrame:
     """Live drivers with the context of their nearest zone, opportunity and best action."""
-    from courierworks.operators.spatial import nearest_zone
-
-    placed = nearest_zone(latest.select("courier_id", "lat", "lon", "status", "ts"), zones, "courier_id")
+    placed = nearest_zone(stage(latest.select("courier_id", "lat", "lon", "status", "ts")), zones, "courier_id")
     context = zone_state.select("zone_id", "demand_index", "supply_index", "weather_factor", "traffic_factor")
     rows = placed.join(context, "zone_id", "left").withColumns({
         "demand_index": F.coalesce("demand_index", F.lit(0.0)), "supply_index": F.coalesce("supply_index", F.lit(0.5))})
@@ -370,7 +369,11 @@ def driver_opportunity(latest: DataFrame, zone_state: DataFrame, zones: DataFram
 
 
 def fleet_overview(opportunity: DataFrame) -> DataFrame:
-    """One row: drivers, mean demand and pressure, the five busiest zones, statuses and the best opportunities."""
+    """One row: drivers, mean demand and pressure, the five busiest zones, statuses and the best opportunities.
+
+    The drivers with their zones are made once and written; the four figures read the few columns they need.
+    """
+    opportunity = stage(opportunity.select("courier_id", "zone_id", "status", "ts", "demand_index", "pressure_ratio", "driver_opportunity"))
     one = F.lit(1).alias("__one")
     totals = opportunity.agg(F.count("*").alias("active_drivers"), round_half_up(F.avg("demand_index"), 4).alias("avg_demand_index"),
                              round_half_up(F.avg("pressure_ratio"), 4).alias("avg_pressure_ratio")).select(one, "*")

@@ -18,7 +18,7 @@ ZONE_DEFAULTS = {
 }
 
 
-def enrich_offers(offers: DataFrame, positions: DataFrame, zone_signals: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def enrich_offers(offers: DataFrame, positions: DataFrame, zone_signals: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     """Offer features from the newest courier position and zone signal at or before the offer.
 
     `zone_signals` are parsed signals. The net revenue here has no platform fee and is not below -2.
@@ -29,9 +29,9 @@ def enrich_offers(offers: DataFrame, positions: DataFrame, zone_signals: DataFra
     zones = zone_signals.select("zone_id", F.col("ts").alias("zone_ts"), F.col("event_id").alias("signal_id"),
                                 *[F.col(c).alias(f"zone_{c}") for c in ["demand_index", "supply_index", "weather_factor", "traffic_factor"]], *have)
     rows = asof_left(offers, couriers, "courier_id", "ts", "courier_ts", "event_id",
-                     ["courier_lat", "courier_lon", "courier_speed", "courier_status"], bucket_seconds=bucket_seconds)
+                     ["courier_lat", "courier_lon", "courier_speed", "courier_status"], hot_rows=hot_rows)
     rows = asof_left(rows, zones, "zone_id", "ts", "zone_ts", "signal_id",
-                     [c for c in zones.columns if c not in ("zone_id", "zone_ts", "signal_id")], bucket_seconds=bucket_seconds)
+                     [c for c in zones.columns if c not in ("zone_id", "zone_ts", "signal_id")], hot_rows=hot_rows)
     missing = {c: F.lit(ZONE_DEFAULTS[c]) for c in ZONE_DEFAULTS if c not in have}
     rows = rows.withColumns({**{c: F.coalesce(c, F.lit(ZONE_DEFAULTS[c])) for c in have}, **missing})
     km = F.coalesce(haversine_km("courier_lat", "courier_lon", "pickup_lat", "pickup_lon"), F.lit(0.0))

@@ -55,13 +55,13 @@ def order_outcomes(events: DataFrame) -> DataFrame:
 
 def training_frame(offers: DataFrame, events: DataFrame, signals: DataFrame, window_minutes: int = 30, quantile: float = 0.6,
                    min_eur_h: float = 14.0, window: tuple[datetime, datetime] | None = None,
-                   bucket_seconds: int = 3600) -> DataFrame:
+                   hot_rows: int = 1_000_000) -> DataFrame:
     """One labelled row per offer: features at the time of the offer, outcome, threshold and label source."""
     first = first_by(in_window(offers, window).where(F.col("offer_id") != ""), ["offer_id"], "ts", "courier_id")
     context = signals.where("zone_id <> '' AND supply_index IS NOT NULL").select(
         "zone_id", F.col("ts").alias("ctx_ts"), "event_id", F.col("supply_index").alias("supply_ctx"))
     rows = asof_left(first.select("offer_id", "courier_id", "zone_id", "ts", *FEATURES[:4], "weather_factor", "traffic_factor"), context,
-                     "zone_id", "ts", "ctx_ts", "event_id", ["supply_ctx", "ctx_ts"], bucket_seconds=bucket_seconds)
+                     "zone_id", "ts", "ctx_ts", "event_id", ["supply_ctx", "ctx_ts"], hot_rows=hot_rows)
     rows = rows.where("estimated_fare_eur IS NOT NULL AND estimated_distance_km IS NOT NULL AND estimated_duration_min IS NOT NULL AND ts IS NOT NULL")
     rows = rows.join(order_outcomes(in_window(events, window)), "offer_id", "left")
     c, one = F.col, F.lit(1.0)

@@ -61,7 +61,7 @@ def _up_to(rows: DataFrame, newest: datetime, oldest: datetime | None) -> DataFr
 
 
 def offer_feature_sink(offers: DataFrame, positions_root: str, signals_root: str, out: str, checkpoint: str, positions_schema, signals_schema,
-                       lookback_minutes: int | None = None, bucket_seconds: int = 3600) -> DataStreamWriter:
+                       lookback_minutes: int | None = None) -> DataStreamWriter:
     """Features of every arriving offer, from the position lake and the parsed signals up to its time.
 
     With `lookback_minutes` what is older has expired and is not read; without, the rows are those of the batch twin.
@@ -73,7 +73,7 @@ def offer_feature_sink(offers: DataFrame, positions_root: str, signals_root: str
             return
         oldest = None if lookback_minutes is None else span["lo"] - timedelta(minutes=lookback_minutes)
         known = lambda root, schema: _up_to(spark.read.schema(schema).parquet(root), span["hi"], oldest)
-        enriched = enrich_offers(batch, known(positions_root, positions_schema), known(signals_root, signals_schema), bucket_seconds)
+        enriched = enrich_offers(batch, known(positions_root, positions_schema), known(signals_root, signals_schema))
         # Keyed by the batch, so a repeated batch replaces its own rows.
         enriched.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 

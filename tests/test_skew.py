@@ -37,10 +37,27 @@ def test_previous_row_across_buckets(views):
     same(got, want)
 
 
-def test_asof_does_not_depend_on_buckets(views):
+def test_asof_of_hot_keys_equals_the_plain_window(views):
     right = views.context_signals.select("zone_id", F.col("ts").alias("at"), "event_id", "supply_index")
-    run = lambda s: keyed.asof_left(views.offers.select("offer_id", "zone_id", "ts"), right, "zone_id", "ts", "at", "event_id", ["event_id", "supply_index"], bucket_seconds=s)
-    same(run(45), run(86400))
+    third = lambda df, key: df.withColumn("zone_id", F.when(F.pmod(F.xxhash64(key), F.lit(3)) == 0, "hot").otherwise(F.col("zone_id")))
+    right = third(right, "event_id").unionByName(third(right, "event_id").where("zone_id = 'hot'").withColumn("event_id", F.concat("event_id", F.lit("x"))))
+    right = right.unionByName(right.limit(3).withColumn("at", F.lit(None).cast("timestamp"))).unionByName(right.limit(3).withColumn("zone_id", F.lit(None).cast("string")))
+    left = third(views.offers.select("offer_id", "zone_id", "ts"), "offer_id")
+    left = left.unionByName(left.limit(4).withColumn("ts", F.lit(None).cast("timestamp"))).unionByName(left.limit(4).withColumn("zone_id", F.lit(None).cast("string")))
+    run = lambda n: keyed.asof_left(left, right, "zone_id", "ts", "at", "event_id", ["event_id", "supply_index"], hot_rows=n)
+    plain = run(10**9)
+    matched = left.alias("l").join(right.alias("r"), (F.col("l.zone_id") == F.col("r.zone_id")) & (F.col("r.at") <= F.col("l.ts")), "left")
+    newest = F.max_by("event_id", F.struct("at", "event_id"))
+    want = matched.groupBy("offer_id", "l.zone_id", "ts").agg(newest.alias("event_id"))
+    same(plain.select("offer_id", "zone_id", "ts", "event_id"), want.select("offer_id", "zone_id", "ts", "event_id"))
+    same(plain, run(5))
+
+
+def test_asof_reads_each_side_once(views):
+    right = views.context_signals.select("zone_id", F.col("ts").alias("at"), "event_id", "supply_index")
+    df = keyed.asof_left(views.offers.select("offer_id", "zone_id", "ts"), right, "zone_id", "ts", "at", "event_id", ["event_id"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(zone_id") == 1
 
 
 def test_salted_joins(views):
@@ -129,3 +146,46 @@ def test_radius_join_over_the_date_line(spark):
     points = spark.createDataFrame([(i, y, x) for i, (y, x) in enumerate([(0.0, -179.99), (0.0, 179.95), (70.01, 179.99), (0.5, 179.99)])], "id int, lat double, lon double")
     got = sorted((r["k"], r["id"]) for r in spatial.radius_join(centres, points, 10.0).collect())
     assert got == [("p", 0), ("p", 1), ("q", 2)]
+
+
+def test_nearest_zone_against_all_pairs(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    somewhere = lambda: (math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180))
+    near = lambda: (40.7 + rng.gauss(0, 0.1), -74 + rng.gauss(0, 0.1))
+    places = [near() for _ in range(120)] + [somewhere() for _ in range(40)] + [(90.0, 0.0), (-90.0, 0.0), (0.0, 180.0), (0.0, -180.0)]
+    zones = [(f"z{i:03d}", y, x) for i, (y, x) in enumerate(places)] + [("z000b", *places[0]), ("a_same", *places[5]), ("lost", None, 1.0)]
+    points = [near() for _ in range(300)] + [somewhere() for _ in range(300)] + places[:20] + [(90.0, 10.0), (-90.0, 7.0), (12.0, 180.0), (12.0, -180.0)]
+    rows = [(i, y, x) for i, (y, x) in enumerate(points)] + [(-1, None, None), (-2, 3.0, None)]
+    table = spark.createDataFrame(zones, "zone_id string, lat double, lon double")
+    asked = spark.createDataFrame(rows, "id int, lat double, lon double")
+
+    def km(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 12742 * math.asin(math.sqrt(min(1, h)))
+
+    best = {i: min((km((y, x), (b, c)), z) for z, b, c in zones if b is not None) for i, y, x in rows if y is not None and x is not None}
+    for limits in ({}, {"max_pairs": 1, "max_candidates": 0}):
+        got = {r["id"]: (r["zone_km"], r["zone_id"]) for r in spatial.nearest_zone(asked, table, "id", **limits).collect()}
+        assert len(got) == len(rows) and got[-1] == got[-2] == (None, None)
+        for i, (want, zone) in best.items():
+            assert abs(got[i][0] - want) < 1e-6 and (got[i][1] == zone or abs(km(rows[i][1:], next(z[1:] for z in zones if z[0] == got[i][1])) - want) < 1e-9)
+        assert got[600][1] in ("z000", "z000b") and got[605][1] == "a_same"
+    assert {r["zone_id"] for r in spatial.nearest_zone(asked, table.limit(0), "id").collect()} == {None}
+
+
+def test_zone_index_holds_few_candidates_and_points_stay_where_they_are(views):
+    latest = fleet.latest_positions(views.positions)
+    index = spatial.zone_index(latest, views.zones)
+    from courierworks.catalog import dispatch_reports
+    from courierworks.session import stage
+
+    latest = stage(latest)
+    zones = views.zones.count()
+    assert index.agg(F.max(F.size("candidates"))).first()[0] < max(8, zones // 3)
+    plan = spatial.nearest_zone(latest, views.zones, "courier_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Window" not in plan
+    overview = dispatch_reports.fleet_overview(views)._jdf.queryExecution().optimizedPlan().toString()
+    assert overview.count("Relation [") <= 6 and overview.count("Join ") <= 4
