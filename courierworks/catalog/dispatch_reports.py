@@ -11,7 +11,9 @@ from courierworks.catalog.registry import haversine, r, report
 from courierworks.functions import zones as fz
 from courierworks.functions.num import round_half_up
 from courierworks.operators import fleet, missions, profiles
+from courierworks.operators.keyed import top_per_key
 from courierworks.plans import dispatch
+from courierworks.session import stage
 from courierworks.sources.adapters import Views
 
 
@@ -145,24 +147,43 @@ def market_moves(v: Views):
     return dispatch.market_reposition(best, F.col("target_eur_h")).withColumn("rank", F.col("rank").cast("long"))
 
 
-BRIEF_SQL = f"""{OPTIONS_SQL}, {SHIFT_SQL},
-n AS (SELECT courier_id, max(CASE WHEN rank = 1 THEN offer_id END) AS o1, max(CASE WHEN rank = 2 THEN offer_id END) AS o2, max(CASE WHEN rank = 3 THEN offer_id END) AS o3 FROM best GROUP BY 1),
-m AS (SELECT courier_id, max(CASE WHEN rank = 1 THEN zone_id END) AS m1, max(CASE WHEN rank = 2 THEN zone_id END) AS m2, max(CASE WHEN rank = 3 THEN zone_id END) AS m3 FROM op GROUP BY 1),
-x AS (SELECT courier_id, string_agg(zone_id, ',' ORDER BY rank) AS shift_zones FROM sp GROUP BY 1)
-SELECT d.courier_id, CASE WHEN o1 IS NOT NULL THEN 'offer' WHEN m1 IS NOT NULL THEN 'reposition' ELSE 'hold' END AS primary_kind, coalesce(o1, m1) AS primary_id,
-  CASE WHEN o1 IS NOT NULL THEN concat_ws(',', o2, o3, m1) ELSE concat_ws(',', m2, m3) END AS alternatives, coalesce(shift_zones, '') AS shift_zones
-FROM dr d LEFT JOIN n USING (courier_id) LEFT JOIN m USING (courier_id) LEFT JOIN x USING (courier_id)"""
+NEAR, PLAIN, MOVERS, PLANNED = ["available"], ["available", "delivering"], ["available", "delivering", "idle"], ["available", "delivering", "idle"]
+MARKET = ["available", "delivering", "idle", "repositioning"]
+
+
+def _with_status(words: list[str]) -> str:
+    return "dr.status IN (" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+BRIEF_SQL = f"""{OPTIONS_SQL}, {SHIFT_SQL}, {NEXT_SQL},
+wn AS (SELECT courier_id, list(offer_id ORDER BY rank) AS a FROM best JOIN dr USING (courier_id) WHERE rank <= 3 AND {_with_status(NEAR)} GROUP BY 1),
+wp AS (SELECT courier_id, list(offer_id ORDER BY rank) AS a FROM (SELECT courier_id, offer_id, row_number() OVER (PARTITION BY courier_id ORDER BY ts DESC, offer_id) AS rank FROM offers) JOIN dr USING (courier_id)
+  WHERE rank <= 3 AND {_with_status(PLAIN)} GROUP BY 1),
+wm AS (SELECT courier_id, list(op.zone_id ORDER BY rank) AS a FROM op JOIN dr USING (courier_id) WHERE rank <= 3 AND {_with_status(MOVERS)} GROUP BY 1),
+wk AS (SELECT courier_id, list(zone_id ORDER BY rank) AS a FROM nb JOIN dr USING (courier_id) WHERE rank <= 3 AND opportunity >= 1.02 AND {_with_status(MARKET)} GROUP BY 1),
+ws AS (SELECT courier_id, string_agg(zone_id, ',' ORDER BY rank) AS a FROM sp JOIN dr USING (courier_id) WHERE {_with_status(PLANNED)} GROUP BY 1),
+wx AS (SELECT courier_id, string_agg(zone_id, ',' ORDER BY rank) AS a FROM nb WHERE rank <= 3 GROUP BY 1),
+wr AS (SELECT d.courier_id, coalesce(wn.a, wp.a) IS NOT NULL AS offer, wm.a IS NOT NULL AS moves, coalesce(wn.a, wp.a, wm.a, wk.a) AS a, coalesce(wm.a[1], wk.a[1]) AS move, ws.a IS NOT NULL AS planned, coalesce(ws.a, wx.a, '') AS shift_zones
+  FROM dr d LEFT JOIN wn USING (courier_id) LEFT JOIN wp USING (courier_id) LEFT JOIN wm USING (courier_id) LEFT JOIN wk USING (courier_id) LEFT JOIN ws USING (courier_id) LEFT JOIN wx USING (courier_id))
+SELECT courier_id, CASE WHEN offer THEN 'offer' WHEN moves THEN 'reposition' WHEN a IS NOT NULL THEN 'market_reposition' ELSE 'hold' END AS primary_kind, a[1] AS primary_id,
+  concat_ws(',', a[2], a[3], CASE WHEN offer THEN move END) AS alternatives, planned, shift_zones FROM wr"""
 
 
 @report("driver_brief", BRIEF_SQL)
 def driver_brief(v: Views):
-    near, people = around(v), stay(v)
-    options = dispatch.reposition_options(people, opportunity(v))
-    none = near.limit(0)
-    nowhere = options.limit(0)
-    brief = dispatch.driver_brief(people, near, none, options, nowhere, shift(v), nowhere)
-    ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"]), ",")
-    return brief.select("courier_id", "primary_kind", "primary_id", ids("alternatives").alias("alternatives"), ids("shift_items").alias("shift_zones"))
+    """Every source of a brief; who is busy sees fewer of them, so all paths from a nearby offer to hold occur."""
+    people, zones = stay(v), opportunity(v)
+    status = people.select("courier_id", "status")
+    seen_by = lambda df, words: df.join(status.where(F.col("status").isin(words)).select("courier_id"), "courier_id", "left_semi")
+    listed = top_per_key(v.offers.select("courier_id", "offer_id", "ts"), ["courier_id"], [F.desc("ts"), F.asc("offer_id")], 3, rank="rank")
+    best = dispatch.next_best_zone(people, zones, 5, distance_weight=0.3).join(people.select("courier_id", "target_eur_h"), "courier_id")
+    best = stage(best)
+    brief = dispatch.driver_brief(
+        people, seen_by(around(v), NEAR), seen_by(listed, PLAIN), seen_by(dispatch.reposition_options(people, zones), MOVERS),
+        seen_by(dispatch.market_reposition(best, F.col("target_eur_h")), MARKET), seen_by(shift(v), PLANNED), dispatch.market_shift_items(best, F.col("target_eur_h")))
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"]), ",")
+    return brief.select("courier_id", "primary_kind", "primary_id", ids("alternatives").alias("alternatives"),
+                        F.coalesce(F.try_element_at("shift_items", F.lit(1))["kind"] == "shift", F.lit(False)).alias("planned"), ids("shift_items").alias("shift_zones"))
 
 
 LIVE_SQL = f"""{BASE_SQL}, nd AS (SELECT d.courier_id, d.status, z.zone_id, z.demand, z.supply, {KM} AS km, row_number() OVER (PARTITION BY d.courier_id ORDER BY {KM}, z.zone_id) AS rn FROM dr d, zop z),

@@ -103,13 +103,7 @@ def model_calibration(v: Views):
     return training.calibration_bins(rule_scored(v)).select("bin", round_half_up("mean_score", 6).alias("mean_score"), round_half_up("observed_rate", 6).alias("observed_rate"), "rows")
 
 
-def usual(p: str) -> Column:
-    """Whether a probability is one."""
-    return (F.col(p) > 0) & (F.col(p) < 1)
-
-
-@report("model_scores", f"""WITH {FRAME_SQL}, od AS (SELECT offer_id, label, row_number() OVER (ORDER BY ts, offer_id) AS k, count(*) OVER () AS n FROM fr)
-SELECT offer_id, label::bigint AS label, true AS usual FROM od WHERE k > greatest(1, least(floor(n * 0.8::double), n - 1))""")
+@report("model_scores")
 def model_scores(v: Views):
     """Probabilities of a model trained on the older offers, for the newer ones, with the regularisation chosen from the grid."""
     rows = stage(frame(v))
@@ -117,16 +111,23 @@ def model_scores(v: Views):
     if [c["c"] for c in metrics["candidate_metrics"]] != training.C_GRID or metrics["best_logreg_c"] not in training.C_GRID:
         raise ValueError("the grid was not searched")
     _, test = training.temporal_split(rows)
-    return training.probabilities(model, test).select("offer_id", F.col("label").cast("long").alias("label"), usual("p").alias("usual"))
+    return training.probabilities(model, test).select("offer_id", F.col("label").cast("long").alias("label"), "p")
+
+
+@report("model_importance")
+def model_importance(v: Views):
+    """Features of a model of all offers by the size of their standardised coefficient."""
+    weighted, total = training.with_weights(frame(v))
+    return training.feature_importance(training.fit(stage(weighted), 0.75, total), v.spark)
 
 
-@report("model_offers", "SELECT offer_id, 'ml' AS model_used, true AS usual FROM offers")
+@report("model_offers")
 def model_offers(v: Views):
     """All offers scored by a trained model instead of the rules."""
     weighted, total = training.with_weights(frame(v))
     model = training.fit(stage(weighted), 0.75, total)
     scored = training.score_with_model(inputs(v), model)
-    return scored.select("offer_id", "model_used", F.col("accept_score").between(0.01, 0.99).alias("usual"))
+    return scored.select("offer_id", "model_used", "accept_score")
 
 
 @report("train_window", """SELECT offer_id FROM offers WHERE cast(substr(offer_id, 5) AS bigint) % 7 IN (0, 3)""")

@@ -43,11 +43,16 @@ def dlq_stats(v: Views):
     return ingest.dlq_stats(letters(v))
 
 
-@report("dlq_peek", """SELECT 'livreurs-gps' AS topic, 'malformed_json' AS reason, lower(hex('{"event": ' || event_id)) AS raw_hex FROM positions WHERE event_id % 50 = 0
-ORDER BY raw_hex LIMIT 20""")
+@report("dlq_peek", f"""SELECT 'livreurs-gps' AS topic, CASE WHEN event_id % 50 = 0 THEN 'malformed_json' ELSE 'lat_range' END AS reason, lower(hex(encode(
+  CASE WHEN event_id % 50 = 0 THEN substr(body, 1, 40) ELSE body END))) AS raw_hex
+FROM (SELECT event_id, '{{"livreur_id":"' || courier_id || '","lat":' || CASE WHEN event_id % 70 = 0 THEN '123.0' ELSE lat::VARCHAR END || ',"lon":-73.9,"status":"' || status || '","timestamp":"'
+  || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '"}}' AS body FROM positions) WHERE event_id % 50 = 0 OR event_id % 70 = 0 ORDER BY reason, raw_hex LIMIT 20""")
 def dlq_peek(v: Views):
-    raw = v.positions.where("event_id % 50 = 0").select(F.concat(F.lit('{"event": '), F.col("event_id").cast("string")).alias("value"))
-    _, rejects = ingest.validate_positions(ingest.parse_positions(raw))
+    """The newest 20 letters among those of all messages, in a short layout whose numbers print alike in both engines."""
+    lat = F.when(F.col("event_id") % 70 == 0, F.lit(123.0)).otherwise(F.col("lat"))
+    body = F.to_json(F.struct(F.col("courier_id").alias("livreur_id"), lat.alias("lat"), F.lit(-73.9).alias("lon"), "status", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp")))
+    cut = F.when(F.col("event_id") % 50 == 0, F.substring(body, 1, 40)).otherwise(body)
+    _, rejects = ingest.validate_positions(ingest.parse_positions(v.positions.select(cut.alias("value"))))
     return ingest.dlq_peek(ingest.dead_letters(rejects, "livreurs-gps", ref_ts()), 20).select("topic", "reason", "raw_hex")
 
 

@@ -52,12 +52,17 @@ def speed_samples(v: Views):
     return text.extract_speed_samples(feed, "link_id").select("link_id", "lat", "lon", "speed_kmh")
 
 
-@report("charging_stations", f"""SELECT 'hub_' || station_id || '_' || replace(printf('%.5f', {r('lat', 5)}), '.', '_') || '_' || replace(printf('%.5f', abs({r('lon', 5)})), '.', '_') || '_level_2' AS slug_id, lat, lon, 7.2::double AS power_kw FROM stations
-WHERE lat BETWEEN 40.49 AND 40.92 AND lon BETWEEN -74.27 AND -73.68""")
+@report("charging_stations", f"""SELECT 'hub_' || station_id || '_' || replace(printf('%.5f', {r('lat', 5)}), '.', '_') || '_' || replace(printf('%.5f', abs({r('lon', 5)})), '.', '_') || '_level_2' AS slug_id, 'Hub ' || station_id || ' - Queens - Level 2' AS name,
+  lat, lon, 7.2::double AS power_kw, 'nyc_open_data_ev_stations' AS source FROM stations WHERE lat BETWEEN 40.49 AND 40.92 AND lon BETWEEN -74.27 AND -73.68
+UNION ALL SELECT station_id::VARCHAR, 'Map ' || station_id, lat, lon, greatest(num_docks_available::double, 11), 'openchargemap_nyc' FROM stations WHERE lat BETWEEN 40.49 AND 40.92 AND lon BETWEEN -74.27 AND -73.68""")
 def charging_stations(v: Views):
+    """Every station in both layouts; on the map it has three connections, one of unknown power."""
     rows = v.stations.select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.concat(F.lit("Hub "), "station_id").alias("station_name"),
                              F.lit("").alias("street"), F.lit("Queens").alias("borough"), F.lit("Level 2").alias("type_of_charger"))
-    return text.normalize_charging_stations(None, rows).select(F.col("station_id").alias("slug_id"), "lat", "lon", "power_kw")
+    point = F.struct(F.col("lat").alias("Latitude"), F.col("lon").alias("Longitude"), F.concat(F.lit(" Map "), "station_id").alias("Title"))
+    powers = F.array(*[F.struct(x.cast("double").alias("PowerKW")) for x in (F.lit(11.0), F.lit(None), F.col("num_docks_available"))])
+    mapped = v.stations.select(F.col("station_id").alias("ID"), point.alias("AddressInfo"), powers.alias("Connections"))
+    return text.normalize_charging_stations(mapped, rows).select(F.col("station_id").alias("slug_id"), "name", "lat", "lon", "power_kw", "source")
 
 
 @report("fuel_prices", f"""SELECT p_partkey, {r('p_retailprice / 500', 4)} AS price FROM part""")

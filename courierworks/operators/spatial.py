@@ -43,18 +43,19 @@ def _covering_cells(centres: DataFrame, radius_km: float, size_deg: float, lat:
 
 
 def radius_join(centres: DataFrame, points: DataFrame, radius_km: float, box: bool = False,
-                max_centres: int = 20_000) -> DataFrame:
+                max_centres: int = 20_000, on: list[str] | None = None) -> DataFrame:
     """Pairs (centre, point) within the radius; centres carry lat and lon, which come back as centre_lat, centre_lon.
 
     With `box` the test is the latitude/longitude box of the radius instead of the circle. Result
     columns: the other columns of the centres, all columns of the points and `distance_km`.
-    A hot cell is spread over sub-keys unless the covered centres are few enough to broadcast.
+    A hot cell is spread over sub-keys unless the covered centres are few enough to broadcast. `on` names
+    columns of both sides that have to be equal as well; they become part of the join key.
     """
     size_deg = max(radius_km / _SAFE_KM_PER_DEGREE, 1e-3)
     named = centres.withColumnsRenamed({"lat": "centre_lat", "lon": "centre_lon"})
     covered = _covering_cells(named, radius_km * (1.001 if not box else 1.01), size_deg, "centre_lat", "centre_lon")
     located = _point_cells(points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), size_deg)
-    pairs = join_checked(located, covered, ["__row", "__column"], max_rows=max_centres * 25)
+    pairs = join_checked(located, covered, ["__row", "__column", *(on or [])], max_rows=max_centres * 25)
     pairs = pairs.withColumn("distance_km", haversine_km("centre_lat", "centre_lon", "lat", "lon"))
     if box:
         half_lat = radius_km / KM_PER_DEGREE

@@ -142,31 +142,75 @@ def trip_positions(trips: DataFrame) -> DataFrame:
         "status", F.lit(8.0).alias("accuracy_m"), F.lit(100.0).alias("battery_pct"), F.lit(PLATFORM).alias("source_platform"))
 
 
+SLOT_MIN = 15  # width of the finest time slot of the interval join
+SLOT_LEVELS = 6  # each level's slots are four times as wide as those of the one before
+FOREVER_US = 1 << 60
+
+
+def _slot_width(level: Column) -> Column:
+    return F.lit(SLOT_MIN * 60_000_000) * F.pow(F.lit(4.0), F.greatest(level, F.lit(0))).cast("long")
+
+
+def _interval_slots(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows with (__level, __slot): an interval lies in at most two slots of the first level that is wide enough for it.
+
+    What is longer than the widest slots, such as an interval without end, is alone on its own level -1.
+    """
+    length = F.col(end) - F.col(start)
+    level = F.lit(-1)
+    for k in range(SLOT_LEVELS - 1, -1, -1):
+        level = F.when(length <= _slot_width(F.lit(k)), F.lit(k)).otherwise(level)
+    placed = rows.withColumn("__level", level)
+    first, last = F.floor(F.col(start) / _slot_width(F.col("__level"))), F.floor(F.col(end) / _slot_width(F.col("__level")))
+    return placed.withColumn("__slot", F.explode(F.when(F.col("__level") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first, last))))
+
+
+def _probe_slots(rows: DataFrame, start: str, end: str, levels: list[int]) -> DataFrame:
+    """Rows once for every slot of the given levels that their interval touches."""
+    placed = rows.withColumn("__level", F.explode(F.array(*map(F.lit, levels)))) if levels else rows.withColumn("__level", F.lit(-2))
+    first, last = F.floor(F.col(start) / _slot_width(F.col("__level"))), F.floor(F.col(end) / _slot_width(F.col("__level")))
+    return placed.withColumn("__slot", F.explode(F.when(F.col("__level") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first, last))))
+
+
+def idle_pairs(trips: DataFrame, idle: DataFrame, radius_km: float) -> DataFrame:
+    """Trips with the couriers that are idle at some time of the trip's window and stand within the radius.
+
+    `trips` has req, pick (microseconds), lat, lon; `idle` has free, gone (microseconds), lat, lon. The join key is the grid cell and a
+    time slot. An idle interval is filed in one or two slots of the level that fits its length, and a trip looks in the slots its short
+    window touches on the levels that occur, so couriers that are idle at other times are never compared. A pair that meets in two slots counts once, in the first.
+    """
+    filed = _interval_slots(idle.where("gone >= free AND lat IS NOT NULL AND lon IS NOT NULL"), "free", "gone")
+    levels = sorted(r[0] for r in filed.select("__level").distinct().collect())  # SLOT_LEVELS + 1 at most
+    asked = _probe_slots(trips, "req", "pick", levels)
+    met = radius_join(filed, asked, radius_km, on=["__level", "__slot"]).where((F.col("free") <= F.col("pick")) & (F.col("gone") >= F.col("req")))
+    width = _slot_width(F.col("__level"))
+    first = F.greatest(F.floor(F.col("free") / width), F.floor(F.col("req") / width))
+    return met.where((F.col("__level") < 0) | (F.col("__slot") == first)).drop("__level", "__slot")
+
+
 def trip_candidates(trips: DataFrame, idle: DataFrame, k: int = 3, max_eta_min: float = 30.0, speed_kmh: float = 22.0, grace_min: float = 2.0,
                     max_idle_min: float | None = None) -> DataFrame:
     """The `k` cheapest idle couriers per trip that reach the pickup in time.
 
-    `trips` has trip_key, courier_id (the preferred one), request_datetime, pickup_datetime, pickup_lat,
-    pickup_lon; `idle` has courier_id, available_at, lat, lon. Who could not arrive within `max_eta_min`
-    is never paired. With `max_idle_min`, couriers that have been waiting for longer do not count.
+    `trips` has trip_key, courier_id (the preferred one), request_datetime, pickup_datetime, pickup_lat, pickup_lon; `idle` has courier_id,
+    available_at, lat, lon, and may have busy_at, from which on the courier is no longer idle (NULL: idle without end). A courier counts
+    for a trip if it is idle at some time between the request and the pickup plus the grace, and with `max_idle_min` if it has not been waiting for longer
+    when the request comes. Who could not arrive within `max_eta_min` is never paired.
     """
-    points = trips.select("trip_key", F.col("courier_id").alias("preferred"), F.unix_micros("request_datetime").alias("req"),
-                          F.unix_micros("pickup_datetime").alias("pick"), F.col("pickup_lat").alias("lat"), F.col("pickup_lon").alias("lon"))
-    people = idle.select("courier_id", F.unix_micros("available_at").alias("free"), "lat", "lon")
-    if max_idle_min is not None:
-        ends = F.broadcast(people.agg(F.min("free").alias("__lo"), F.max("free").alias("__hi")).withColumn("__one", F.lit(1)))
-        points = points.withColumn("__one", F.lit(1)).join(ends, "__one").where(
-            (F.col("pick") + F.lit(int(grace_min * 6e7)) >= F.col("__lo")) & (F.col("req") <= F.col("__hi") + F.lit(int(max_idle_min * 6e7)))
-        ).drop("__one", "__lo", "__hi")
-    pairs = radius_join(people, points, speed_kmh * max_eta_min / 60.0)
     late = F.lit(int(grace_min * 6e7))
+    points = trips.select("trip_key", F.col("courier_id").alias("preferred"), F.unix_micros("request_datetime").alias("req"), F.unix_micros("pickup_datetime").alias("pickup"),
+                          (F.unix_micros("pickup_datetime") + late).alias("pick"), F.col("pickup_lat").alias("lat"), F.col("pickup_lon").alias("lon")).where("req <= pick")
+    free = F.unix_micros("available_at")
+    ends = [F.coalesce(F.unix_micros("busy_at") - 1, F.lit(FOREVER_US))] if "busy_at" in idle.columns else []
+    ends += [free + F.lit(int(max_idle_min * 6e7))] if max_idle_min is not None else []
+    gone = F.least(*ends) if len(ends) > 1 else ends[0] if ends else F.lit(FOREVER_US)
+    people = idle.select("courier_id", free.alias("free"), gone.alias("gone"), "lat", "lon")
+    pairs = idle_pairs(points, people, speed_kmh * max_eta_min / 60.0)
     eta = F.col("distance_km") / speed_kmh * 60.0
     start = F.greatest("free", "req")
     arrive = start + eta * 6e7
-    rows = pairs.withColumns({"eta_min": eta, "wait_min": (start - F.col("req")) / 6e7, "late_min": at_least((arrive - F.col("pick")) / 6e7, 0.0)}).where(
-        (F.col("free") <= F.col("pick") + late) & (F.col("eta_min") <= max_eta_min) & (arrive <= F.col("pick") + late))
-    if max_idle_min is not None:
-        rows = rows.where(F.col("req") - F.col("free") <= F.lit(int(max_idle_min * 6e7)))
+    rows = pairs.withColumns({"eta_min": eta, "wait_min": (start - F.col("req")) / 6e7, "late_min": at_least((arrive - F.col("pickup")) / 6e7, 0.0)}).where(
+        (F.col("eta_min") <= max_eta_min) & (arrive <= F.col("pick")))
     cost = (F.col("distance_km") + F.col("wait_min") * 1.7 + F.col("eta_min") * 0.35 + F.col("late_min") * 4.0
             - F.when(F.col("preferred") == F.col("courier_id"), 0.35).otherwise(0.0) + 0.15)
     scored = rows.select("trip_key", "courier_id", "distance_km", "eta_min", "wait_min", "late_min", cost.alias("cost"))

@@ -189,3 +189,49 @@ def test_zone_index_holds_few_candidates_and_points_stay_where_they_are(views):
     assert plan.count("Join ") == 1 and "Window" not in plan
     overview = dispatch_reports.fleet_overview(views)._jdf.queryExecution().optimizedPlan().toString()
     assert overview.count("Relation [") <= 6 and overview.count("Join ") <= 4
+
+
+def test_trip_candidates_compare_only_couriers_idle_then(spark):
+    import random
+
+    from courierworks.sources import trips
+
+    rng = random.Random(8)
+    hour = 3_600_000_000
+    idle = []
+    for i in range(300):
+        free = rng.randrange(48 * hour)
+        idle.append((f"c{i:03d}", free, rng.choice([None, free + rng.randrange(1, 6) * hour // 2, free + rng.randrange(20) * hour, free - 5]), 40.7 + rng.gauss(0, 0.05), -74.0 + rng.gauss(0, 0.05)))
+    asked = [(f"t{i:03d}", f"c{rng.randrange(300):03d}", req := rng.randrange(48 * hour), req + rng.randrange(hour // 2), 40.7 + rng.gauss(0, 0.05), -74.0 + rng.gauss(0, 0.05)) for i in range(80)]
+    times = lambda df, *names: df.withColumns({n: F.timestamp_micros(n) for n in names})
+    people = times(spark.createDataFrame(idle, "courier_id string, available_at long, busy_at long, lat double, lon double"), "available_at", "busy_at")
+    rides = times(spark.createDataFrame(asked, "trip_key string, courier_id string, request_datetime long, pickup_datetime long, pickup_lat double, pickup_lon double"), "request_datetime", "pickup_datetime")
+
+    def km(a, b, c, d):
+        import math
+
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 12742 * math.asin(math.sqrt(h))
+
+    for longest in (None, 90.0):
+        want, overlapping = {}, 0
+        for key, preferred, req, pick, y, x in asked:
+            costs = []
+            for courier, free, busy, cy, cx in idle:
+                gone = min((1 << 60) if busy is None else busy - 1, (1 << 60) if longest is None else free + int(longest * 6e7))
+                d = km(y, x, cy, cx)
+                if gone < free or free > pick + 120_000_000 or gone < req or d > 11:
+                    continue
+                overlapping += 1
+                eta, start = d / 22 * 60, max(free, req)
+                if eta <= 30 and start + eta * 6e7 <= pick + 120_000_000:
+                    costs.append((d + (start - req) / 6e7 * 1.7 + eta * 0.35 + max(0, (start + eta * 6e7 - pick) / 6e7) * 4 - (0.35 if preferred == courier else 0) + 0.15, courier))
+            for rank, (cost, courier) in enumerate(sorted(costs)[:3], 1):
+                want[key, rank] = (courier, round(cost, 6))
+        got = {(r["trip_key"], r["rank"]): (r["courier_id"], round(r["cost"], 6)) for r in trips.trip_candidates(rides, people, max_idle_min=longest).collect()}
+        assert got == want and len(want) > 50
+        late = F.lit(120_000_000)
+        points = rides.select("trip_key", F.unix_micros("request_datetime").alias("req"), (F.unix_micros("pickup_datetime") + late).alias("pick"), F.col("pickup_lat").alias("lat"), F.col("pickup_lon").alias("lon"))
+        ends = [F.coalesce(F.unix_micros("busy_at") - 1, F.lit(1 << 60))] + ([F.unix_micros("available_at") + int(longest * 6e7)] if longest else [])
+        waiting = people.select("courier_id", F.unix_micros("available_at").alias("free"), (F.least(*ends) if longest else ends[0]).alias("gone"), "lat", "lon")
+        assert trips.idle_pairs(points, waiting, 11.0).count() == overlapping
