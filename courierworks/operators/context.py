@@ -13,7 +13,7 @@ from courierworks.functions.geo import grid_zone_id
 from courierworks.functions.num import at_least, clamp, finite, flag, ratio, round_half_up
 from courierworks.functions.status import (build_metadata, metadata_count, metadata_flag, metadata_map,
                                            metadata_number, metadata_tag)
-from courierworks.operators.fold import ordered_fold
+from courierworks.operators.fold import Rule, array_fold, let
 from courierworks.operators.keyed import dedupe_keep_first, latest_by
 from courierworks.operators.spatial import radius_join
 
@@ -266,10 +266,27 @@ def zone_trend_step(state, row):
     return (_round3(trend), _round3(ema), _round3(forecast), tick), [demand, _round3(ema), us]
 
 
+TREND_STATE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("demand", "ema", "seen")])
+
+
+def _trend_update(state: Column, row: Column) -> Column:
+    demand, us = row["__demand"], row["__us"]
+    trend = demand - F.coalesce(state["demand"], demand)
+    both = F.struct(trend.alias("trend"), (F.lit(0.65) * trend + F.lit(0.35) * F.coalesce(state["ema"], F.lit(0.0))).alias("ema"))
+    tick = F.when(state["seen"].isNotNull(), round_half_up(F.greatest((us - state["seen"]) / 1e6, F.lit(0.0)), 3))
+    return let(both, lambda b: F.struct(
+        F.struct(demand.alias("demand"), round_half_up(b["ema"], 3).alias("ema"), us.alias("seen")).alias("state"),
+        F.struct(round_half_up(b["trend"], 3).alias("demand_trend"), round_half_up(b["ema"], 3).alias("demand_trend_ema"),
+                 round_half_up(F.greatest(demand + b["ema"] * 1.4, F.lit(0.3)), 3).alias("forecast_demand_index_15m"), tick.alias("context_tick_s")).alias("out")))
+
+
+ZONE_RULE = Rule(TREND_STATE, _trend_update)
+
+
 def zone_trend_ema(signals: DataFrame, **fold) -> DataFrame:
     """Trend, smoothed trend and 15-minute forecast of every signal; the rounded average feeds the next one."""
     rows = signals.withColumns({"__demand": round_half_up("demand_index", 3), "__us": F.unix_micros("ts").cast("double")})
-    return ordered_fold(rows, "zone_id", "ts", "event_id", ["__demand", "__us"], ["event_id"], zone_trend_step, ZONE_TREND, **fold)
+    return array_fold(rows, "zone_id", "ts", "event_id", ["__demand", "__us"], ["event_id"], zone_trend_step, ZONE_RULE, ZONE_TREND, **fold)
 
 
 def parse_signal(signals: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -305,7 +322,7 @@ SIGNAL_COLUMNS = ["event_id", "ts", "demand_index", "supply_index", "weather_fac
 def _with_trend(signals: DataFrame, **fold) -> DataFrame:
     """Every signal with its trend columns, carried through the fold, so that nothing is joined back."""
     rows = signals.withColumns({"__demand": round_half_up("demand_index", 3), "__us": F.unix_micros("ts").cast("double")})
-    return ordered_fold(rows, "zone_id", "ts", "event_id", ["__demand", "__us"], SIGNAL_COLUMNS, zone_trend_step, ZONE_TREND, **fold)
+    return array_fold(rows, "zone_id", "ts", "event_id", ["__demand", "__us"], SIGNAL_COLUMNS, zone_trend_step, ZONE_RULE, ZONE_TREND, **fold)
 
 
 def zone_context_history(signals: DataFrame, **fold) -> DataFrame:

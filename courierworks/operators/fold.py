@@ -1,6 +1,7 @@
 """Ordered folds: a state carried from row to row within a key, for rules a window cannot express.
 
-Rows are shuffled by key, sorted, and read as a stream of Arrow batches with one state in memory, so
+`array_fold` folds sorted arrays of a key and time segment with built-in expressions; what it cannot settle goes row by row through
+`ordered_fold`. There rows are shuffled by key, sorted, and read as a stream of Arrow batches with one state in memory, so
 no group is ever collected. Keys with very many rows are cut into time segments that run in parallel:
 each segment starts from the state the one before it ended with, which is first guessed by running
 every segment from an empty state. Where the guess proves right for all segments of a key, its result
@@ -10,14 +11,15 @@ is exact; keys where it does not are run again with wider segments, at last with
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from courierworks.operators.keyed import join_checked, time_bucket
-from courierworks.session import checkpoint
+from courierworks.session import checkpoint, stage
 
 # A step takes the state (a list of floats, or None at the start of a key) and the row's values, and
 # gives the row's outputs and the new state.
@@ -109,3 +111,70 @@ def ordered_fold(rows: DataFrame, key: str, ts: str, tie: str, inputs: list[str]
             return result
         pending, seconds = join_checked(pending, wrong, [key], "left_semi"), seconds * widen
     return result.unionByName(run(placed(pending, None), exits=False))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A step as column expressions: `update(state, row)` gives a struct of the new state and the row's outputs.
+
+    `state` is the type of the state, NULL before the first row of a key; `row` has the inputs as fields.
+    """
+
+    state: T.StructType
+    update: Callable[[Column, Column], Column]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def array_fold(rows: DataFrame, key: str, ts: str, tie: str, inputs: list[str], ids: list[str], step: Step, rule: Rule, outputs: T.StructType,
+               segment_seconds: int = 3600, max_segment: int = 20_000, **python) -> DataFrame:
+    """`ordered_fold` by built-in expressions: the rows of a key and time segment are one sorted array, folded in the row.
+
+    A key's segments run in parallel. Each starts with the state that the one before it ends with when it starts from nothing; a run from there proves
+    the guess, since the first segment's is true and each true end makes the next one true. Keys whose proof fails, because an early state
+    is carried through whole segments, and keys with more than `max_segment` rows in a segment are folded row by row (`ordered_fold` with
+    the options `python`), so no array outgrows that bound.
+    """
+    carried = list(dict.fromkeys([ts, tie, *inputs, *ids]))
+    rows = rows.select(key, *[c for c in carried if c != key])
+    carried = [c for c in carried if c != key]
+    step_by_step = lambda df: ordered_fold(df, key, ts, tie, inputs, ids, step, outputs, **python)
+    placed = rows.withColumn("__segment", F.coalesce(time_bucket(ts, segment_seconds), F.lit(-(1 << 62))))
+    sizes = placed.groupBy(key, "__segment").agg(F.count("*").alias("__n")).groupBy(key).agg(F.max("__n").alias("__most"), F.count("*").alias("__segments"))
+    most = sizes.agg(F.max("__most"), F.max("__segments")).first()
+    rest = None
+    if (most[0] or 0) > max_segment:
+        wide = checkpoint(sizes.where(F.col("__most") > max_segment).select(key))
+        rest = step_by_step(join_checked(rows, wide, [key], "left_semi"))
+        placed = join_checked(placed, wide, [key], "left_anti")
+    arrays = placed.groupBy(key, "__segment").agg(F.sort_array(F.collect_list(F.struct(*carried))).alias("__rows"))
+    result_type = T.StructType([T.StructField("state", rule.state), T.StructField("out", T.ArrayType(outputs))])
+
+    def folded(entry: Column, keep: bool) -> Column:
+        start = F.struct(entry.cast(rule.state).alias("state"), F.array().cast(T.ArrayType(outputs)).alias("out")).cast(result_type)
+        merge = lambda acc, row: let(rule.update(acc["state"], row), lambda new: F.struct(
+            new["state"].cast(rule.state).alias("state"), (F.array_append(acc["out"], new["out"].cast(outputs)) if keep else acc["out"]).alias("out")))
+        return F.aggregate("__rows", start, merge)
+
+    def opened(df: DataFrame) -> DataFrame:
+        names = [f.name for f in outputs.fields]
+        each = df.select(key, F.explode(F.arrays_zip(F.col("__rows").alias("row"), F.col("__done.out").alias("out"))).alias("at"))
+        return each.select(key, *[F.col(f"at.row.{c}").alias(c) for c in ids if c != key], *[F.col(f"at.out.{n}").alias(n) for n in names])
+
+    nothing = F.lit(None).cast(rule.state)
+    if (most[1] or 0) <= 1:
+        result = opened(arrays.withColumn("__done", folded(nothing, True)))
+    else:
+        arrays = stage(arrays)
+        guess = stage(arrays.select(key, "__segment", folded(nothing, False)["state"].alias("__end")))
+        entries = guess.withColumn("__entry", F.lag("__end").over(Window.partitionBy(key).orderBy("__segment")))
+        proof = stage(arrays.join(entries, [key, "__segment"]).withColumn("__done", folded(F.col("__entry"), True)))
+        wrong = checkpoint(proof.where(~F.col("__done.state").eqNullSafe(F.col("__end"))).select(key).distinct())
+        if wrong.isEmpty():
+            result = opened(proof)
+        else:
+            result = opened(join_checked(proof, wrong, [key], "left_anti")).unionByName(step_by_step(join_checked(rows, wrong, [key], "left_semi")))
+    return result if rest is None else result.unionByName(rest)

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from courierworks.functions.geo import haversine_km
 from courierworks.functions.status import MOVING_STATUSES, route_source
-from courierworks.operators.fold import ordered_fold
+from courierworks.operators.fold import Rule, array_fold, let
 from courierworks.operators.keyed import latest_by
 
 
@@ -81,6 +82,62 @@ def guard_step(limits: Limits):
     return step
 
 
+GUARD_STATE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("at", "at_lat", "at_lon", "before", "before_lat", "before_lon", "frozen", "seen", "step_km")])
+
+
+def guard_rule(limits: Limits) -> Rule:
+    """The same rule set as expressions.
+
+    `before` is NULL when there is no point before the last accepted one; `step_km` is the way between these two, so that the distance back
+    is needed only after a long step.
+    """
+
+    def update(state: Column, row: Column) -> Column:
+        us, lat, lon = row["__us"], row["lat"], row["lon"]
+        expired = us - state["seen"] > limits.ttl_s * 1e6 if limits.ttl_s is not None else F.lit(False)
+        far_out = ((us - state["before"]) / 1e6 <= limits.backtrack_window_s) & (state["step_km"] >= limits.backtrack_km)
+        facts = F.struct(
+            (state.isNull() | expired).alias("fresh"), ((us - state["at"]) / 1e6).alias("seconds"), haversine_km(state["at_lat"], state["at_lon"], lat, lon).alias("km"),
+            F.when(far_out, haversine_km(state["before_lat"], state["before_lon"], lat, lon)).alias("back"))
+
+        def judged(f: Column) -> Column:
+            kmh = F.when(f["seconds"] > 0, f["km"] / (f["seconds"] / 3600.0))
+            still = (f["km"] * 1000.0 <= limits.frozen_m) & (row["__moving"] == 1) & (row["speed_kmh"] >= limits.frozen_min_speed_kmh)
+            return F.struct(f["fresh"].alias("fresh"), f["seconds"].alias("seconds"), f["km"].alias("km"), kmh.alias("kmh"),
+                            (f["back"] <= limits.backtrack_return_km).alias("returned"),
+                            F.when(still, state["frozen"] + 1.0).otherwise(0.0).alias("frozen"))
+
+        def settled(j: Column) -> Column:
+            lost = us.isNull() | F.isnan(us)
+            reason = (F.when(lost, "invalid_ts").when(j["fresh"], F.lit(None)).when(j["seconds"] <= 0, "non_monotonic_ts").when(j["km"] > limits.max_jump_km, "jump_too_large")
+                      .when(j["kmh"] > limits.max_speed_kmh, "implied_speed_too_high").when(j["returned"], "implausible_backtrack").when(j["frozen"] >= limits.frozen_streak, "gps_frozen"))
+            return let(F.struct(j.alias("j"), reason.alias("reason"), (lost | j["fresh"]).alias("first")), lambda v: F.struct(
+                _next_state(v, state, us, lat, lon, lost).alias("state"), _verdict(v).alias("out")))
+
+        return let(facts, lambda f: let(judged(f), settled))
+
+    return Rule(GUARD_STATE, update)
+
+
+def _next_state(v: Column, state: Column, us: Column, lat: Column, lon: Column, lost: Column) -> Column:
+    point = [us, lat, lon]
+    none = F.lit(None).cast("double")
+    build = lambda *values: F.struct(*[value.alias(field.name) for value, field in zip(values, GUARD_STATE.fields)])
+    same = [state[n] for n in ("at", "at_lat", "at_lon", "before", "before_lat", "before_lon", "frozen")]
+    return (F.when(lost, state).when(v["j"]["fresh"], build(*point, none, none, none, F.lit(0.0), us, none))
+            .when(v["reason"].isNotNull(), build(*same, F.greatest(us, state["seen"]), state["step_km"]))
+            .otherwise(build(*point, state["at"], state["at_lat"], state["at_lon"], v["j"]["frozen"], us, v["j"]["km"])))
+
+
+def _verdict(v: Column) -> Column:
+    j, reason = v["j"], v["reason"]
+    moved = ~v["first"] & F.coalesce(reason != "non_monotonic_ts", F.lit(True))
+    sped = moved & F.coalesce(reason != "jump_too_large", F.lit(True))
+    counted = sped & F.coalesce(reason.isin("gps_frozen"), F.lit(True))
+    return F.struct(reason.alias("reason"), F.when(v["first"], 0.0).otherwise(j["seconds"]).alias("delta_s"), F.when(moved, j["km"]).otherwise(0.0).alias("distance_km"),
+                    F.when(sped, j["kmh"]).otherwise(0.0).alias("implied_speed_kmh"), F.when(counted, j["frozen"]).otherwise(0.0).cast("long").alias("frozen_count"))
+
+
 def with_inputs(positions: DataFrame) -> DataFrame:
     return positions.withColumns({
         "__us": F.unix_micros("ts").cast("double"), "__moving": F.col("status").isin(MOVING_STATUSES).cast("int")})
@@ -89,13 +146,13 @@ def with_inputs(positions: DataFrame) -> DataFrame:
 def gps_guardrails(positions: DataFrame, limits: Limits = Limits(), **fold) -> DataFrame:
     """Courier, event id and verdict of every position: `reason` is NULL for accepted points."""
     rows = with_inputs(positions)
-    return ordered_fold(rows, "courier_id", "ts", "event_id", INPUTS, ["event_id"], guard_step(limits), VERDICT, **fold)
+    return array_fold(rows, "courier_id", "ts", "event_id", INPUTS, ["event_id"], guard_step(limits), guard_rule(limits), VERDICT, **fold)
 
 
 def checked_positions(positions: DataFrame, limits: Limits = Limits(), **fold) -> DataFrame:
     """The positions with their verdict columns; repeated messages keep their number of rows."""
     carried = [c for c in positions.columns if c != "courier_id"]
-    return ordered_fold(with_inputs(positions), "courier_id", "ts", "event_id", INPUTS, carried, guard_step(limits), VERDICT, **fold)
+    return array_fold(with_inputs(positions), "courier_id", "ts", "event_id", INPUTS, carried, guard_step(limits), guard_rule(limits), VERDICT, **fold)
 
 
 def live_state(checked: DataFrame) -> DataFrame:

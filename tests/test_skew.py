@@ -18,15 +18,46 @@ def one_hot(positions):
     return positions.withColumn("courier_id", F.when(F.col("event_id") % 3 == 0, "drv_hot").otherwise(F.col("courier_id")))
 
 
-def test_segmented_guardrails(views):
-    rows = one_hot(views.positions)
-    plain = guardrails.gps_guardrails(rows).select("courier_id", "event_id", "reason", "frozen_count")
-    cut = guardrails.gps_guardrails(rows, hot_rows=3, segment_seconds=120, widen=4).select("courier_id", "event_id", "reason", "frozen_count")
-    same(plain, cut)
+def _verdicts(rows, **fold):
+    got = guardrails.gps_guardrails(rows, **fold)
+    return got.select("courier_id", "event_id", "reason", "frozen_count", *[F.round(c, 6).alias(c) for c in ("delta_s", "distance_km", "implied_speed_kmh")])
+
+
+def _row_by_row(rows, **fold):
+    from courierworks.operators.fold import ordered_fold
 
+    got = ordered_fold(guardrails.with_inputs(rows), "courier_id", "ts", "event_id", guardrails.INPUTS, ["event_id"], guardrails.guard_step(guardrails.Limits()), guardrails.VERDICT, **fold)
+    return got.select("courier_id", "event_id", "reason", "frozen_count", *[F.round(c, 6).alias(c) for c in ("delta_s", "distance_km", "implied_speed_kmh")])
 
-def test_segmented_zone_trend(views):
-    same(context.zone_trend_ema(views.context_signals), context.zone_trend_ema(views.context_signals, hot_rows=5, segment_seconds=300, widen=3))
+
+def test_guardrails_as_arrays_and_row_by_row(views):
+    rows = one_hot(views.positions)
+    rows = rows.unionByName(rows.where("event_id % 40 = 0").withColumns({"ts": F.lit(None).cast("timestamp"), "event_id": F.col("event_id") + 10_000_000}))
+    plain = _row_by_row(rows).cache()
+    same(plain, _row_by_row(rows, hot_rows=3, segment_seconds=120, widen=4))
+    same(plain, _verdicts(rows))
+    same(plain, _verdicts(rows, segment_seconds=300))
+    same(plain, _verdicts(rows, segment_seconds=600, max_segment=5))
+
+
+def test_clean_tracks_need_no_python(spark):
+    rows = spark.range(4000).select(
+        (F.col("id") % 4).cast("string").alias("courier_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 5).alias("ts"),
+        (40.7 + F.floor(F.col("id") / 4) * 0.0004).alias("lat"), F.lit(-74.0).alias("lon"), F.lit(9.0).alias("speed_kmh"), F.lit("delivering").alias("status"))
+    got = guardrails.gps_guardrails(rows, segment_seconds=900)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "InArrow" not in plan and got.where("reason IS NULL").count() == 4000
+
+
+def test_zone_trend_as_arrays_and_row_by_row(views):
+    from courierworks.operators.fold import ordered_fold
+    from courierworks.functions.num import round_half_up
+
+    rows = views.context_signals.withColumns({"__demand": round_half_up("demand_index", 3), "__us": F.unix_micros("ts").cast("double")})
+    plain = ordered_fold(rows, "zone_id", "ts", "event_id", ["__demand", "__us"], ["event_id"], context.zone_trend_step, context.ZONE_TREND)
+    same(plain, context.zone_trend_ema(views.context_signals))
+    same(plain, context.zone_trend_ema(views.context_signals, segment_seconds=300))
+    same(plain, context.zone_trend_ema(views.context_signals, max_segment=2, hot_rows=5, widen=3))
 
 
 def test_previous_row_across_buckets(views):
