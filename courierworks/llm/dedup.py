@@ -13,10 +13,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from courierworks.llm.common import stage, text_slices
+from courierworks.operators.keyed import join_checked
 from courierworks.llm.shingles import gram_hashes, prefix_sums, substring_hash
 from courierworks.llm.suffixes import permuted_prefixes, suffix_array
 
@@ -144,8 +146,10 @@ def repeated_windows(bodies: list[bytes], ids: np.ndarray, a: np.ndarray) -> tup
     spot, group = sa[whole], group[whole]
     start = a[body[spot]].astype(np.int64) + offset[spot]
     order = np.lexsort((start, ids[body[spot]], group))
-    later = np.zeros(len(order), bool)
-    later[1:] = group[order][1:] == group[order][:-1]
+    owner, start, group = ids[body[spot]][order], start[order], group[order]
+    new = np.concatenate([[True], group[1:] != group[:-1]])[:len(group)]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))
+    later = (owner != owner[first]) | (start != start[first])  # a repeated row brings the same window again, which is not a later one
     hit = spot[order[later]]
     return body[hit], offset[hit]
 
@@ -235,8 +239,29 @@ def marked(texts: DataFrame) -> DataFrame:
     return found.groupBy(F.col("id").alias("owner")).agg(F.collect_list("mark").alias("marks"))
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
+def with_row_key(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """`docs` with `__rid`, a number that orders documents by id (null first) and tells apart different texts of one id.
+
+    It is the id where no two rows share one. Else the distinct pairs of id and text digest are sorted over ranges and numbered.
+    """
+    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    if named.groupBy("__id").agg(F.count("*").alias("__n")).where("__n > 1").isEmpty():
+        return named.withColumnRenamed("__id", "__rid")
+    named = named.withColumn("__digest", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+    def number(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"__id": batch.column(0), "__digest": batch.column(1), "part": pa.array(np.full(batch.num_rows, part, np.int32)),
+                                              "at": pa.array(np.arange(at, at + batch.num_rows))})
+            at += batch.num_rows
+
+    pairs = stage(named.select("__id", "__digest").distinct())
+    placed = stage(pairs.repartitionByRange("__id", "__digest").sortWithinPartitions("__id", "__digest").mapInArrow(number, "__id long, __digest string, part int, at long"))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))  # one row per range
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    keys = placed.join(F.broadcast(before), "part").select("__id", "__digest", (F.col("before") + F.col("at")).alias("__rid"))
+    return join_checked(named, keys, ["__id", "__digest"]).drop("__id", "__digest")
 
 
 def _removals(batch_marks) -> list[list[tuple[int, int, int]]]:
@@ -247,10 +272,12 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
 
     A byte goes when a string of SPAN bytes that covers it also starts earlier (smaller doc_id, or the same document further left), judged on
-    the input. A null text is empty; empty and short texts lose nothing; rows without an id count as one smallest id; rows that share an id
-    must share their text and get equal results; an empty table gives none; other columns are ignored.
+    the input. A null text is empty; empty and short texts lose nothing; rows without an id come first; different texts of one id, or without
+    one, are ordered by a digest; rows that share id and text are one document and get equal results; an empty table gives none; other
+    columns are ignored.
     """
-    texts = _named(docs)
+    rows = with_row_key(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select(F.col("__rid").alias("id"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    texts = rows.select("id", "text")
 
     def run(batches):
         for data, starts, ends, piece in text_slices(batches, 4 << 20):
@@ -267,17 +294,21 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
                 removed.append(int((hi - lo).sum()))
                 spans.append(len(lo))
                 digest.append(kept.hexdigest())
-            ids = piece.column("id")
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None if x == NO_ID else x for x in ids.to_pylist()], pa.int64()), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+            yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
                                               "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
 
-    joined = texts.join(marked(texts), F.col("id") == F.col("owner"), "left").select("id", "text", "marks")
+    joined = rows.join(marked(texts), F.col("id") == F.col("owner"), "left").select("id", "text", "marks", "doc_id")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the repeated spans taken out of the texts, all other columns as they were; a removed span never splits a code point."""
-    marks = marked(_named(docs)).withColumnRenamed("owner", "__owner").withColumnRenamed("marks", "__marks")
+    """`docs` with the repeated spans taken out of the texts, all other columns as they were; a removed span never splits a code point.
+
+    Ids that are null or shared are told apart by their texts, as in `dedup_documents`.
+    """
+    keyed = with_row_key(docs, text_col)
+    texts = keyed.select(F.col("__rid").alias("id"), F.col(text_col).cast("string").alias("text"))
+    marks = marked(texts).withColumnRenamed("owner", "__owner").withColumnRenamed("marks", "__marks")
 
     def cut(pairs):
         for texts, marks_ in pairs:
@@ -307,5 +338,5 @@ def strip_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = next(cut([(batch.column(text_col).to_pylist(), batch.column("__marks").to_pylist())]))
             yield pa.RecordBatch.from_arrays([new if c == text_col else batch.column(c) for c in names], names)
 
-    joined = docs.join(marks, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__owner"), "left").select(*[docs[c] for c in names], "__marks")
+    joined = keyed.join(marks, F.col("__rid") == F.col("__owner"), "left").select(*names, "__marks")
     return joined.mapInArrow(run, docs.schema)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from courierworks.llm.common import slices
 
 BROADCAST_BYTES = 8 << 20  # winners are sent to every task only up to this measured size; beyond it they are joined by a shuffle
+LEAST_SHARE = 0.25  # of the own best path's unlinked text, below which the winning path is not used on a page
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -178,11 +179,15 @@ def best_path(containers: list[tuple[str, int, int, int]]) -> tuple[str, float]
 
 
 def extract(page: str, winner: str | None) -> str:
-    """Text of the containers on `winner`, in page order and without counting nested ones twice; without any, of the page's best."""
+    """Text of the containers on `winner`, in page order and without counting nested ones twice.
+
+    The page's own best path stands in where the page has no such container, or where these hold less than LEAST_SHARE of what the own
+    best path holds: then the host uses that path for something else on this page.
+    """
     pieces, containers = parse(page)
     chosen = [c for c in containers if c[0] == winner] if winner else []
     own = best_path(containers)
-    if chosen and own and own[0] != winner and sum(c[3] for c in chosen) == 0 < own[1]:
+    if chosen and own and own[0] != winner and sum(c[3] for c in chosen) < LEAST_SHARE * sum(c[3] for c in containers if c[0] == own[0]):
         chosen = []
     if not chosen:
         if own is None:
@@ -204,15 +209,15 @@ def host_of(url: str | None) -> str:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path, votes: the summed weights of the best container of every page; combined in each task before the shuffle."""
+    """host, path, votes: the summed weights of the best container of every page with a host; combined in each task before the shuffle."""
 
     def run(batches):
         for batch in slices(batches):
             totals: dict[tuple[str, str], float] = {}
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if page and (found := best_path(parse(page)[1])):
-                    key = (host_of(url), found[0])
-                    totals[key] = totals.get(key, 0.0) + min(found[1], 20_000.0)
+                host = host_of(url)
+                if page and host and (found := best_path(parse(page)[1])):
+                    totals[host, found[0]] = totals.get((host, found[0]), 0.0) + found[1]
             yield pa.RecordBatch.from_pydict({"host": pa.array([k[0] for k in totals], pa.string()), "path": pa.array([k[1] for k in totals], pa.string()), "votes": pa.array(totals.values(), pa.float64())})
 
     return (pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, path string, votes double")
@@ -229,7 +234,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one space. A null or
-    empty page, or one without text, gives the empty text; a null or odd url votes under the empty host; repeated rows give repeated
+    empty page, or one without text, gives the empty text; a page without a readable host takes no part in votes and gets its own best path; repeated rows give repeated
     results; an empty table gives none; other columns are ignored.
     """
     from courierworks.llm.common import stage

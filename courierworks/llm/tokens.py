@@ -12,26 +12,31 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from courierworks.llm.common import slices, stage
+from courierworks.session import new_folder
 
 END = 2  # id that ends a document
 CHUNK = 8  # bits of a chunk
 RANK = 512  # entries between two counts of the rank directory
 SHARD_TOKENS = 2_000_000
-CACHE = 1_000_000  # pieces a worker remembers
+CACHE = 300_000  # pieces in each half of what a worker remembers
+PIECE = 48  # characters of the longest piece that is remembered
+TEXT_SLICE = 2 << 20  # text that is encoded at once
 VOCABULARY = "byte_bpe_50k.json"
 
 
 # ---- encoding ----------------------------------------------------------------------------------------------------------------------------
 
 class Encoder:
-    """Encodes texts with a byte-level BPE of the tokenizers library, each distinct piece of its own split once per worker.
+    """Encodes texts with a byte-level BPE of the tokenizers library, each distinct piece of its own split once while it is remembered.
 
     The library cuts a text into pieces and merges inside each piece only, so a text's ids are those of its pieces in order. A text with a
-    special token in it goes to the library as a whole.
+    special token in it goes to the library as a whole. A worker remembers at most twice CACHE pieces of at most PIECE characters: when the
+    young half is full it becomes the old one, and the pieces that are still used move on.
     """
 
     _loaded: dict[str, "Encoder"] = {}
@@ -46,10 +51,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
         with open(path, encoding="utf-8") as file:
             self.special = [t["content"] for t in json.load(file).get("added_tokens", [])]
-        self.known: dict[str, bytes] = {}
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.known: dict[str, tuple[dict, dict]] = {"ids": ({}, {}), "len": ({}, {})}  # young, old
 
     @classmethod
     def load(cls, path: str) -> "Encoder":
@@ -58,34 +63,37 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > CACHE:
-            self.known.clear()
-        order = list(pieces)
-        for at in range(0, len(order), 20_000):
-            part = order[at:at + 20_000]
-            for piece, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.asarray(code.ids, "<u4").tobytes()
+    def _batch(self, parts: list[str], value) -> list:
+        out = []
+        for at in range(0, len(parts), 20_000):
+            out.extend(map(value, self.tokenizer.encode_batch_fast(parts[at:at + 20_000], add_special_tokens=False)))
+        return out
+
+    def _values(self, texts: list[str], kind: str, value, joined) -> list:
+        """The value of every text from those of its pieces; pieces that are used again move from the old half of the memory to the young one."""
+        young, old = self.known[kind]
+        cut = [None if any(s in t for s in self.special) else self.split(t) for t in texts]
+        found = [[value(self.tokenizer.encode(t, add_special_tokens=False))] if parts is None else list(map(young.get, parts)) for t, parts in zip(texts, cut)]
+        open_ = [i for i, values in enumerate(found) if None in values]
+        needed = {p for i in open_ for p, v in zip(cut[i], found[i]) if v is None}
+        fresh = {p: old[p] for p in needed if p in old}
+        missing = [p for p in needed if p not in fresh]
+        fresh.update(zip(missing, self._batch(missing, value)))
+        for i in open_:
+            found[i] = [fresh[p] if v is None else v for p, v in zip(cut[i], found[i])]
+        if len(young) + len(fresh) > CACHE:
+            young, old = {}, young
+            self.known[kind] = young, old
+        young.update((p, v) for p, v in fresh.items() if len(p) <= PIECE)
+        return list(map(joined, found))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if any(s in text for s in self.special) else self.split(text) for text in texts]
-        fresh: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                fresh.update(pieces)
-        missing = {p for p in fresh if p not in self.known}
-        if missing:
-            if len(self.known) + len(missing) > CACHE:
-                missing = fresh
-            self._learn(missing)
-        out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
-        return out
+        return self._values(texts, "ids", lambda code: np.asarray(code.ids, "<u4").tobytes(), b"".join)
+
+    def count(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
+        return self._values(texts, "len", len, sum)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -150,33 +158,41 @@ class Codes:
         return values
 
 
-SHARD = "doc_ids binary, offsets binary, first_id long, n_tokens long, levels array<struct<chunks: binary, more: binary, ranks: binary>>"
+SHARD = "shard long, nulls long, doc_ids binary, offsets binary, first_id long, n_tokens long, levels array<struct<chunks: binary, more: binary, ranks: binary>>"
+SHARDS = 1 << 32  # shards that a partition may write
 
 
 def encode_shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """One row per shard of the partition's documents, in the order they come; every document ends with END."""
+    """One row per shard of the partition's documents (doc_id, text), in the order they come; every document ends with END.
+
+    `shard` grows with partition and order, so it orders all shards of a table whose partitions are ranges; `nulls` counts the documents
+    without id, which are the first of their shard.
+    """
 
     def run(batches):
         encoder = Encoder.load(path)
+        shard = TaskContext.get().partitionId() * SHARDS
         keys: list[int | None] = []
         parts: list[bytes] = []
         held = 0
 
         def row():
             ends = np.cumsum([0] + [len(p) // 4 for p in parts])
+            nulls = sum(k is None for k in keys)
             return pa.RecordBatch.from_pydict({
-                "doc_ids": pa.array([np.array(keys, "<i8").tobytes()], pa.binary()), "offsets": pa.array([ends.astype("<i8").tobytes()], pa.binary()),
-                "first_id": pa.array([keys[0]], pa.int64()), "n_tokens": pa.array([int(ends[-1])], pa.int64()),
+                "shard": pa.array([shard], pa.int64()), "nulls": pa.array([nulls], pa.int64()), "doc_ids": pa.array([np.array([0] * nulls + keys[nulls:], "<i8").tobytes()], pa.binary()),
+                "offsets": pa.array([ends.astype("<i8").tobytes()], pa.binary()), "first_id": pa.array([keys[0]], pa.int64()), "n_tokens": pa.array([int(ends[-1])], pa.int64()),
                 "levels": pa.array([pack(np.frombuffer(b"".join(parts), "<u4"))], pa.list_(pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])))})
 
         stop = np.array([END], "<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, 1, TEXT_SLICE):
             for key, code in zip(batch.column(0).to_pylist(), encoder.encode([x or "" for x in batch.column(1).to_pylist()])):
                 keys.append(key)
                 parts.append(code + stop)
                 held += len(code) // 4 + 1
                 if held >= shard_tokens:
                     yield row()
+                    shard += 1
                     keys, parts, held = [], [], 0
         if keys:
             yield row()
@@ -187,30 +203,26 @@ def encode_shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS)
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS) -> None:
     """Write the ids of all documents to `path` in ascending doc_id order, as Parquet files of shards.
 
-    Null texts are empty (only END is written); rows of one id keep together, ordered by their text; rows without an id are left out, as the
-    file addresses documents by id; an empty table writes no shard; other columns are ignored. Files hold ranges of ids, so their row groups
-    are pruned by first_id.
+    Null texts are empty (only END is written); rows without an id come first, rows of one id are ordered by a digest of their text, and every
+    row is written, so such rows may lie on several ranges and shards; an empty table writes no shard; other columns are ignored. Files
+    hold ranges of ids, so their row groups are pruned by first_id; adaptive execution sizes the ranges by their bytes.
     """
     vocabulary = vocabulary or vocabulary_path()
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = named.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    encode_shards(ordered, vocabulary, shard_tokens).write.parquet(path)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))]
+    encode_shards(named.repartitionByRange(*order).sortWithinPartitions(*order), vocabulary, shard_tokens).write.parquet(path)
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in a table of shards; `start` counts the ids of all documents before it.
 
-    Only the token counts of the shards take part in the global sum: per range of first ids, then over the ranges, of which there are few.
+    Only the token counts of the shards take part in the global sum: inside each written range, then over the ranges, one row each.
     """
-    sizes = shards.select("first_id", "n_tokens")
-    low, high, rows = sizes.agg(F.min("first_id"), F.max("first_id"), F.count("*")).first()
-    width = max(1, (((high or 0) - (low or 0)) // max(1, min(1000, rows or 1))) + 1)
-    spot = F.floor((F.col("first_id") - F.lit(low or 0)) / F.lit(width)).cast("long")
-    ranges = sizes.groupBy(spot.alias("spot")).agg(F.sum("n_tokens").alias("n"))
-    before_range = ranges.select("spot", (F.sum("n").over(Window.orderBy("spot")) - F.col("n")).alias("before_range"))  # at most 1000 rows
-    inside = sizes.withColumn("spot", spot).withColumn("inside", F.sum("n_tokens").over(Window.partitionBy("spot").orderBy("first_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_tokens"))
-    starts = inside.join(F.broadcast(before_range), "spot").select(F.col("first_id").alias("f"), F.col("n_tokens").alias("shard_n"), (F.col("inside") + F.col("before_range")).alias("shard_start"))
+    sizes = shards.select("shard", "n_tokens").withColumn("spot", F.floor(F.col("shard") / SHARDS))
+    ranges = sizes.groupBy("spot").agg(F.sum("n_tokens").alias("n"))
+    before_range = ranges.select("spot", (F.sum("n").over(Window.orderBy("spot")) - F.col("n")).alias("before_range"))  # a row per written range
+    inside = sizes.withColumn("inside", F.sum("n_tokens").over(Window.partitionBy("spot").orderBy("shard")) - F.col("n_tokens"))
+    starts = inside.join(F.broadcast(before_range), "spot").select("shard", (F.col("inside") + F.col("before_range")).alias("shard_start"))
 
     def run(batches):
         for batch in batches:
@@ -220,23 +232,18 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                 ends = np.frombuffer(batch.column("offsets")[i].as_py(), "<i8")
                 values = codes.range(0, len(codes)).astype("<u4")
                 crc = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "within": pa.array(ends[:-1], pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()),
-                                                  "ids_crc32": pa.array(crc, pa.int64()), "first_id": pa.array(np.full(len(ids), ids[0] if len(ids) else 0), pa.int64()),
-                                                  "shard_n": pa.array(np.full(len(ids), len(codes)), pa.int64())})
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": pa.array(ids, pa.int64(), mask=np.arange(len(ids)) < batch.column("nulls")[i].as_py()), "within": pa.array(ends[:-1], pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()),
+                    "ids_crc32": pa.array(crc, pa.int64()), "shard": pa.array(np.full(len(ids), batch.column("shard")[i].as_py()), pa.int64())})
 
-    read = shards.mapInArrow(run, "doc_id long, within long, n_tokens long, ids_crc32 long, first_id long, shard_n long")
-    return (read.join(starts, (F.col("first_id") == F.col("f")) & (read["shard_n"] == starts["shard_n"]))
-            .select("doc_id", (F.col("shard_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32"))
+    read = shards.mapInArrow(run, "doc_id long, within long, n_tokens long, ids_crc32 long, shard long")
+    return read.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_and_read(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Write all documents to a folder beside the checkpoints, read the files back and digest them."""
-    import uuid
-
-    from courierworks.session import shared_folder
-
+    """Write all documents to a folder beside the checkpoints, read the files back and digest them; the folder goes with the application."""
     spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    path = new_folder(spark, "tokens")
     write_tokens(docs, path, vocabulary)
     return read_tokens(spark.read.schema(SHARD).parquet(path))
 

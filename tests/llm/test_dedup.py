@@ -85,3 +85,16 @@ def test_strip_keeps_columns_and_code_points(spark):
     out = dedup.strip_documents(docs)
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {0: passage + "a", 1: "bc", 2: None, 3: ""}
+
+
+def test_shared_and_missing_ids_are_told_apart_by_text(spark):
+    twice, other = words(60, 1) + " " + words(60, 1), words(80, 2)
+    for key in (None, 4):
+        rows = [(key, twice), (key, other), (9, other + " tail"), (key, other)]
+        docs = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+        got = sorted((r.doc_id is None, r.doc_id, r.n_bytes, r.n_removed) for r in dedup.dedup_documents(docs).collect())
+        of_other = [g[3] for g in got if g[2] == len(other.encode())]
+        assert of_other == [0, 0] and [g[3] for g in got if g[2] == len(twice.encode())] == [len(words(60, 1).encode())]
+        assert [g[3] for g in got if g[1] == 9] == [len(other.encode())]
+        cut = sorted(r.text for r in dedup.strip_documents(docs).collect())
+        assert cut.count(other) == 2 and " tail" in cut

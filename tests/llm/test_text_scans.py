@@ -86,3 +86,16 @@ def test_pages_of_the_tables_give_their_articles(spark):
     for r in html.extract_pages(pages).collect():
         inner = re.search("<article>(.*?)</article>", have[r.page_id], re.S)[1]
         assert r.text == " ".join(entities.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", inner))).split())
+
+
+def test_pages_of_a_mixed_host_keep_their_article(spark):
+    from courierworks.llm import html
+
+    sentence = "This is one sentence of an article with enough words in it to count. "
+    posts = [f"<html><body><div class='post'><p>{sentence * 30}{i}</p></div></body></html>" for i in range(3)]
+    odd = f"<html><body><div class='post'>Caption.</div><article><p>{sentence * 50}</p></article></body></html>"
+    lost = f"<html><body><article><p>{sentence * 20}</p></article></body></html>"
+    rows = [(i, f"https://h.example/{i}", p) for i, p in enumerate([*posts, odd])] + [(9, None, lost), (10, None, posts[0])]
+    got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == (sentence * 50).strip() and got[9] == (sentence * 20).strip()
+    assert all(got[i] == (sentence * 30).strip() + f" {i}" for i in range(3)) and got[10] == got[0]

@@ -132,3 +132,44 @@ def test_decoding_returns_every_text(spark):
     assert all(r.round_trip and r.n_ids == len(r.ids) for r in got.values()) and got[0].n_ids == 0
     assert {r.doc_id: r.text for r in pieces.decode(encoded).collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert pieces.encode(frame(spark, [])).count() == 0
+
+
+def test_rows_of_one_id_and_without_id_over_many_shards(spark, tmp_path):
+    texts = [words(200, 1), words(200, 2), words(30, 3), words(10, 4), words(10, 4), None, words(50, 5)]
+    ids = [7, 7, 7, None, None, None, 9]
+    tokens.write_tokens(frame(spark, texts, ids), str(tmp_path / "t"), shard_tokens=150)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_tokens(spark.read.schema(tokens.SHARD).parquet(str(tmp_path / "t"))).collect())
+    tokenizer = library()
+    want = {}
+    for key, text in zip(ids, texts):
+        code = tokenizer.encode(text or "", add_special_tokens=False).ids + [tokens.END]
+        want.setdefault(key, []).append((len(code), zlib.crc32(np.array(code, "<u4").tobytes())))
+    at = 0
+    for start, _, n, _ in got:
+        assert start == at
+        at += n
+    assert [g[1] for g in got] == [None, None, None, 7, 7, 7, 9]
+    for key, rows in want.items():
+        assert sorted(g[2:] for g in got if g[1] == key) == sorted(rows)
+
+
+def test_counts_are_those_of_the_ids():
+    encoder = tokens.Encoder(tokens.vocabulary_path())
+    texts = [x or "" for x in odd_texts()] + ["<|endoftext|> inside", "a  b \n c"]
+    assert encoder.count(texts) == [len(x) // 4 for x in encoder.encode(texts)] == [len(library().encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_buckets_over_the_whole_histogram_and_refined_cells(spark, monkeypatch):
+    rng = random.Random(6)
+    lengths = [int(rng.lognormvariate(6, 1)) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long")
+    cells = sorted((n, lengths.count(n), n * lengths.count(n)) for n in set(lengths))
+    padding = lambda tops: sum(min(t for t in tops if t >= n) - n for n in lengths)
+    least = padding(packing.boundaries(cells, 8))
+    got = packing.pack(df, 8).collect()
+    assert sum(r.padding for r in got) == least and len(got) == len(lengths)
+    monkeypatch.setattr(packing, "EXACT", 100)
+    monkeypatch.setattr(packing, "FINE", 4)
+    coarse = padding(packing.boundaries(packing.histogram(df), 8))
+    got = packing.pack(df, 8).collect()
+    assert least <= sum(r.padding for r in got) <= coarse and sum(r.padding for r in got) < least + (coarse - least) / 2
