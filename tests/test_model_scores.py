@@ -13,7 +13,7 @@ def solved(x, y, weight, c):
     """Coefficients of the standardised, L2-penalised, weighted logistic regression by Newton's method."""
     n = len(x)
     mean, std = x.mean(0), x.std(0, ddof=1)
-    std[std == 0] = np.inf
+    std[std < 1e-9] = np.inf  # a constant column has no say
     z = np.column_stack([np.ones(n), (x - mean) / std])
     total = weight.sum()
     penalty = np.eye(z.shape[1]) / (c * total)
