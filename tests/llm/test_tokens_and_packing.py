@@ -173,3 +173,13 @@ def test_buckets_over_the_whole_histogram_and_refined_cells(spark, monkeypatch):
     coarse = padding(packing.boundaries(packing.histogram(df), 8))
     got = packing.pack(df, 8).collect()
     assert least <= sum(r.padding for r in got) <= coarse and sum(r.padding for r in got) < least + (coarse - least) / 2
+
+
+def test_ids_are_those_of_the_library_for_any_characters():
+    rng = random.Random(5)
+    pool = [chr(i) for i in range(0x300)] + list("Ⅰ〇一  ​́١😀") + list(" '_stlvre \n\n  ") * 8
+    texts = ["".join(rng.choices(pool, k=rng.randrange(40))) for _ in range(4000)]
+    encoder = tokens.Encoder(tokens.vocabulary_path())
+    want = [code.ids for code in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
+    assert encoder.count(texts) == [len(x) for x in want]
