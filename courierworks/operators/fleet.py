@@ -119,22 +119,25 @@ def fleet_productivity(positions: DataFrame, speed_alert_kmh: float = SPEED_ALER
 def driver_scores(positions: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """Per courier: productivity (40), safety (30), reliability (20) and activity (10) points, total and grade."""
     status = lambda word: F.count_if(F.col("status") == word)
-    squares = F.sum(F.col("speed_kmh") * F.col("speed_kmh")).alias("speed_sq")
+    moment = (F.var_pop("speed_kmh") * F.count("speed_kmh")).alias("speed_m2")  # squared distances from the mean of the bucket
     parts = _with_seams(_track_parts(positions, [
-        squares, status("delivering").alias("delivering"), status("available").alias("available"),
+        moment, status("delivering").alias("delivering"), status("available").alias("available"),
         status("idle").alias("idle"), F.count_if(F.col("speed_kmh") > 50.0).alias("speeding"),
         F.count_if((F.col("speed_kmh") < 1.0) & (F.col("status") == "delivering")).alias("stops"),
     ], bucket_seconds))
+    courier = Window.partitionBy("courier_id")
+    away = F.col("speed_sum") / F.col("speeds") - F.sum("speed_sum").over(courier) / F.sum("speeds").over(courier)
+    parts = parts.withColumn("speed_m2", F.when(F.col("speeds") > 0, F.col("speed_m2") + F.col("speeds") * away * away))
     total = lambda name: F.sum(name).alias(name)
     sums = parts.groupBy("courier_id").agg(
-        total("points"), total("km"), total("speeds"), total("speed_sum"), total("speed_sq"),
+        total("points"), total("km"), total("speeds"), total("speed_sum"), total("speed_m2"),
         F.max("speed_max").alias("speed_max"), total("delivering"), total("available"), total("idle"),
         total("speeding"), total("stops"),
     )
     pct = lambda name, digits: round_half_up(F.col(name) / F.greatest(F.col("points"), F.lit(1)) * 100.0, digits)
     share = lambda name, factor: F.col(name) / F.greatest(F.col("points"), F.lit(1)) * 100.0 * F.lit(factor)
     n = F.col("speeds").cast("double")
-    variance = (F.col("speed_sq") - F.col("speed_sum") * F.col("speed_sum") / n) / (n - 1.0)
+    variance = F.col("speed_m2") / (n - 1.0)
     rated = sums.select(
         "*",
         pct("delivering", 1).alias("delivering_pct"), pct("available", 1).alias("available_pct"),
