@@ -2,11 +2,13 @@
 
 Each set samples about 1 / similarity of its shingles in each of several independent runs; sets that choose the same shingle in the same run
 share a bucket. Inside a small bucket sketches are compared all against all, and the sets that may be similar are tied together. A large bucket
-is compared with a few of its members as pivots; what they don't settle is split again on further shingles, sampled anew for each run. Tied
-groups are then verified on their whole shingle sets, in blocks of a bounded number of documents, so that every pair of a group meets in
-exactly one task. In one run, a pair of the wanted similarity shares no bucket with probability at most exp(-1), and is parted by a split of
-its large buckets with probability at most LEVELS * exp(-DEEP). Runs are independent, also in the splits: with ten runs at most
-(0.368 + 0.632 * 0.037) ** 10 = 8.2e-5 of such pairs never meet, a recall over 0.9999 in small and in large buckets.
+is compared with a few of its members as pivots; sets that they don't settle in all of their large buckets are open. Open sets choose again, on
+longer paths: each path takes the smallest shingle under each of its steps' hashes, and sets with equal paths share a bucket. A path belongs to
+a set, not to one of its buckets, so an open set has as many rows as paths however many large buckets it was in. Tied groups are then verified
+on their whole shingle sets, in blocks of a bounded number of documents, so that every pair of a group meets in exactly one task. A pair of
+the wanted similarity s shares no bucket of ten runs with probability at most exp(-10), and no path of r steps out of p with (1 - s ** r) ** p;
+at 0.8 that is 4.5e-5, then 1.3e-5 (seven paths of one step) and 2.1e-5 (15 of three): at most 7.9e-5 of such pairs never meet, a recall over
+0.9999 in small and in large buckets.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from courierworks.llm.shingles import mix, word_shingles
 
 SHINGLE = 5
 RUNS = 10
-LEVELS = 2  # further splits of a large bucket
-DEEP = 4.0  # factor on the sample of a further split: a similar pair is parted there with probability exp(-DEEP) at most
+STEPS = (1, 3)  # of the paths of each further split
+LEVELS = len(STEPS)  # further splits of large buckets
+PARTED = 2.2e-5  # probability at most with which a further split parts a similar pair
 SMALL = 192  # sets in a bucket that are compared all against all
 BINS = 128  # of a sketch
 SLACK = 0.2  # a sketch may underrate a pair by this much: more than five standard deviations
@@ -56,8 +59,26 @@ def _lists(samples: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * each, pa.int32()), inner)
 
 
+def _paths(similarity: float, steps: int) -> int:
+    """How many paths of so many steps a set needs to meet a similar one."""
+    together = min(similarity, 1.0) ** steps
+    return 1 if together >= 1.0 else int(np.ceil(np.log(PARTED) / np.log1p(-together)))
+
+
+def _chosen(value: np.ndarray, at: np.ndarray, level: int, similarity: float) -> np.ndarray:
+    """One row of paths for each set of values that starts at `at`; two sets take the same step as often as they are similar."""
+    steps, out = STEPS[level], []
+    for path in range(_paths(similarity, steps)):
+        token = np.full(len(at), path, np.uint64)
+        for step in range(steps):
+            factor = mix(np.array([0x2000 + (level << 20) + path * steps + step], np.uint64)) | np.uint64(1)
+            token = mix(token + np.minimum.reduceat(value * factor, at))
+        out.append(token.astype(np.uint32).view(np.int32))  # equal tokens by chance join buckets, nothing else
+    return np.stack(out, 1)
+
+
 def profiles(docs: DataFrame, similarity: float, runs: int = RUNS) -> DataFrame:
-    """doc_id, n, two sums that identify the set, sketch, the bucket keys of each run, and each run's samples for further splits."""
+    """doc_id, n, two sums that identify the set, sketch, the bucket keys of each run, and the paths of each further split."""
 
     def run(batches):
         for data, starts, ends, piece in text_slices(batches, 2 << 20):
@@ -66,32 +87,31 @@ def profiles(docs: DataFrame, similarity: float, runs: int = RUNS) -> DataFrame:
             n = np.bincount(owner, minlength=rows)
             sums = [np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)]
             full = np.flatnonzero(n)
+            deep = [np.zeros((rows, _paths(similarity, steps)), np.int32) for steps in STEPS]
             if len(full):
                 at = np.concatenate([[0], np.cumsum(n)[:-1]])[full]
                 for i, total in enumerate(sums):
                     total[full] = np.add.reduceat(mix(value + np.uint64(i + 1)), at)
+                for level, paths in enumerate(deep):
+                    paths[full] = _chosen(value, at, level, similarity)
             lanes = np.full(rows * BINS, np.iinfo(np.uint64).max)
             again = mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5))
             np.minimum.at(lanes, owner * BINS + (again & np.uint64(BINS - 1)).astype(np.int64), again >> np.uint64(7))
             sketch = np.where(lanes == np.iinfo(np.uint64).max, 0, 1 + mix(lanes) % np.uint64(255)).astype(np.uint8).reshape(rows, BINS)
             share = np.minimum(1.0 / (similarity * np.maximum(n, 1)), 1.0)
-            limit, deeper = _limits(share)[owner], _limits(np.minimum(DEEP * share, 1.0))[owner]
-            keys, deep = [], [[] for _ in range(LEVELS)]
+            limit = _limits(share)[owner]
+            keys = []
             for r in range(runs):
                 u = mix(value + np.uint64(0x1000 + r))
                 hit = u <= limit
                 keys.append((owner[hit], mix(u[hit] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)))
-                for level in range(LEVELS):
-                    u = mix(value + np.uint64(0x2000 + LEVELS * r + level))
-                    hit = u <= deeper
-                    deep[level].append((owner[hit], mix(u[hit]).astype(np.uint32).view(np.int32)))  # equal tokens by chance join buckets, nothing else
             yield pa.RecordBatch.from_pydict({
                 "doc_id": piece.column(0), "n": pa.array(n, pa.int64()), "s1": pa.array(sums[0].view(np.int64)), "s2": pa.array(sums[1].view(np.int64)),
                 "sketch": pa.array(_bytes(sketch), pa.binary()), "keys": _lists(keys, rows),
-                **{f"deep{level}": _lists(deep[level], rows) for level in range(LEVELS)}})
+                **{f"deep{level}": pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * paths.shape[1], pa.int32()), pa.array(paths.ravel())) for level, paths in enumerate(deep)}})
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch binary, keys array<array<long>>, " + ", ".join(f"deep{i} array<array<int>>" for i in range(LEVELS)))
+    return named.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch binary, keys array<array<long>>, " + ", ".join(f"deep{i} array<int>" for i in range(LEVELS)))
 
 
 def _grouped(batches, keys: list[str]):
@@ -152,7 +172,7 @@ def tied(buckets: DataFrame, similarity: float) -> DataFrame:
 
 
 def pivoted(large: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(ties a, b; rows of `large` that stay open) from the comparison of large buckets (run, key, id, pivots) with their pivots.
+    """(ties a, b; rows of `large` that stay open) from the comparison of large buckets (key, id, pivots) with their pivots.
 
     The pivots of all buckets of a set, a few for each of its sampled shingles, are gathered first: buckets of one group mostly share them.
     A member is tied to a pivot unless its sketch is far off, and settled if it is close: whatever is similar to a settled member is then
@@ -172,7 +192,7 @@ def pivoted(large: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataF
     others = sets.select(F.col("id").alias("pivot"), F.col("sketch").alias("other"))
     marks = stage(met.join(sets.select("id", "sketch"), "id").join(others, "pivot").mapInArrow(run, "a long, b long, settled boolean"))
     close = marks.where("settled").groupBy(F.col("b").alias("id")).agg(F.collect_list("a").alias("close"))
-    left = large.join(close, "id", "left").where("close IS NULL OR NOT arrays_overlap(pivots, close)").select("run", "key", "id")
+    left = large.join(close, "id", "left").where("close IS NULL OR NOT arrays_overlap(pivots, close)").select("key", "id")
     return marks.where("a <> b").select("a", "b"), left
 
 
@@ -185,12 +205,12 @@ def in_blocks(rows: DataFrame, small: int) -> DataFrame:
 
 
 def candidates(sets: DataFrame, similarity: float, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
-    """a, b: ties of all buckets. `sets` has id, n, sketch, keys and the samples of further splits, one row per distinct set.
+    """a, b: ties of all buckets. `sets` has id, n, sketch, keys and the paths of further splits, one row per distinct set.
 
-    Members of a large bucket are compared with a few pivots, which settles those of dense groups; the others are split again by the samples of
-    the bucket's run, and what is still large after the last split is compared in blocks.
+    Members of a large bucket are compared with a few pivots, which settles those of dense groups; the others are split again by their longer
+    paths, once for all of their buckets, and what is still large after the last split is compared in blocks.
     """
-    rows = sets.select("id", F.posexplode("keys").alias("run", "picked")).select("id", "run", F.explode("picked").alias("key"))
+    rows = sets.select("id", F.explode(F.flatten("keys")).alias("key"))
     edges = None
     for level in range(levels + 1):
         pivots = F.array(*[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)])
@@ -206,8 +226,8 @@ def candidates(sets: DataFrame, similarity: float, levels: int = LEVELS, small:
         if level == levels:
             again = left.join(left.groupBy("key").agg(F.count("*").alias("members")), "key")
             return edges.unionByName(tied(in_blocks(again, WIDER * small).join(sets.select("id", "n", "sketch"), "id"), similarity))
-        tokens = left.join(sets.select("id", f"deep{level}"), "id").select("id", "run", "key", F.explode(F.get(f"deep{level}", F.col("run"))).alias("token"))
-        rows = tokens.select("id", "run", F.xxhash64("key", "token").alias("key"))
+        again = left.select("id").distinct().join(sets.select("id", f"deep{level}"), "id")
+        rows = again.select("id", F.posexplode(f"deep{level}").alias("path", "token")).select("id", F.xxhash64("path", "token").alias("key"))
     return edges
 
 

@@ -82,3 +82,19 @@ def test_pairs_whose_shared_passages_are_all_hot(spark, monkeypatch):
     got = rows(jaccard.join_documents(frame(spark, texts, clash=False)))
     lost = [i for i in range(0, len(texts), 2) if got[i][0] != got[i + 1][0] or not got[i][1]]
     assert lost == []
+
+
+def test_open_sets_have_as_many_rows_as_paths(spark, monkeypatch):
+    """Sets that share a long passage stay open in many large buckets; a further split must not multiply those rows by its paths."""
+    most = []
+
+    def watched(large, sets, similarity, plain=jaccard.pivoted):
+        most.append(max(r["count"] for r in large.groupBy("id").count().collect()))
+        return plain(large, sets, similarity)
+
+    monkeypatch.setattr(jaccard, "pivoted", watched)
+    monkeypatch.setattr(jaccard.candidates, "__defaults__", (jaccard.LEVELS, 6))
+    own = [words(60, 3000 + k) for k in range(90)]
+    texts = [words(60, 8) + " " + o for o in own] + [words(60, 8) + " " + changed(own[k], 5) for k in range(3)]
+    assert rows(jaccard.join_documents(frame(spark, texts, clash=False))) == plain(texts)
+    assert len(most) == 3 and most[1] <= 7 and most[2] <= 15
