@@ -198,7 +198,9 @@ def removed_bytes(marks: list, size: int) -> tuple[np.ndarray, np.ndarray]:
     Kinds: 0 a run whose hash repeats, 1 the earliest of equal runs, 2 windows found by a suffix array, 3 an earliest window of a run that
     was taken apart, 4 such a run.
     """
-    by = [[(a, n) for kind, a, n in marks if kind == k] for k in range(5)]
+    by = [[], [], [], [], []]
+    for kind, a, n in marks:
+        by[kind].append((a, n))
     earliest = set(by[1])
     first, count = [], []
     for a, n in [x for x in by[0] if x not in earliest] + by[2]:
@@ -264,8 +266,12 @@ def with_row_key(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return join_checked(named, keys, ["__id", "__digest"]).drop("__id", "__digest")
 
 
-def _removals(batch_marks) -> list[list[tuple[int, int, int]]]:
-    return [[(m["kind"], m["a"], m["n"]) for m in row] if row else [] for row in batch_marks]
+def _removals(marks: pa.Array) -> list[list[tuple[int, int, int]]]:
+    """The marks of each row, none where the row's list is null."""
+    ends = np.cumsum(np.asarray(marks.value_lengths().fill_null(0), dtype=np.int64)).tolist()
+    flat = marks.flatten()
+    each = list(zip(*(np.asarray(flat.field(c)).tolist() for c in ("kind", "a", "n"))))
+    return [each[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
@@ -283,7 +289,7 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
         for data, starts, ends, piece in text_slices(batches, 4 << 20):
             size, removed, spans, digest = [], [], [], []
             raw = memoryview(data.tobytes())
-            for a, b, marks in zip(starts.tolist(), ends.tolist(), _removals(piece.column("marks").to_pylist())):
+            for a, b, marks in zip(starts.tolist(), ends.tolist(), _removals(piece.column("marks"))):
                 lo, hi = removed_bytes(marks, b - a)
                 kept, at = hashlib.sha256(), a
                 for p, q in zip(lo.tolist(), hi.tolist()):
@@ -335,7 +341,7 @@ def strip_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            new = next(cut([(batch.column(text_col).to_pylist(), batch.column("__marks").to_pylist())]))
+            new = next(cut([(batch.column(text_col).to_pylist(), batch.column("__marks"))]))
             yield pa.RecordBatch.from_arrays([new if c == text_col else batch.column(c) for c in names], names)
 
     joined = keyed.join(marks, F.col("__rid") == F.col("__owner"), "left").select(*names, "__marks")

@@ -25,13 +25,18 @@ def _smaller(x: np.ndarray) -> np.ndarray:
 
 def _place(sa: np.ndarray, ends: np.ndarray, position: np.ndarray, bucket: np.ndarray, step: int) -> None:
     """Append positions to their buckets, in order, moving the bucket pointers by `step`."""
-    order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 65536 else bucket, kind="stable")
-    bucket, position = bucket[order], position[order]
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    counts = np.diff(np.append(first, len(bucket)))
-    rank = np.arange(len(bucket)) - np.repeat(first, counts)
-    sa[ends[bucket] + step * rank] = position
-    ends[bucket[first]] += step * counts
+    n = len(bucket)
+    order = (bucket.astype(np.uint16, copy=False) if len(ends) <= 65536 else bucket).argsort(kind="stable")
+    bucket = bucket[order]
+    cuts = (bucket[1:] != bucket[:-1]).nonzero()[0]
+    first = np.zeros(len(cuts) + 2, np.int64)
+    first[1:-1] = cuts + 1
+    first[-1] = n
+    counts, first = first[1:] - first[:-1], first[:-1]
+    own = bucket[first]
+    end = ends[own]
+    sa[step * np.arange(n) + (end - step * first).repeat(counts)] = position[order]
+    ends[own] = end + step * counts
 
 
 def _induce(x: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -44,43 +49,42 @@ def _induce(x: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndar
     heads = starts.copy()
     sa[heads[x[n - 1]]] = n - 1
     heads[x[n - 1]] += 1
+    left = np.full(n + 1, -1, np.int16 if len(starts) < 1 << 15 else np.int32)  # bucket of the suffix before each, if this direction places it; the last entry stands for empty slots
+    left[1:n] = np.where(smaller[:-1], -1, x[:-1])
     at, span = 0, 1024
     while at < n:
         stop = min(n, at + span)
-        slot = at + np.flatnonzero(sa[at:stop] > 0)
-        prior = sa[slot] - 1
-        larger = ~smaller[prior]
-        slot, prior = slot[larger], prior[larger]
+        chunk = sa[at:stop]
+        bucket = left[chunk]
+        slot = (bucket >= 0).nonzero()[0]
         if len(slot):
-            bucket = x[prior]
+            bucket, prior = bucket[slot], chunk[slot] - 1
             low = np.minimum.accumulate(heads[bucket])
-            beyond = np.append(slot[1:], stop)
-            tight = np.flatnonzero(low <= beyond)
-            if len(tight) and low[tight[0]] < stop:
-                stop = int(low[tight[0]])
-                inside = slot < stop
-                prior, bucket = prior[inside], bucket[inside]
+            if low[-1] < stop:
+                tight = (low[:-1] <= slot[1:] + at).nonzero()[0]
+                stop = int(low[tight[0] if len(tight) else -1])
+                inside = slot.searchsorted(stop - at)
+                prior, bucket = prior[:inside], bucket[:inside]
             _place(sa, heads, prior, bucket, 1)
         span = min(1 << 17, 2 * span) if stop - at == span else max(64, 2 * (stop - at))
         at = stop
     sa[smaller[np.maximum(sa, 0)] & (sa >= 0)] = -1
     tails = stops - 1
+    left[1:n] = np.where(smaller[:-1], x[:-1], -1)
     at, span = n, 1024
     while at > 0:
         stop = max(0, at - span)
-        slot = stop + np.flatnonzero(sa[stop:at] > 0)[::-1]
-        prior = sa[slot] - 1
-        less = smaller[prior]
-        slot, prior = slot[less], prior[less]
+        chunk = sa[stop:at][::-1]
+        bucket = left[chunk]
+        slot = (bucket >= 0).nonzero()[0]
         if len(slot):
-            bucket = x[prior]
+            bucket, prior = bucket[slot], chunk[slot] - 1
             top = np.maximum.accumulate(tails[bucket])
-            beyond = np.append(slot[1:], stop - 1)
-            tight = np.flatnonzero(top >= beyond)
-            if len(tight) and top[tight[0]] >= stop:
-                stop = int(top[tight[0]]) + 1
-                inside = slot >= stop
-                prior, bucket = prior[inside], bucket[inside]
+            if top[-1] >= stop:
+                tight = (top[:-1] >= at - 1 - slot[1:]).nonzero()[0]
+                stop = int(top[tight[0] if len(tight) else -1]) + 1
+                inside = slot.searchsorted(at - stop)
+                prior, bucket = prior[:inside], bucket[:inside]
             _place(sa, tails, prior, bucket, -1)
         span = min(1 << 17, 2 * span) if at - stop == span else max(64, 2 * (at - stop))
         at = stop

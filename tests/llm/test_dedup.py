@@ -1,9 +1,13 @@
+import cProfile
 import hashlib
+import pstats
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from courierworks.llm import dedup
+from courierworks.llm.dedup import _removals
 from courierworks.llm.suffixes import permuted_prefixes, suffix_array
 from tests.llm.cases import frame, odd_texts, words
 
@@ -98,3 +102,24 @@ def test_shared_and_missing_ids_are_told_apart_by_text(spark):
         assert [g[3] for g in got if g[1] == 9] == [len(other.encode())]
         cut = sorted(r.text for r in dedup.strip_documents(docs).collect())
         assert cut.count(other) == 2 and " tail" in cut
+
+
+def test_induced_sorting_takes_few_calls():
+    """The scan goes over short stretches, so its time is that of the calls made for each."""
+    rng = random.Random(4)
+    lexicon = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    x = np.frombuffer(" ".join(rng.choice(lexicon) for _ in range(30_000)).encode(), np.uint8).astype(np.int64)
+    profile = cProfile.Profile()
+    sa = profile.runcall(suffix_array, x)
+    text = x.astype(np.uint8).tobytes()
+    assert all(text[a:a + 200] <= text[b:b + 200] for a, b in zip(sa[:-1].tolist(), sa[1:].tolist()))
+    stats = pstats.Stats(profile)
+    placed = next(calls for (_, _, name), (calls, *_) in stats.stats.items() if name == "_place")
+    assert stats.total_calls <= 30 * placed
+
+
+def test_marks_of_rows_without_dictionaries():
+    marks = pa.array([None, [(0, 3, 5), (1, 3, 5)], [], [(4, 7, 2)]], pa.list_(pa.struct([("kind", pa.int32()), ("a", pa.int32()), ("n", pa.int32())])))
+    assert _removals(marks) == [[], [(0, 3, 5), (1, 3, 5)], [], [(4, 7, 2)]]
+    assert _removals(marks.slice(1, 3)) == [[(0, 3, 5), (1, 3, 5)], [], [(4, 7, 2)]]
+    assert _removals(marks.slice(0, 1)) == [[]]
