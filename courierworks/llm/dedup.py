@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courierworks.llm.common import stage, text_slices
+from courierworks.llm.common import HASH_BYTES, slices, stage, text_slices
 from courierworks.operators.keyed import join_checked
 from courierworks.llm.shingles import gram_hashes, prefix_sums, substring_hash
 from courierworks.llm.suffixes import permuted_prefixes, suffix_array
@@ -27,6 +27,7 @@ GRAM_DOUBLINGS = 5  # the substrings whose hashes name the runs have 32 bytes
 GRAM = 1 << GRAM_DOUBLINGS
 SHARD_BYTES = 1 << 20  # text of one suffix array
 HOT = 400  # different runs of one hash from which on its windows are taken apart
+STRIPPED = 1 << 20  # text whose spans are taken out at once
 PIECE = 8 << 20  # longer texts are cut into overlapping pieces of this size while their runs are found
 NO_ID = -(1 << 63)  # stands for a null id, which counts as smaller than any other
 _INDEX = np.uint64((1 << 24) - 1)
@@ -80,7 +81,7 @@ def found_runs(texts: DataFrame) -> DataFrame:
     """h, s, id, a, n of every run: hash, hash of the run's text, document, first window, number of windows."""
 
     def run(batches):
-        for data, starts, ends, piece in text_slices(batches, 1 << 20):
+        for data, starts, ends, piece in text_slices(batches, HASH_BYTES):
             ids = np.asarray(piece.column(0))
             if len(data) <= PIECE:
                 parts = [(data, starts, ends, np.arange(len(ids)), np.zeros(len(ids), np.int64))]
@@ -103,7 +104,7 @@ def context_rows(asked: DataFrame) -> DataFrame:
     """The texts of the runs in `wanted` (list of a, n, h, hot): one row with the run's bytes, or one per window with its hash if hot."""
 
     def run(batches):
-        for data, starts, ends, piece in text_slices(batches, 1 << 20):
+        for data, starts, ends, piece in text_slices(batches, HASH_BYTES):
             wanted = piece.column(2)
             sizes = np.asarray(wanted.value_lengths().fill_null(0))
             flat = wanted.flatten()
@@ -307,6 +308,30 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def stripped(batches, names: list[str], text_col: str):
+    """The columns `names` of batches that also have `__marks`, their texts without the marked spans, one slice after the other."""
+    for batch in slices(batches, names.index(text_col), STRIPPED):
+        out = []
+        for text, marks in zip(batch.column(text_col).to_pylist(), _removals(batch.column("__marks"))):
+            if not text or not marks:
+                out.append(text)
+                continue
+            raw = text.encode()
+            lo, hi = removed_bytes(marks, len(raw))
+            kept, at = [], 0
+            for p, q in zip(lo.tolist(), hi.tolist()):
+                while p < len(raw) and raw[p] & 0xC0 == 0x80:
+                    p += 1
+                while q > p and q < len(raw) and raw[q] & 0xC0 == 0x80:
+                    q -= 1
+                kept.append(raw[at:p])
+                at = max(at, q)
+            kept.append(raw[at:])
+            out.append(b"".join(kept).decode())
+        new = pa.array(out, pa.string())
+        yield pa.RecordBatch.from_arrays([new if c == text_col else batch.column(c) for c in names], names)
+
+
 def strip_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with the repeated spans taken out of the texts, all other columns as they were; a removed span never splits a code point.
 
@@ -315,34 +340,6 @@ def strip_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keyed = with_row_key(docs, text_col)
     texts = keyed.select(F.col("__rid").alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = marked(texts).withColumnRenamed("owner", "__owner").withColumnRenamed("marks", "__marks")
-
-    def cut(pairs):
-        for texts, marks_ in pairs:
-            out = []
-            for text, marks in zip(texts, _removals(marks_)):
-                if not text or not marks:
-                    out.append(text)
-                    continue
-                raw = text.encode()
-                lo, hi = removed_bytes(marks, len(raw))
-                kept, at = [], 0
-                for p, q in zip(lo.tolist(), hi.tolist()):
-                    while p < len(raw) and raw[p] & 0xC0 == 0x80:
-                        p += 1
-                    while q > p and q < len(raw) and raw[q] & 0xC0 == 0x80:
-                        q -= 1
-                    kept.append(raw[at:p])
-                    at = max(at, q)
-                kept.append(raw[at:])
-                out.append(b"".join(kept).decode())
-            yield pa.array(out, pa.string())
-
     names = docs.columns
-
-    def run(batches):
-        for batch in batches:
-            new = next(cut([(batch.column(text_col).to_pylist(), batch.column("__marks"))]))
-            yield pa.RecordBatch.from_arrays([new if c == text_col else batch.column(c) for c in names], names)
-
     joined = keyed.join(marks, F.col("__rid") == F.col("__owner"), "left").select(*names, "__marks")
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(lambda batches: stripped(batches, names, text_col), docs.schema)

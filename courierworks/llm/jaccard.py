@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courierworks.llm.common import stage, text_slices
+from courierworks.llm.common import HASH_BYTES, stage, text_slices
 from courierworks.llm.components import connected
 from courierworks.llm.shingles import mix, word_shingles
 
@@ -81,7 +81,7 @@ def profiles(docs: DataFrame, similarity: float, runs: int = RUNS) -> DataFrame:
     """doc_id, n, two sums that identify the set, sketch, the bucket keys of each run, and the paths of each further split."""
 
     def run(batches):
-        for data, starts, ends, piece in text_slices(batches, 2 << 20):
+        for data, starts, ends, piece in text_slices(batches, HASH_BYTES):
             rows = len(starts)
             owner, value = word_shingles(data, starts, ends, SHINGLE)
             n = np.bincount(owner, minlength=rows)
@@ -260,7 +260,7 @@ def verified(members: DataFrame, docs: DataFrame, similarity: float) -> DataFram
     """
 
     def sets(batches):
-        for data, starts, ends, piece in text_slices(batches, 2 << 20):
+        for data, starts, ends, piece in text_slices(batches, HASH_BYTES):
             owner, value = word_shingles(data, starts, ends, SHINGLE)
             bounds = np.searchsorted(owner, np.arange(len(starts) + 1))
             yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([value[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()),

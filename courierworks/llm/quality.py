@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courierworks.llm.common import held_out, partials, slices, stage
+from courierworks.llm.common import held_out, memory, partials, slices, stage
 
 FEATURES = 192  # random Fourier features
 RIDGE = 1e-3
@@ -23,6 +23,7 @@ BINS = 256  # score bins of the calibration
 MAX_TRAINING_ROWS = 2_000_000  # labelled rows used at most; beyond it a hash of the id picks them
 SEED = 20260
 PIECE = 1 << 16  # bytes that are compressed at once
+TEXT_SLICE = 2 << 20  # text that is measured at once
 
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".", b",", b"!", b"?", b"#", b"$%&*@^~", b"|",
            b"<>{}[]()=+/\\_", b"\"'`", b":;-", bytes(range(128, 256)), bytes(i for i in range(32) if i != 10)]
@@ -67,7 +68,8 @@ def statistics(raw: bytes) -> np.ndarray:
 
 
 def measured(batches):
-    for batch in slices(batches):
+    memory("statistics")  # nothing is kept; what other tasks left goes
+    for batch in slices(batches, 1, TEXT_SLICE):
         rows = [statistics(x.encode() if x else b"") for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), "stats": pa.array([r.tobytes() for r in rows], pa.binary())})
 
@@ -184,7 +186,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_R
     column = docs.columns.index("text")
 
     def run(batches):
-        for batch in slices(batches, column):
+        memory("statistics")
+        for batch in slices(batches, column, TEXT_SLICE):
             stats = np.array([statistics(x.encode() if x else b"") for x in batch.column(column).to_pylist()]).reshape(-1, WIDTH)
             yield batch.filter(pa.array(model.score(stats) >= 0.5))
 

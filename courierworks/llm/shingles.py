@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from courierworks.llm.common import HASH_BYTES, memory
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -20,22 +22,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64))
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+KEPT = HASH_BYTES + 1  # powers that a worker remembers; longer texts get tables of their own
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2^64."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 1 << 16)
-        factors = np.full(size, BASE)
-        factors[0] = 1
-        _powers = np.cumprod(factors)
-        factors = np.full(size, BASE_INVERSE)
-        factors[0] = 1
-        _inverse = np.cumprod(factors)
-    return _powers[:n], _inverse[:n]
+    held = memory("powers")
+    if "tables" not in held or len(held["tables"][0]) < n:
+        size = min(KEPT, max(1 << 16, 1 << (n - 1).bit_length())) if n <= KEPT else n
+        tables = []
+        for base in (BASE, BASE_INVERSE):
+            table = np.full(size, base)
+            table[0] = 1
+            tables.append(np.cumprod(table, out=table))
+        if n > KEPT:
+            return tables[0], tables[1]
+        held["tables"] = tables
+    up, down = held["tables"]
+    return up[:n], down[:n]
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
