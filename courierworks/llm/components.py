@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courierworks.llm.common import stage
+from courierworks.llm.common import gathered, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -20,20 +20,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("c"), "low")
     tied = down.join(least, F.col("u") == F.col("c"))
-    return tied.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(least.select(F.col("c").alias("u"), F.col("low").alias("v")))
+    return tied.select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v"))
 
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _shape(edges: DataFrame) -> tuple[int, int]:
+    """How many edges there are, and how many nodes (0: all edges are stars) have two edges down or edges both up and down."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    per_node = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    row = per_node.agg(F.coalesce(F.sum("down"), F.lit(0)), F.count(F.when(F.col("down") + F.col("up") > 1, 1))).first()
+    return row[0], row[1]
+
+
+def connected(edges: DataFrame, a: str = "a", b: str = "b", rows: int = 0) -> DataFrame:
     """node, root (the smallest node of its component) of every node that has an edge to another one.
 
     Each round combines minima before the shuffle and joins them back, so a node with very many neighbours is split like any skewed join.
-    The number of rounds grows with the logarithm of the longest path; every round is written to the shared folder.
+    The rounds end when all edges are stars around their smallest node; their number grows with the logarithm of the longest path, and every
+    round is written to the shared folder. `rows` is about how many edges to expect.
     """
-    current = stage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    seen = None
+    named = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    current = stage(gathered(named.distinct(), rows))
     while True:
-        current = stage(_small_star(_large_star(current)).where("u <> v").distinct())
-        now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
+        n, open_ = _shape(current)
+        if not open_:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = now
+        current = stage(gathered(_small_star(_large_star(current)).where("u <> v").distinct(), n))

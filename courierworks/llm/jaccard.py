@@ -13,12 +13,14 @@ at 0.8 that is 4.5e-5, then 1.3e-5 (seven paths of one step) and 2.1e-5 (15 of t
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courierworks.llm.common import HASH_BYTES, stage, text_slices
+from courierworks.llm.common import HASH_BYTES, gathered, stage, text_slices
 from courierworks.llm.components import connected
 from courierworks.llm.shingles import mix, word_shingles
 
@@ -31,6 +33,7 @@ SMALL = 192  # sets in a bucket that are compared all against all
 BINS = 128  # of a sketch
 SLACK = 0.2  # a sketch may underrate a pair by this much: more than five standard deviations
 PIVOTS = 3  # members of a large bucket that all others are compared with
+FEW_PIVOTS = 20_000  # of all large buckets that are broadcast with their sketches
 WIDER = 5  # what is still large after the last split is compared in blocks that are wider than small buckets, so each set is copied less often
 # At 0.8: settled from 0.6 to a pivot, tied from 0.2. What is 0.8 to a settled member is at least 1 - 0.4 - 0.2 = 0.4 to the pivot, which lies more
 # than four standard deviations of a sketch above 0.2.
@@ -177,7 +180,9 @@ def pivoted(large: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataF
     The pivots of all buckets of a set, a few for each of its sampled shingles, are gathered first: buckets of one group mostly share them.
     A member is tied to a pivot unless its sketch is far off, and settled if it is close: whatever is similar to a settled member is then
     near enough to the same pivot to be tied to it, so their group is verified as a whole and the member needs no further splits.
+    The sketches of the pivots are broadcast if they are few (counted first), as most rows of a dense group have the same ones.
     """
+    size = sets.count()
 
     def run(batches):
         for batch in batches:
@@ -190,7 +195,11 @@ def pivoted(large: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataF
 
     met = large.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots")).select("id", F.explode("pivots").alias("pivot"))
     others = sets.select(F.col("id").alias("pivot"), F.col("sketch").alias("other"))
-    marks = stage(met.join(sets.select("id", "sketch"), "id").join(others, "pivot").mapInArrow(run, "a long, b long, settled boolean"))
+    named = stage(gathered(large.select(F.explode("pivots").alias("pivot")).distinct(), size))
+    if named.count() <= FEW_PIVOTS:
+        others = F.broadcast(others.join(F.broadcast(named), "pivot"))
+    both = met.join(sets.select("id", "sketch"), "id").join(others, "pivot")
+    marks = stage(gathered(both, PIVOTS * size).mapInArrow(run, "a long, b long, settled boolean"))
     close = marks.where("settled").groupBy(F.col("b").alias("id")).agg(F.collect_list("a").alias("close"))
     left = large.join(close, "id", "left").where("close IS NULL OR NOT arrays_overlap(pivots, close)").select("key", "id")
     return marks.where("a <> b").select("a", "b"), left
@@ -208,27 +217,30 @@ def candidates(sets: DataFrame, similarity: float, levels: int = LEVELS, small:
     """a, b: ties of all buckets. `sets` has id, n, sketch, keys and the paths of further splits, one row per distinct set.
 
     Members of a large bucket are compared with a few pivots, which settles those of dense groups; the others are split again by their longer
-    paths, once for all of their buckets, and what is still large after the last split is compared in blocks.
+    paths, once for all of their buckets, and what is still large after the last split is compared in blocks. The small buckets of all splits,
+    and the blocks, meet their sketches in one join.
     """
+    size, short = sets.count(), sets.select("id", "n", "sketch")
     rows = sets.select("id", F.explode(F.flatten("keys")).alias("key"))
-    edges = None
+    alike, ties = [], []  # buckets and blocks that are compared all against all; ties to pivots
     for level in range(levels + 1):
         pivots = F.array(*[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)])
         counted = rows.groupBy("key").agg(F.count("*").alias("members"), pivots.alias("pivots")).where("members > 1")
-        shared = stage(rows.join(counted, "key"))
-        found = tied(shared.where(F.col("members") <= small).select("key", "id").join(sets.select("id", "n", "sketch"), "id"), similarity)
-        edges = found if edges is None else edges.unionByName(found)
+        shared = stage(gathered(rows.join(counted, "key"), RUNS * size))
+        alike.append(shared.where(F.col("members") <= small).select(F.xxhash64(F.lit(level), "key").alias("key"), "id"))
         large = shared.where(F.col("members") > small)
         if large.isEmpty():
-            return edges
-        ties, left = pivoted(large, sets, similarity)
-        edges, left = edges.unionByName(ties), stage(left)
+            break
+        found, left = pivoted(large, sets, similarity)
+        ties.append(found)
+        left = stage(gathered(left, RUNS * size))
         if level == levels:
             again = left.join(left.groupBy("key").agg(F.count("*").alias("members")), "key")
-            return edges.unionByName(tied(in_blocks(again, WIDER * small).join(sets.select("id", "n", "sketch"), "id"), similarity))
-        again = left.select("id").distinct().join(sets.select("id", f"deep{level}"), "id")
-        rows = again.select("id", F.posexplode(f"deep{level}").alias("path", "token")).select("id", F.xxhash64("path", "token").alias("key"))
-    return edges
+            alike.append(in_blocks(again, WIDER * small))
+        else:
+            again = left.select("id").distinct().join(sets.select("id", f"deep{level}"), "id")
+            rows = again.select("id", F.posexplode(f"deep{level}").alias("path", "token")).select("id", F.xxhash64("path", "token").alias("key"))
+    return reduce(DataFrame.unionByName, [tied(reduce(DataFrame.unionByName, alike).join(short, "id"), similarity), *ties])
 
 
 def _overlaps(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -302,15 +314,16 @@ def join_documents(docs: DataFrame, similarity: float = 0.8, runs: int = RUNS) -
     """
     known = stage(profiles(docs, similarity, runs))
     copies = known.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    copies = stage(copies)
+    size = known.count()
+    copies = stage(gathered(copies, size))
     picked = known.join(copies.select(F.col("id"), F.col("s1").alias("c1"), F.col("s2").alias("c2")), (F.col("doc_id") == F.col("id")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")))
-    sets = stage(picked.select("id", "n", "sketch", "keys", *[f"deep{i}" for i in range(LEVELS)]).dropDuplicates(["id"]))
-    groups = connected(candidates(sets, similarity))
+    sets = stage(gathered(picked.select("id", "n", "sketch", "keys", *[f"deep{i}" for i in range(LEVELS)]).dropDuplicates(["id"]), size))
+    groups = connected(candidates(sets, similarity), rows=size)
     sized = groups.join(copies.select(F.col("id").alias("node"), "copies", "n"), "node").dropDuplicates(["node"])
     totals = sized.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     members = sized.join(totals, "root").select(F.col("node").alias("id"), "copies", F.col("root").alias("grp"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("block"))
     links = stage(verified(members, docs, similarity))
-    classes = connected(links.where("id <> root"), "id", "root")
+    classes = connected(links.where("id <> root"), "id", "root", size)
     per_set = links.groupBy("id").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     results = (copies.join(per_set, "id", "left").join(classes.select(F.col("node").alias("id"), "root"), "id", "left")
                .select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("cn"), F.coalesce("root", "id").alias("class"), "copies",

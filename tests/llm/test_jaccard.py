@@ -1,6 +1,6 @@
 import random
 
-from courierworks.llm import jaccard
+from courierworks.llm import components, jaccard
 from courierworks.llm.components import connected
 from tests.llm.cases import changed, frame, odd_texts, words
 
@@ -98,3 +98,27 @@ def test_open_sets_have_as_many_rows_as_paths(spark, monkeypatch):
     texts = [words(60, 8) + " " + o for o in own] + [words(60, 8) + " " + changed(own[k], 5) for k in range(3)]
     assert rows(jaccard.join_documents(frame(spark, texts, clash=False))) == plain(texts)
     assert len(most) == 3 and most[1] <= 7 and most[2] <= 15
+
+
+def test_stars_need_no_round_and_others_one_less(spark, monkeypatch):
+    """Every written table costs a shuffle's worth of tasks: edges that are stars are the result, without a round that proves it."""
+    written = []
+    monkeypatch.setattr(components, "stage", lambda df, plain=components.stage: written.append(1) or plain(df))
+    stars = [(100, 100 + k) for k in range(1, 50)] + [(1, 9), (9, 1), (7, 7), (None, 3)]
+    got = {r.node: r.root for r in connected(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {**{100 + k: 100 for k in range(50)}, 1: 1, 9: 1} and len(written) == 1
+    written.clear()
+    got = {r.node: r.root for r in connected(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1} and len(written) == 2
+
+
+def test_small_buckets_of_all_splits_meet_in_one_join(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(jaccard, "tied", lambda *a, plain=jaccard.tied: calls.append(1) or plain(*a))
+    monkeypatch.setattr(jaccard.candidates, "__defaults__", (jaccard.LEVELS, 6))
+    texts = [words(60, 8) + " " + words(60, 3000 + k) for k in range(60)] + [words(60, 8) + " " + changed(words(60, 3000 + k), 5) for k in range(3)]
+    for few in (jaccard.FEW_PIVOTS, 0):  # pivots broadcast and joined
+        monkeypatch.setattr(jaccard, "FEW_PIVOTS", few)
+        calls.clear()
+        assert rows(jaccard.join_documents(frame(spark, texts, clash=False))) == plain(texts)
+        assert len(calls) == 1
