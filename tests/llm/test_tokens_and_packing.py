@@ -183,3 +183,20 @@ def test_ids_are_those_of_the_library_for_any_characters():
     want = [code.ids for code in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
     assert encoder.count(texts) == [len(x) for x in want]
+
+
+def test_new_pieces_go_to_the_model_without_a_second_cut():
+    """The pieces of ordinary texts are cut once: the library's own splitter, most of the time of a new piece, is left to line ends."""
+    encoder, want = tokens.Encoder(tokens.vocabulary_path()), library()
+
+    class Refuses:
+        def encode(self, text, **_):
+            assert "\n" in text, text
+            return want.encode(text, add_special_tokens=False)
+
+        def encode_batch_fast(self, texts, **_):
+            raise AssertionError(texts)
+
+    encoder.tokenizer = Refuses()
+    texts = [x for x in odd_texts() if x] + ["a  b \n c", "\x00\x7f\x85\xa0\xad tab\t", "naïve 北京 🎉 don't", words(3000, 5)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [want.encode(x, add_special_tokens=False).ids for x in texts]
