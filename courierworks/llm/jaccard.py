@@ -174,6 +174,11 @@ def tied(buckets: DataFrame, similarity: float) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").where("a <> b")
 
 
+def bucket_pivots(large: DataFrame) -> DataFrame:
+    """pivot: the pivots of large buckets (key, id, pivots); each bucket names them once, not once per member."""
+    return large.select("key", "pivots").dropDuplicates(["key"]).select(F.explode("pivots").alias("pivot")).distinct()
+
+
 def pivoted(large: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(ties a, b; rows of `large` that stay open) from the comparison of large buckets (key, id, pivots) with their pivots.
 
@@ -195,7 +200,7 @@ def pivoted(large: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataF
 
     met = large.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots")).select("id", F.explode("pivots").alias("pivot"))
     others = sets.select(F.col("id").alias("pivot"), F.col("sketch").alias("other"))
-    named = stage(gathered(large.select(F.explode("pivots").alias("pivot")).distinct(), size))
+    named = stage(gathered(bucket_pivots(large), size))
     if named.count() <= FEW_PIVOTS:
         others = F.broadcast(others.join(F.broadcast(named), "pivot"))
     both = met.join(sets.select("id", "sketch"), "id").join(others, "pivot")

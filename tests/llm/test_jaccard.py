@@ -122,3 +122,39 @@ def test_small_buckets_of_all_splits_meet_in_one_join(spark, monkeypatch):
         calls.clear()
         assert rows(jaccard.join_documents(frame(spark, texts, clash=False))) == plain(texts)
         assert len(calls) == 1
+
+
+def exploded(df):
+    """Rows that the explodes of a plan made when it ran."""
+    df.collect()
+    nodes, made = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        at = nodes.pop()
+        if "AdaptiveSparkPlan" in at.nodeName() or "QueryStage" in at.nodeName():
+            nodes.append(at.executedPlan() if "AdaptiveSparkPlan" in at.nodeName() else at.plan())
+        if at.nodeName() == "Generate":
+            made += at.metrics().apply("numOutputRows").value()
+        nodes += [at.children().apply(i) for i in range(at.children().size())]
+    return made
+
+
+def test_pivots_are_named_once_a_bucket(spark, monkeypatch):
+    """What is exploded to name the pivots of large buckets follows the number of buckets, whatever number of members each has."""
+    seen = []
+
+    def watched(large, sets, similarity, plain=jaccard.pivoted):
+        calls = []
+        monkeypatch.setattr(jaccard, "gathered", lambda df, n: calls.append(df) or plain_gathered(df, n))
+        out = plain(large, sets, similarity)
+        monkeypatch.setattr(jaccard, "gathered", plain_gathered)
+        members, buckets = large.count(), large.select("key").distinct().count()
+        assert {r.pivot for r in calls[0].collect()} == {p for r in large.select("pivots").collect() for p in r.pivots}
+        seen.append((members, buckets, exploded(calls[0])))
+        return out
+
+    plain_gathered = jaccard.gathered
+    monkeypatch.setattr(jaccard, "pivoted", watched)
+    monkeypatch.setattr(jaccard.candidates, "__defaults__", (jaccard.LEVELS, 6))
+    texts = [changed(words(150, 77), 60 + k) for k in range(40)]
+    assert rows(jaccard.join_documents(frame(spark, texts, clash=False))) == plain(texts)
+    assert seen and all(0 < made <= jaccard.PIVOTS * buckets < members for members, buckets, made in seen)
