@@ -27,6 +27,29 @@ def test_files_hold_the_ids_of_the_library(spark):
     assert tokens.write_and_read(frame(spark, [])).count() == 0
 
 
+def test_the_standard_library_cuts_all_but_the_widest_characters(monkeypatch):
+    """Cuts equal those of the pattern for all characters, alone and beside others; up to WIDE the slower module is not asked."""
+    import public_tokenizers
+    import regex
+
+    plain, asked = regex.compile(public_tokenizers.PATTERN).findall, []
+    real = regex.compile
+
+    class Watched:
+        def __init__(self, pattern):
+            self.findall = lambda text, exact=real(pattern).findall: asked.append(text) or exact(text)
+
+    monkeypatch.setattr(regex, "compile", Watched)
+    split = tokens._splitter(public_tokenizers.PATTERN)
+    every = "".join(chr(i) for i in range(tokens.WIDE) if not 0xD800 <= i < 0xE000)
+    rng = random.Random(6)
+    mixed = ["".join(rng.choice(["a", "Z", "7", " ", "  ", "'s", "'ll", "'", "_", "-", "\n", "\t", "é", rng.choice(every)]) for _ in range(40)) for _ in range(3000)]
+    texts = ["", every, " ".join(every), "x".join(every), "7".join(every), *mixed, "a 🎉 'll b", *odd_texts()]
+    for text in texts:
+        assert split(text or "") == plain(text or "")
+    assert asked and all(max(text) >= chr(tokens.WIDE) for text in asked)
+
+
 def test_small_shards_give_the_same_starts(spark, tmp_path):
     docs = frame(spark, [words(30 + i % 9, i) for i in range(80)], [3 * i - 50 for i in range(80)])
     want = sorted(tuple(r) for r in tokens.write_and_read(docs).collect())
