@@ -2,8 +2,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
-from courierworks.llm import quality, vectors
+from courierworks.llm import common, quality, vectors
 from tests.llm.cases import frame, odd_texts, words
 
 
@@ -82,3 +83,30 @@ def test_labels_of_the_held_out_third_never_matter(spark):
     turned = labels.withColumn("quality", F.when(held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")).cast("int"))
     order = lambda df: sorted(tuple(r) for r in df.collect())
     assert order(quality.score_documents(docs, labels)) == order(quality.score_documents(docs, turned))
+
+
+def test_one_array_reaches_the_driver_however_many_partitions_there_are(spark, monkeypatch):
+    def work(batches):
+        out = np.zeros(1000)
+        for batch in batches:
+            out += np.asarray(batch.column(0)).sum() * 0.1 + np.arange(1000) / 7
+        return out
+
+    df = spark.createDataFrame([(i,) for i in range(500)], "doc_id long")
+    arrays = [np.frombuffer(r.part, np.float64) for r in df.repartition(60, "doc_id").mapInArrow(
+        lambda batches: [pa.RecordBatch.from_pydict({"part": pa.array([work(batches).tobytes()], pa.binary())})], "part binary").collect()]
+    want = arrays[0].copy()
+    for one in arrays[1:]:
+        want = want + one
+    sent = []
+
+    def watched(self, plain=type(df).collect):
+        rows = plain(self)
+        sent.append(sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(df), "collect", watched)
+    got = common.partials(df, work, "doc_id", 60)
+    assert len(arrays) == 60 and got.tobytes() == want.tobytes()
+    assert sum(sent) == 8 * 1000
+    assert common.partials(df, lambda batches: None, "doc_id", 60) is None
