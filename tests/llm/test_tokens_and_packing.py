@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from courierworks.llm import packing, pieces, tokens
 from tests.llm.cases import frame, odd_texts, words
@@ -198,6 +199,38 @@ def test_buckets_over_the_whole_histogram_and_refined_cells(spark, monkeypatch):
     assert least <= sum(r.padding for r in got) <= coarse and sum(r.padding for r in got) < least + (coarse - least) / 2
 
 
+def test_boundaries_come_from_every_length_however_many_there_are(spark):
+    rng = np.random.default_rng(7)
+    lengths = np.concatenate([rng.choice(np.arange(1, 60_000), packing.EXACT + 500, False), rng.choice([90_001, 90_002, 90_400], 3000)])
+    tops, counts = np.unique(lengths, return_counts=True)
+    assert len(tops) > packing.EXACT
+    docs, tokens = (np.concatenate([[0], np.cumsum(x)]) for x in (counts, tops * counts))
+    least = tops * docs[1:] - tokens[1:]  # of one bucket over the first i + 1 lengths
+    for _ in range(3):
+        before = np.concatenate([[0], least])
+        least = np.array([(before[:i + 1] + tops[i] * (docs[i + 1] - docs[:i + 1]) - (tokens[i + 1] - tokens[:i + 1])).min() for i in range(len(tops))])
+    rows = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "doc_id long, n_tokens long")
+    packed = packing.pack(rows, 4)
+    got = packed.agg(F.sum("padding"), F.count("*"), F.sum("n_tokens")).first()
+    assert tuple(got) == (least[-1], len(lengths), lengths.sum())
+
+
+def test_boundaries_are_those_of_all_pairs():
+    rng = random.Random(3)
+    for _ in range(300):
+        tops = sorted(rng.sample(range(60), rng.randrange(1, 30)))
+        cells = [(t, d, t * d - rng.randrange(min(t + 1, 3))) for t in tops for d in [rng.randrange(1, 4)]]
+        buckets = rng.randrange(1, 9)
+        padding = lambda low, high: sum(cells[high - 1][0] * d - k for _, d, k in cells[low:high])
+        best = {0: (0, [])}
+        for _ in range(buckets):
+            best = {end: min([(best[s][0] + padding(s, end), s, best[s][1] + [tops[end - 1]]) for s in range(end) if s in best])[::2] for end in range(1, len(tops) + 1)} | {0: (0, [])}
+        got = packing.boundaries(cells, buckets)
+        assert len(got) <= buckets and got[-1] == tops[-1]
+        at = [0] + [tops.index(t) + 1 for t in got]
+        assert sum(padding(a, b) for a, b in zip(at, at[1:])) == best[len(tops)][0]
+
+
 def test_ids_are_those_of_the_library_for_any_characters():
     rng = random.Random(5)
     pool = [chr(i) for i in range(0x300)] + list("Ⅰ〇一  ​́١😀") + list(" '_stlvre \n\n  ") * 8
