@@ -10,13 +10,16 @@ is exact; keys where it does not are run again with wider segments, at last with
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from courierworks.operators.keyed import join_checked, time_bucket
 from courierworks.session import checkpoint, stage
@@ -26,64 +29,94 @@ from courierworks.session import checkpoint, stage
 Step = Callable[[list[float] | None, tuple], tuple[tuple, list[float] | None]]
 
 
-def _runner(step: Step, key: str, inputs: list[str], ids: list[str], outputs: list[str], exits: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, alive = None, None, False
+def _values(column: pa.Array, missing: float | None) -> list:
+    """The values of a column; missing numbers as `missing`."""
+    number = pa.types.is_integer(column.type) or pa.types.is_floating(column.type)
+    if column.null_count == 0 and number:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    values = column.to_pylist()
+    return [missing if x is None else x for x in values] if number and missing is not None else values
+
+
+def _runs(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """(values of `columns`, first row, row after the last) of each run of rows that are equal in them."""
+    arrays = [batch.column(c) for c in columns]
+    places = [np.array(a.to_pylist(), object) if a.null_count else a.to_numpy(zero_copy_only=False) for a in arrays]
+    changes = [np.flatnonzero(p[1:] != p[:-1]) + 1 for p in places]
+    starts = np.unique(np.concatenate([[0], *changes])).tolist()
+    for low, high in zip(starts, [*starts[1:], batch.num_rows]):
+        yield tuple(p[low] for p in places), low, high
+
+
+def _runner(step: Step, key: str, inputs: list[str], ids: list[str], outputs: T.StructType, exits: bool, missing: float | None):
+    """A task's work: rows in order, as Arrow batches; `ids` go through as they are, only `inputs` become Python values.
+
+    With time segments the rows have __segment, __kind and __state, and those of kind 0 carry the state that a segment starts with.
+    """
+    types = [to_arrow_type(field.dataType) for field in outputs.fields]
+
+    def ends(key_type: pa.DataType, done: list[tuple]) -> pa.RecordBatch:
+        keys, segments, states = zip(*done)
+        return pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(segments, pa.int64()), pa.array(states, pa.list_(pa.float64()))], [key, "__segment", "__state"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, key_type = None, None, None
         for batch in batches:
-            keys, segments, kinds = (batch[c].tolist() for c in (key, "__segment", "__kind"))
-            entries = batch["__state"].tolist()
-            values = list(zip(*(batch[c].tolist() for c in inputs)))
-            done, keep, made = [], [], []
-            for i, place in enumerate(zip(keys, segments)):
+            if not batch.num_rows:
+                continue
+            cut = "__segment" in batch.schema.names
+            key_type = batch.schema.field(key).type
+            kinds = batch.column("__kind").to_numpy(zero_copy_only=False) if cut else None
+            rows = list(zip(*(_values(batch.column(c), missing) for c in inputs)))
+            done, made = [], []
+            for place, low, high in _runs(batch, [key, "__segment"] if cut else [key]):
                 if place != current:
-                    if exits and alive:
+                    if exits and current is not None:
                         done.append((*current, state))
-                    current, state, alive = place, None, True
-                if kinds[i] == 0:
-                    state = None if entries[i] is None else [float(x) for x in entries[i]]
-                    continue
-                result, state = step(state, values[i])
-                if not exits:
-                    keep.append(i)
-                    made.append(result)
+                    current, state = place, None
+                while cut and low < high and kinds[low] == 0:
+                    state, low = batch.column("__state")[low].as_py(), low + 1
+                for row in rows[low:high]:
+                    result, state = step(state, row)
+                    if not exits:
+                        made.append(result)
             if exits:
                 if done:
-                    yield pd.DataFrame(done, columns=[key, "__segment", "__state"])
-            elif keep:
-                out = batch.iloc[keep][[key, *ids]].reset_index(drop=True)
-                columns = list(zip(*made))
-                for name, column in zip(outputs, columns):
-                    out[name] = pd.Series(column, dtype="object" if isinstance(column[0], (str, type(None))) else None)
-                yield out
-        if exits and alive:
-            yield pd.DataFrame([(*current, state)], columns=[key, "__segment", "__state"])
+                    yield ends(key_type, done)
+            elif made:
+                kept = batch if len(made) == batch.num_rows else batch.filter(pa.array(kinds != 0))
+                columns = [pa.array(column, kind, from_pandas=True) for column, kind in zip(zip(*made), types)]
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in [key, *ids]), *columns], [key, *ids, *outputs.names])
+        if exits and current is not None:
+            yield ends(key_type, [(*current, state)])
 
     return run
 
 
 def ordered_fold(rows: DataFrame, key: str, ts: str, tie: str, inputs: list[str], ids: list[str], step: Step,
                  outputs: T.StructType, hot_rows: int = 5_000_000, segment_seconds: int = 3600,
-                 widen: int = 24) -> DataFrame:
+                 widen: int = 24, missing: float | None = math.nan) -> DataFrame:
     """Fold every key in the order (`ts`, `tie`) and return key, `ids` and the step's outputs per row.
 
-    `inputs` are the columns a step reads. Keys with more than `hot_rows` rows run in segments.
+    `inputs` are the columns a step reads; a missing number comes to it as `missing`. Rows that are equal in `ts` and `tie` go by their
+    inputs. Keys with more than `hot_rows` rows run in segments.
     """
     wanted = list(dict.fromkeys([key, ts, tie, *inputs, *ids]))
     rows = rows.select(*wanted)
     key_type = rows.schema[key].dataType
     exit_schema = T.StructType([T.StructField(key, key_type), T.StructField("__segment", T.LongType()),
                                 T.StructField("__state", T.ArrayType(T.DoubleType()))])
-    out_schema = T.StructType([rows.schema[c] for c in [key, *ids]] + list(outputs.fields))
-    names = [field.name for field in outputs.fields]
+    out_schema = T.StructType([rows.schema[c] for c in [key, *(c for c in ids if c != key)]] + list(outputs.fields))
+    order = list(dict.fromkeys([ts, tie, *inputs]))
 
-    def placed(df: DataFrame, seconds: int | None) -> DataFrame:
-        segment = F.lit(0).cast("long") if seconds is None else time_bucket(ts, seconds)
-        return df.withColumns({"__segment": segment, "__kind": F.lit(1),
+    def placed(df: DataFrame, seconds: int) -> DataFrame:
+        return df.withColumns({"__segment": F.coalesce(time_bucket(ts, seconds), F.lit(-(1 << 62))), "__kind": F.lit(1),
                                "__state": F.lit(None).cast("array<double>")})
 
     def run(df: DataFrame, exits: bool) -> DataFrame:
-        ordered = df.repartition(key, "__segment").sortWithinPartitions(key, "__segment", "__kind", ts, tie)
-        return ordered.mapInPandas(_runner(step, key, inputs, ids, names, exits), exit_schema if exits else out_schema)
+        cut = ["__segment"] if "__segment" in df.columns else []
+        ordered = df.repartition(key, *cut).sortWithinPartitions(key, *cut, *(["__kind"] if cut else []), *order)
+        return ordered.mapInArrow(_runner(step, key, inputs, [c for c in ids if c != key], outputs, exits, missing), exit_schema if exits else out_schema)
 
     def with_entries(df: DataFrame, exits: DataFrame) -> DataFrame:
         previous = F.lag("__state").over(Window.partitionBy(key).orderBy("__segment"))
@@ -93,8 +126,8 @@ def ordered_fold(rows: DataFrame, key: str, ts: str, tie: str, inputs: list[str]
     hot = rows.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
     hot = checkpoint(hot)
     if hot.isEmpty():
-        return run(placed(rows, None), exits=False)
-    result = run(placed(join_checked(rows, hot, [key], "left_anti"), None), exits=False)
+        return run(rows, exits=False)
+    result = run(join_checked(rows, hot, [key], "left_anti"), exits=False)
     pending, seconds = join_checked(rows, hot, [key], "left_semi"), segment_seconds
     span = pending.agg((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))).alias("us")).first()["us"] or 0
     while seconds * 1_000_000 < span:
@@ -110,7 +143,7 @@ def ordered_fold(rows: DataFrame, key: str, ts: str, tie: str, inputs: list[str]
         if wrong.isEmpty():
             return result
         pending, seconds = join_checked(pending, wrong, [key], "left_semi"), seconds * widen
-    return result.unionByName(run(placed(pending, None), exits=False))
+    return result.unionByName(run(pending, exits=False))
 
 
 @dataclass(frozen=True)
