@@ -42,6 +42,21 @@ def _covering_cells(centres: DataFrame, radius_km: float, size_deg: float, lat:
     )
 
 
+def _on_cells(centres: DataFrame, points: DataFrame, radius_km: float, box: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both sides of `radius_join` with the cells they meet in: a centre once for each cell it covers, a point once."""
+    size_deg = max(radius_km / _SAFE_KM_PER_DEGREE, 1e-3)
+    named = centres.withColumnsRenamed({"lat": "centre_lat", "lon": "centre_lon"})
+    covered = _covering_cells(named, radius_km * (1.001 if not box else 1.01), size_deg, "centre_lat", "centre_lon")
+    return covered, _point_cells(points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), size_deg)
+
+
+def pairs_compared(centres: DataFrame, points: DataFrame, radius_km: float, on: list[str] | None = None) -> int:
+    """The number of pairs that `radius_join` compares, by the counts of both sides in every cell."""
+    keys = ["__row", "__column", *(on or [])]
+    centres, points = (df.groupBy(*keys).agg(F.count("*").alias(n)) for df, n in zip(_on_cells(centres, points, radius_km), ("__c", "__p")))
+    return int(centres.join(points, keys).agg(F.sum(F.col("__c") * F.col("__p").cast("double"))).first()[0] or 0)
+
+
 def radius_join(centres: DataFrame, points: DataFrame, radius_km: float, box: bool = False,
                 max_centres: int = 20_000, on: list[str] | None = None) -> DataFrame:
     """Pairs (centre, point) within the radius; centres carry lat and lon, which come back as centre_lat, centre_lon.
@@ -51,10 +66,7 @@ def radius_join(centres: DataFrame, points: DataFrame, radius_km: float, box: bo
     A hot cell is spread over sub-keys unless the covered centres are few enough to broadcast. `on` names
     columns of both sides that have to be equal as well; they become part of the join key.
     """
-    size_deg = max(radius_km / _SAFE_KM_PER_DEGREE, 1e-3)
-    named = centres.withColumnsRenamed({"lat": "centre_lat", "lon": "centre_lon"})
-    covered = _covering_cells(named, radius_km * (1.001 if not box else 1.01), size_deg, "centre_lat", "centre_lon")
-    located = _point_cells(points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), size_deg)
+    covered, located = _on_cells(centres, points, radius_km, box)
     pairs = join_checked(located, covered, ["__row", "__column", *(on or [])], max_rows=max_centres * 25)
     pairs = pairs.withColumn("distance_km", haversine_km("centre_lat", "centre_lon", "lat", "lon"))
     if box:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courierworks.functions.cost import MILES_TO_KM
-from courierworks.functions.geo import bearing_deg, project_point
+from courierworks.functions.geo import bearing_deg, haversine_km, project_point
 from courierworks.functions.num import at_least, clamp, round_half_up
 from courierworks.operators.keyed import join_checked, top_per_key
-from courierworks.operators.spatial import radius_join
+from courierworks.operators.spatial import pairs_compared, radius_join
+from courierworks.session import stage
 
 COLUMNS = ["hvfhs_license_num", "dispatching_base_num", "request_datetime", "pickup_datetime", "dropoff_datetime", "PULocationID",
            "DOLocationID", "trip_miles", "trip_time", "base_passenger_fare", "tolls", "bcf", "sales_tax", "congestion_surcharge",
@@ -172,20 +173,31 @@ def _probe_slots(rows: DataFrame, start: str, end: str, levels: list[int]) -> Da
     return placed.withColumn("__slot", F.explode(F.when(F.col("__level") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first, last))))
 
 
-def idle_pairs(trips: DataFrame, idle: DataFrame, radius_km: float) -> DataFrame:
+def _levels(filed: DataFrame) -> list[int]:
+    return sorted(r[0] for r in filed.select("__level").distinct().collect())  # SLOT_LEVELS + 1 at most
+
+
+def _idle_then(met: DataFrame) -> DataFrame:
+    """Pairs that met in a slot, of those idle in the trip's window; a pair that meets in two slots counts once, in the first."""
+    width = _slot_width(F.col("__level"))
+    first = F.greatest(F.floor(F.col("free") / width), F.floor(F.col("req") / width))
+    return met.where((F.col("free") <= F.col("pick")) & (F.col("gone") >= F.col("req")) & ((F.col("__level") < 0) | (F.col("__slot") == first))).drop("__level", "__slot")
+
+
+def _filed(idle: DataFrame) -> DataFrame:
+    return _interval_slots(idle.where("gone >= free AND lat IS NOT NULL AND lon IS NOT NULL"), "free", "gone")
+
+
+def idle_pairs(trips: DataFrame, idle: DataFrame, radius_km: float, levels: list[int] | None = None) -> DataFrame:
     """Trips with the couriers that are idle at some time of the trip's window and stand within the radius.
 
     `trips` has req, pick (microseconds), lat, lon; `idle` has free, gone (microseconds), lat, lon. The join key is the grid cell and a
     time slot. An idle interval is filed in one or two slots of the level that fits its length, and a trip looks in the slots its short
-    window touches on the levels that occur, so couriers that are idle at other times are never compared. A pair that meets in two slots counts once, in the first.
+    window touches on the levels that occur (`levels`, if known), so couriers that are idle at other times are never compared.
     """
-    filed = _interval_slots(idle.where("gone >= free AND lat IS NOT NULL AND lon IS NOT NULL"), "free", "gone")
-    levels = sorted(r[0] for r in filed.select("__level").distinct().collect())  # SLOT_LEVELS + 1 at most
-    asked = _probe_slots(trips, "req", "pick", levels)
-    met = radius_join(filed, asked, radius_km, on=["__level", "__slot"]).where((F.col("free") <= F.col("pick")) & (F.col("gone") >= F.col("req")))
-    width = _slot_width(F.col("__level"))
-    first = F.greatest(F.floor(F.col("free") / width), F.floor(F.col("req") / width))
-    return met.where((F.col("__level") < 0) | (F.col("__slot") == first)).drop("__level", "__slot")
+    filed = _filed(idle)
+    asked = _probe_slots(trips, "req", "pick", _levels(filed) if levels is None else levels)
+    return _idle_then(radius_join(filed, asked, radius_km, on=["__level", "__slot"]))
 
 
 def trip_candidates(trips: DataFrame, idle: DataFrame, k: int = 3, max_eta_min: float = 30.0, speed_kmh: float = 22.0, grace_min: float = 2.0,
@@ -204,14 +216,65 @@ def trip_candidates(trips: DataFrame, idle: DataFrame, k: int = 3, max_eta_min:
     ends = [F.coalesce(F.unix_micros("busy_at") - 1, F.lit(FOREVER_US))] if "busy_at" in idle.columns else []
     ends += [free + F.lit(int(max_idle_min * 6e7))] if max_idle_min is not None else []
     gone = F.least(*ends) if len(ends) > 1 else ends[0] if ends else F.lit(FOREVER_US)
-    people = idle.select("courier_id", free.alias("free"), gone.alias("gone"), "lat", "lon")
-    pairs = idle_pairs(points, people, speed_kmh * max_eta_min / 60.0)
-    eta = F.col("distance_km") / speed_kmh * 60.0
-    start = F.greatest("free", "req")
-    arrive = start + eta * 6e7
-    rows = pairs.withColumns({"eta_min": eta, "wait_min": (start - F.col("req")) / 6e7, "late_min": at_least((arrive - F.col("pickup")) / 6e7, 0.0)}).where(
-        (F.col("eta_min") <= max_eta_min) & (arrive <= F.col("pick")))
-    cost = (F.col("distance_km") + F.col("wait_min") * 1.7 + F.col("eta_min") * 0.35 + F.col("late_min") * 4.0
-            - F.when(F.col("preferred") == F.col("courier_id"), 0.35).otherwise(0.0) + 0.15)
-    scored = rows.select("trip_key", "courier_id", "distance_km", "eta_min", "wait_min", "late_min", cost.alias("cost"))
-    return top_per_key(scored, ["trip_key"], [F.asc("cost"), F.asc("courier_id")], k, rank="rank")
+    people = stage(idle.select("courier_id", free.alias("free"), gone.alias("gone"), "lat", "lon"))
+    span = people.where("gone >= free").agg(F.min("free"), F.max("gone")).first()
+    points = points.where((F.col("pick") >= F.lit(span[0]).cast("long")) & (F.col("req") <= F.lit(span[1]).cast("long")))  # the others meet nobody
+    radius = speed_kmh * max_eta_min / 60.0
+    # who starts at the request at the earliest and arrives by `pick` is not farther away than this
+    reach = F.least(F.lit(radius), (F.col("pick") - F.col("req")) / 3.6e9 * speed_kmh * (1 + 1e-9) + 1e-9)
+    points = stage(points.withColumns({"__reach": reach, "__trip": F.monotonically_increasing_id()}))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        # a generator, so that filters on the distance do not compute it anew, each for itself, for all pairs compared
+        pairs = pairs.withColumn("distance_km", F.explode(F.array("distance_km")))
+        eta = F.col("distance_km") / speed_kmh * 60.0
+        start = F.greatest("free", "req")
+        arrive = start + eta * 6e7
+        rows = pairs.withColumns({"eta_min": eta, "wait_min": (start - F.col("req")) / 6e7, "late_min": at_least((arrive - F.col("pickup")) / 6e7, 0.0)}).where(
+            (F.col("eta_min") <= max_eta_min) & (arrive <= F.col("pick")))
+        cost = (F.col("distance_km") + F.col("wait_min") * 1.7 + F.col("eta_min") * 0.35 + F.col("late_min") * 4.0
+                - F.when(F.col("preferred") == F.col("courier_id"), 0.35).otherwise(0.0) + 0.15)
+        return rows.select("__trip", "trip_key", "courier_id", "distance_km", "eta_min", "wait_min", "late_min", cost.alias("cost"))
+
+    order = [F.asc("cost"), F.asc("courier_id")]
+    best = _cheapest(points, people, scored, order, k, radius, per_km=1.0 + 60.0 / speed_kmh * 0.35, fixed=0.15)
+    return top_per_key(best.drop("__trip"), ["trip_key"], order, k, rank="rank")
+
+
+MOST_PAIRS = 20_000_000  # pairs that are simply compared
+PAIRS_A_TRIP = 64  # compared in the first ring, on average
+FIRST_KM = 0.1  # least radius of a ring
+
+
+def _cheapest(points: DataFrame, people: DataFrame, scored, order: list[Column], k: int, radius: float, per_km: float, fixed: float) -> DataFrame:
+    """Scored pairs, among them the `k` cheapest of every trip.
+
+    `points` and `people` are written tables. Where all pairs would be too many, trips look in rings: a trip is settled when its `k` cheapest couriers within a ring
+    cost less than any courier outside can, who costs at least `fixed` and `per_km` of the ring's radius, or when nobody outside can reach
+    it in time; the others go on to the next ring, twice as wide. The preferred courier, who may cost less, is looked up by name.
+    """
+    filed = _filed(people)
+    levels = _levels(filed)
+    asked = lambda trips: _probe_slots(trips, "req", "pick", levels)
+    count = points.agg(F.count("*"), F.max("__reach")).first()
+    top = min(radius, count[1] or 0.0)
+    compared = lambda km: pairs_compared(filed, asked(points), km, ["__level", "__slot"])
+    if not count[0] or compared(top) <= MOST_PAIRS:
+        return scored(idle_pairs(points, people, top, levels))
+    rings = [top]
+    while rings[0] / 2 >= FIRST_KM and (len(rings) == 1 or compared(rings[0]) > MOST_PAIRS + PAIRS_A_TRIP * count[0]):
+        rings.insert(0, rings[0] / 2)
+    named = F.coalesce(F.col("preferred") == F.col("courier_id"), F.lit(False))
+    known = filed.withColumnsRenamed({"lat": "centre_lat", "lon": "centre_lon"}).withColumn("preferred", F.col("courier_id"))
+    met = asked(points.where("preferred IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")).join(known, ["preferred", "__level", "__slot"])
+    met = _idle_then(met.withColumn("distance_km", haversine_km("centre_lat", "centre_lon", "lat", "lon")).where(F.col("distance_km") <= F.lit(radius)))
+    found = scored(met)
+    for km in rings:
+        near = top_per_key(scored(idle_pairs(points, people, km, levels).where(~named)), ["__trip"], order, k)
+        if km == top:
+            return found.unionByName(near)
+        near = stage(near)
+        sure = near.groupBy("__trip").agg(F.count("*").alias("n"), F.max("cost").alias("most")).where(
+            (F.col("n") == k) & (F.col("most") < km * per_km + fixed - 1e-6)).select("__trip")
+        points = stage(points.where(F.col("__reach") > km).join(sure, "__trip", "left_anti"))
+        found = found.unionByName(near.join(points.select("__trip"), "__trip", "left_anti"))

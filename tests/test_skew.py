@@ -293,3 +293,61 @@ def test_trip_candidates_compare_only_couriers_idle_then(spark):
         ends = [F.coalesce(F.unix_micros("busy_at") - 1, F.lit(1 << 60))] + ([F.unix_micros("available_at") + int(longest * 6e7)] if longest else [])
         waiting = people.select("courier_id", F.unix_micros("available_at").alias("free"), (F.least(*ends) if longest else ends[0]).alias("gone"), "lat", "lon")
         assert trips.idle_pairs(points, waiting, 11.0).count() == overlapping
+
+
+def _crowd(spark, trips_n=250, couriers=900):
+    """Trips and idle couriers of one hour in one city, some on one spot; some trips twice, without a courier of their own or far from everybody."""
+    import random
+
+    rng, hour = random.Random(21), 3_600_000_000
+    people, rides = [], []
+    for i in range(couriers):
+        free = rng.randrange(hour)
+        spot = (40.72, -73.99) if i % 9 == 0 else (40.7 + rng.gauss(0, 0.03), -74.0 + rng.gauss(0, 0.03))
+        people.append((f"c{i % (couriers - 40):03d}", free, rng.choice([None, free + rng.randrange(hour)]), *spot))
+    people.append((None, 0, None, 40.7, -74.0))
+    for i in range(trips_n):
+        at = (40.72, -73.99) if i % 10 == 0 else (41.5, -73.0) if i % 25 == 1 else (40.7 + rng.gauss(0, 0.04), -74.0 + rng.gauss(0, 0.04))
+        req = rng.randrange(2 * hour)
+        rides.append((f"t{i:03d}", rng.choice([None, f"c{rng.randrange(couriers):03d}"]), req, req + rng.randrange(20 * 60_000_000), *at))
+    rides += rides[:20] + [("t000", "c001", *r[2:]) for r in rides[30:60]]
+    times = lambda df, *names: df.withColumns({n: F.timestamp_micros(n) for n in names})
+    idle = times(spark.createDataFrame(people, "courier_id string, available_at long, busy_at long, lat double, lon double"), "available_at", "busy_at")
+    asked = times(spark.createDataFrame(rides, "trip_key string, courier_id string, request_datetime long, pickup_datetime long, pickup_lat double, pickup_lon double"), "request_datetime", "pickup_datetime")
+    return asked, idle
+
+
+def test_trip_candidates_in_rings_are_those_of_all_pairs(spark, monkeypatch):
+    """Where couriers stand close, a trip is compared with those near it; the rows are those of comparing all."""
+    from courierworks.sources import trips
+
+    asked, idle = _crowd(spark)
+    met, real = [], trips.idle_pairs
+
+    def counted(*args):
+        pairs = real(*args)
+        met.append(pairs.count())
+        return pairs
+
+    for options in ({"max_idle_min": 90.0}, {"k": 1, "speed_kmh": 12.0}, {"k": 5, "max_idle_min": 20.0, "grace_min": 0.0}):
+        monkeypatch.setattr(trips, "MOST_PAIRS", 10**12, raising=False)
+        every = trips.trip_candidates(asked, idle, **options).cache()
+        assert every.count() > 100
+        monkeypatch.setattr(trips, "MOST_PAIRS", 0, raising=False)
+        monkeypatch.setattr(trips, "PAIRS_A_TRIP", 0, raising=False)
+        rounded = lambda df: df.select("trip_key", "courier_id", "rank", *[F.round(c, 6).alias(c) for c in ("distance_km", "eta_min", "wait_min", "late_min", "cost")])
+        same(rounded(every), rounded(trips.trip_candidates(asked, idle, **options)))
+    monkeypatch.setattr(trips, "idle_pairs", counted)
+    trips.trip_candidates(asked, idle, max_idle_min=90.0).count()
+    late = F.lit(120_000_000)
+    points = asked.select(F.unix_micros("request_datetime").alias("req"), (F.unix_micros("pickup_datetime") + late).alias("pick"), F.col("pickup_lat").alias("lat"), F.col("pickup_lon").alias("lon"))
+    waiting = idle.select("courier_id", F.unix_micros("available_at").alias("free"), F.least(F.coalesce(F.unix_micros("busy_at") - 1, F.lit(1 << 60)), F.unix_micros("available_at") + 5_400_000_000).alias("gone"), "lat", "lon")
+    assert sum(met) < real(points, waiting, 11.0).count() / 2
+
+
+def test_trip_candidates_compute_a_distance_once(spark):
+    """A filter that names the distance must not bring its formula along: conditions on all pairs compared were ten times as dear."""
+    from courierworks.sources import trips
+
+    plan = trips.trip_candidates(*_crowd(spark, 20, 50), max_idle_min=90.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("ASIN(") <= 2
